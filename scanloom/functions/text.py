@@ -7,6 +7,7 @@ from collections.abc import Iterable
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
 # A walk lists the files of a folder before its subfolders, both by name. Marking every folder
 # component with the highest code point and closing it with NUL gives that order to plain strings.
@@ -127,7 +128,7 @@ def fixed_decimals(c: Column, digits: int) -> Column:
     return F.format_string(f"%.{digits}f", c)
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(StringType())
 def binary_rounded_4(values: pd.Series) -> pd.Series:
     """Four decimals rounded on the exact binary value, for identifiers made outside the JVM."""
     return values.map(lambda x: None if pd.isna(x) else f"{x:.4f}")
