@@ -153,7 +153,7 @@ def general_8(x: Column) -> Column:
 def progress_percent(line: Column) -> Column:
     """First ``NN%`` of a tool's output line, at most 100; null without one."""
     digits = F.regexp_extract(line, r"(?<!\d)(\d{1,3})%", 1)
-    return F.least(F.lit(100), F.nullif(digits, F.lit("")).try_cast("int"))
+    return F.when(digits != "", F.least(F.lit(100), digits.try_cast("int")))
 
 
 def last_output(line: Column) -> Column:

@@ -10,27 +10,13 @@ from pyspark.sql import functions as F
 from scanloom.functions import text as tx
 from scanloom.functions.scoring import slice_gap
 from scanloom.functions.geometry import voxel_volume
-from scanloom.operators import (
-    catalog,
-    inventory,
-    lifecycle,
-    participants,
-    pilot,
-    qc,
-    release,
-    review,
-    selection,
-    validation,
-    workplan,
-)
-from scanloom.operators.staging import scratch_path, stage
-from scanloom.params import PilotParams, ReleasePolicy, ResourceMinimums
+from scanloom.operators import catalog, inventory, pilot, review, selection
+from scanloom.operators.staging import stage
+from scanloom.params import PilotParams
 from scanloom.plans.cohort import cohort_instances, stored_instances, table
-from scanloom.plans.oracle_base import COHORT, KEYED, SCORES, SELECTION, SERIES, SHEET, STAGES, query
+from scanloom.plans.oracle_base import COHORT, KEYED, SCORES, SELECTION, SERIES, SHEET, query
 from scanloom.plans.pipeline import curate
 from scanloom.schemas import SERIES_KEYS
-from scanloom.sources import readers, writers
-from scanloom.streaming import lifecycle as streams
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}

@@ -10,7 +10,13 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
-from scanloom.operators.lifecycle import ACTIVE_STAGES, STALE_MESSAGE, counts_by_stage, latest_state
+from scanloom.operators.lifecycle import (
+    ACTIVE_STAGES,
+    STALE_MESSAGE,
+    counter_rates,
+    counts_by_stage,
+    latest_state,
+)
 
 
 def read_event_stream(spark: SparkSession, path: str, schema: Any, per_trigger: int = 1) -> DataFrame:
@@ -110,32 +116,40 @@ def stale_stream(events: DataFrame, timeout: str = "10 minutes", lateness: str =
     )
 
 
-def rate_stream(samples: DataFrame, counter: str, key: str = "host") -> DataFrame:
-    """Per-second change of a counter since the previous sample of the same key.
+def rates_to_table(
+    samples: DataFrame, counters: Sequence[str], key: str, order: Sequence[str], path: str,
+    checkpoint: str,
+) -> DataFrame:
+    """Per-second change of counters since the previous sample of the same key, as a table.
 
-    The last sample of every key is the state. Samples of one micro-batch are put in time order.
+    Every micro-batch is worked on together with the last sample of each key so far. Those rest in
+    a small table per batch, so that a repeated batch finds the same predecessor.
     """
-
-    def rates(
-        group: tuple, frames: Iterator[pd.DataFrame], state: GroupState
-    ) -> Iterator[pd.DataFrame]:
-        rows = pd.concat(list(frames)).sort_values("ts", kind="stable")
-        micros = rows["ts"].astype("datetime64[us]").astype("int64")
-        value = rows[counter].astype("float64")
-        before_t, before_v = micros.shift(1), value.shift(1)
-        if state.exists:
-            last_t, last_v = state.get
-            before_t.iloc[0], before_v.iloc[0] = last_t, last_v
-        elapsed = (micros - before_t) / 1e6
-        change = ((value - before_v) / elapsed).where(elapsed > 0).fillna(0.0)
-        state.update((int(micros.iloc[-1]), float(value.iloc[-1])))
-        yield pd.DataFrame({key: group[0], "ts": rows["ts"], "rate": change})
-
-    kind = dict(samples.dtypes)[key]
-    return samples.select(key, "ts", counter).groupBy(key).applyInPandasWithState(
-        rates,
-        outputStructType=f"{key} {kind}, ts TIMESTAMP, rate DOUBLE",
-        stateStructType="seen BIGINT, value DOUBLE",
-        outputMode="append",
-        timeoutConf=GroupStateTimeout.NoTimeout,
+    spark = samples.sparkSession
+    kept = [key, *order, *counters]
+
+    def add(batch: DataFrame, batch_id: int) -> None:
+        fresh = batch.select(*kept).withColumn("_new", F.lit(True))
+        seen = fresh
+        if batch_id > 0:
+            known = spark.read.parquet(f"{path}/last/batch={batch_id - 1:012d}")
+            seen = fresh.unionByName(known.withColumn("_new", F.lit(False)))
+        rates = counter_rates(seen, counters, [key], order).filter("_new").drop("_new")
+        rates.write.mode("overwrite").parquet(f"{path}/rates/batch={batch_id:012d}")
+        last = latest_state(seen.drop("_new"), key, order)
+        last.write.mode("overwrite").parquet(f"{path}/last/batch={batch_id:012d}")
+
+    (
+        samples.writeStream.foreachBatch(add)
+        .option("checkpointLocation", checkpoint)
+        .trigger(availableNow=True)
+        .start()
+        .awaitTermination()
     )
+    return spark.read.parquet(f"{path}/rates").drop("batch")
+
+
+def drain_append(stream: DataFrame, path: str, checkpoint: str) -> DataFrame:
+    """Append what is available and return the table written."""
+    append_stream(stream, path, checkpoint).awaitTermination()
+    return stream.sparkSession.read.schema(stream.schema).parquet(path)
