@@ -377,10 +377,11 @@ def series_sources(instances: DataFrame) -> DataFrame:
 
 def classify(series: DataFrame, binary_rounding: bool = False) -> DataFrame:
     """Add type, confidence, source kind and protocol to rolled-up series."""
+    facts = series.drop("source_kind", "candidate_type", "classification_confidence", "protocol_id")
     return (
-        series.withColumn("_text", series_text())
+        facts.withColumn("_text", series_text())
         .withColumn("_verdict", candidate(F.col("_text")))
-        .select(*series.columns, source_kind().alias("source_kind"), "_verdict.*")
+        .select(*facts.columns, source_kind().alias("source_kind"), "_verdict.*")
         .withColumn("protocol_id", protocol_id(binary_rounding))
         .select(*[F.col(f"`{c}`") for c in columns(SERIES)])
     )

@@ -17,6 +17,7 @@ from scanloom.plans.cohort import cohort_instances, stored_instances, table
 from scanloom.plans.oracle_base import COHORT, KEYED, SCORES, SELECTION, SERIES, SHEET, query
 from scanloom.plans.pipeline import curate
 from scanloom.schemas import SERIES_KEYS
+from scanloom.session import configure
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -25,7 +26,7 @@ ORACLES: dict[str, str] = {}
 
 def registered(sql: str | None = None) -> Callable[[Query], Query]:
     def add(fn: Query) -> Query:
-        QUERIES[fn.__name__] = fn
+        QUERIES[fn.__name__] = lambda spark, sf_dir: fn(configure(spark), sf_dir)
         if sql is not None:
             ORACLES[fn.__name__] = sql
         return fn
