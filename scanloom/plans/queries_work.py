@@ -229,12 +229,19 @@ def resource_rate_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rates.select("series_uid_hash", "event_id", r6("value_per_second"))
 
 
-@registered()
+@registered(query(STAGES, """
+SELECT series_uid_hash, 'interrupted' AS stage, event_ts AS last_seen_us,
+  'worker PID is no longer alive; task is eligible for resume' AS message
+FROM (SELECT *, epoch_us(ts) AS event_ts FROM latest) WHERE stage IN ('queued', 'linking', 'dcm2niix')
+  AND ts <= (SELECT max(ts) FROM lifecycle) - INTERVAL 6 HOUR - INTERVAL 1 MINUTE"""))
 def stale_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
-    watched = streams.stale_stream(_event_stream(spark, sf_dir), "6 hours")
-    return streams.drain_append(
+    watched = streams.stale_stream(_event_stream(spark, sf_dir), "6 hours", "1 minute")
+    found = streams.drain_append(
         watched, scratch_path(spark, "stale"), scratch_path(spark, "stale-log")
     )
+    return found.select(
+        "series_uid_hash", "stage", F.unix_micros("last_seen").alias("last_seen_us"), "message"
+    )
 
 
 # ---------------------------------------------------------------------------------------------
