@@ -17,6 +17,7 @@ from scanloom.functions.geometry import (
 )
 from scanloom.functions.scoring import candidate, protocol_id, series_text, source_kind
 from scanloom.operators.skew import HOT_ROWS, hot_keys, null_safe
+from scanloom.operators.staging import stage
 from scanloom.params import SelectionParams
 from scanloom.schemas import INSTANCES, SERIES, SERIES_SOURCES, columns
 
@@ -347,13 +348,15 @@ def series_rollup(
 ) -> DataFrame:
     """One row per (center, subject, study, series) with first-file attributes and geometry.
 
-    Series of at least ``hot_rows`` files go through a plan that never gathers them in one task;
-    ``None`` skips looking for them.
+    Series of at least ``hot_rows`` files go through a plan that never gathers them in one task.
+    Looking for them is a job of its own over a few columns; ``None`` skips it.
     """
     keyed = _keyed(instances)
     if hot_rows is None:
         return _finish(_rollup_together(_frames(keyed)), params)
-    hot = hot_keys(keyed, GROUP_KEYS, hot_rows)
+    hot = stage(hot_keys(keyed, GROUP_KEYS, hot_rows), "hot-series")
+    if hot.isEmpty():
+        return _finish(_rollup_together(_frames(keyed)), params)
     usual = keyed.join(F.broadcast(hot), null_safe(keyed, hot, GROUP_KEYS), "left_anti")
     large = keyed.join(F.broadcast(hot), null_safe(keyed, hot, GROUP_KEYS), "left_semi")
     groups = _rollup_together(_frames(usual)).unionByName(_rollup_spread(large))
