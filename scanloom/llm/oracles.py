@@ -7,14 +7,14 @@ CRC32 = """
 crc_table AS (
   SELECT list(c ORDER BY i) AS tab FROM (
     SELECT i, list_reduce(list_prepend(i, range(8)),
-      (c, k) -> CASE WHEN c % 2 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END) AS c
+      lambda c, k: CASE WHEN c % 2 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END) AS c
     FROM range(256) r(i)))"""
 
 
 def _crc(hex_text: str) -> str:
     return f"""xor(4294967295, list_reduce(list_prepend(4294967295::BIGINT,
-      list_transform(range(length({hex_text}) // 2), i -> ('0x' || substr({hex_text}, 2 * i + 1, 2))::BIGINT)),
-      (c, b) -> xor(c >> 8, tab[xor(c & 255, b) + 1])))"""
+      list_transform(range(length({hex_text}) // 2), lambda i: ('0x' || substr({hex_text}, 2 * i + 1, 2))::BIGINT)),
+      lambda c, b: xor(c >> 8, tab[xor(c & 255, b) + 1])))"""
 
 
 def shard_sql(shards: int) -> str:
