@@ -67,3 +67,32 @@ SELECT doc_id, first_value(doc_id) OVER w AS keep_id,
   count(*) OVER (PARTITION BY norm) AS group_size,
   row_number() OVER w = 1 AS kept, sha256(norm) AS text_sha256
 FROM docs WINDOW w AS (PARTITION BY norm ORDER BY chars DESC, doc_id NULLS LAST)"""
+
+
+#: Windows of ten words, or the whole of a shorter item, and the document words that they cover.
+CONTAMINATION = r"""
+WITH d AS (
+  SELECT row_number() OVER () AS row_id, doc_id, regexp_extract_all(
+    translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+    '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM documents),
+b AS (
+  SELECT item_id::VARCHAR AS item, regexp_extract_all(
+    translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+    '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM benchmark),
+bw AS (
+  SELECT DISTINCT item, n, list_slice(w, i, i + n - 1) AS win
+  FROM (SELECT item, w, least(len(w), 10) AS n, unnest(range(1, len(w) - least(len(w), 10) + 2)) AS i
+        FROM b WHERE len(w) > 0)),
+dw AS (
+  SELECT row_id, n, i, list_slice(w, i, i + n - 1) AS win
+  FROM (SELECT row_id, w, n, unnest(range(1, len(w) - n + 2)) AS i
+        FROM d, (SELECT DISTINCT n FROM bw) WHERE len(w) >= n)),
+m AS (SELECT row_id, item, i, dw.n FROM dw JOIN bw ON dw.win = bw.win),
+c AS (SELECT row_id, count(DISTINCT p) AS n_hit
+      FROM (SELECT row_id, unnest(range(i, i + n)) AS p FROM m) GROUP BY row_id),
+t AS (SELECT row_id, count(DISTINCT item) AS n_items, string_agg(DISTINCT item, ',' ORDER BY item) AS items
+      FROM m GROUP BY row_id)
+SELECT doc_id, len(w)::BIGINT AS n_words, coalesce(n_hit, 0)::BIGINT AS n_hit,
+  coalesce(n_items, 0)::BIGINT AS n_items, sha256(coalesce(items, '')) AS items_sha256,
+  coalesce(n_hit, 0) > 0 AS contaminated
+FROM d LEFT JOIN c USING (row_id) LEFT JOIN t USING (row_id)"""

@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from scanloom.llm import exact_dedup, sharding
+from scanloom.llm import decontamination, exact_dedup, sharding, simhash
 from scanloom.llm.common import table
-from scanloom.llm.oracles import CONTENT_GROUPS, shard_sql
+from scanloom.llm.oracles import CONTAMINATION, CONTENT_GROUPS, shard_sql
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -19,19 +19,30 @@ def op1_hash_tree_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.assign(table(spark, sf_dir, "documents"), base=SHARDS, added=1)
 
 
+def op5_simhash_components(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return simhash.components_of(table(spark, sf_dir, "documents"))
+
+
 def op7_content_sort(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.mark_copies(table(spark, sf_dir, "documents"))
 
 
+def op8_benchmark_ngrams(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontamination.report(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 QUERIES: dict[str, Query] = {
     f.__name__: f
     for f in (
         op1_hash_tree_shards,
+        op5_simhash_components,
         op7_content_sort,
+        op8_benchmark_ngrams,
     )
 }
 
 ORACLES: dict[str, str] = {
     "op1_hash_tree_shards": shard_sql(SHARDS),
     "op7_content_sort": CONTENT_GROUPS,
+    "op8_benchmark_ngrams": CONTAMINATION,
 }
