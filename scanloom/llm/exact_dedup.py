@@ -65,17 +65,17 @@ def _runs(docs: DataFrame, ranges: int | None):
         w["hash"]: F.xxhash64(w["norm"]),
     })
     hot = _hot_hashes(keyed, w["hash"], ranges)
-    salt = F.lit(0)
+    keys = [w["prefix"], w["hash"]]
     if hot is not None:
         # At most 2 * ranges rows by construction, so the broadcast is bounded.
         flag = hot.withColumn(w["salt"], F.lit(True))
         keyed = keyed.join(F.broadcast(flag), w["hash"], "left")
         dealt = F.pmod(F.xxhash64(F.monotonically_increasing_id()), F.lit(ranges)).cast("int") + 1
-        salt = F.when(F.col(w["salt"]), dealt).otherwise(F.lit(0))
-    keyed = keyed.withColumn(w["salt"], salt)
-    ranged = keyed.repartitionByRange(ranges, w["prefix"], w["hash"], w["salt"])
+        keyed = keyed.withColumn(w["salt"], F.when(F.col(w["salt"]), dealt).otherwise(F.lit(0)))
+        keys.append(w["salt"])
+    # The window asks for no other partitioning than these ranges, so the texts are shuffled once.
     local = _winners(
-        ranged, [w["prefix"], w["hash"], w["salt"], w["norm"]], w["chars"], "doc_id", F.lit(1),
+        keyed.repartitionByRange(ranges, *keys), [*keys, w["norm"]], w["chars"], "doc_id", F.lit(1),
         [w["keep"], w["size"], w["place"]],
     )
     return local, w, hot is not None
@@ -90,13 +90,12 @@ def mark_copies(docs: DataFrame, ranges: int | None = None) -> DataFrame:
     table gives an empty result.
     """
     local, w, salted = _runs(docs.select("doc_id", "text"), ranges)
-    narrow = local.select(
-        "doc_id", w["chars"], w["salt"], w["keep"], w["size"], w["place"], w["hash"], w["prefix"],
-        F.sha2(w["norm"], 256).alias("text_sha256"),
-        F.when((F.col(w["salt"]) > 0) & (F.col(w["place"]) == 1), F.col(w["norm"])).alias(w["norm"]),
-    )
+    narrow = local.withColumn("text_sha256", F.sha2(w["norm"], 256))
     if salted:
-        narrow = stage(narrow, "content-runs")
+        head = (F.col(w["salt"]) > 0) & (F.col(w["place"]) == 1)
+        narrow = stage(
+            narrow.drop("text").withColumn(w["norm"], F.when(head, F.col(w["norm"]))), "content-runs"
+        )
         heads = narrow.filter((F.col(w["salt"]) > 0) & (F.col(w["place"]) == 1))
         merged = _winners(
             heads, [w["prefix"], w["hash"], w["norm"]], w["chars"], "doc_id", F.col(w["size"]),
