@@ -5,8 +5,9 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from scanloom.llm import decontamination, exact_dedup, sharding, simhash
+from scanloom.llm import decontamination, exact_dedup, language_id, sharding, simhash
 from scanloom.llm.common import table
 from scanloom.llm.oracles import CONTAMINATION, CONTENT_GROUPS, shard_sql
 
@@ -31,6 +32,14 @@ def op8_benchmark_ngrams(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontamination.report(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
+def op10_compression_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    found = language_id.predict(docs.select("doc_id", "text"), language_id.learn(docs))
+    return found.select(
+        "doc_id", language_id.held_out(F.col("doc_id")).alias("held_out"), "lang_pred", "score", "rejected"
+    )
+
+
 QUERIES: dict[str, Query] = {
     f.__name__: f
     for f in (
@@ -38,6 +47,7 @@ QUERIES: dict[str, Query] = {
         op5_simhash_components,
         op7_content_sort,
         op8_benchmark_ngrams,
+        op10_compression_language,
     )
 }
 
