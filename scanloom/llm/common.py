@@ -3,12 +3,18 @@
 from __future__ import annotations
 
 import uuid
+from collections.abc import Iterator
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: The white space that the operators' contracts name, [\\x20\\x09-\\x0D].
 SPACES = "\x20\x09\x0a\x0b\x0c\x0d"
+ARROW = {
+    "long": pa.int64(), "int": pa.int32(), "string": pa.string(), "binary": pa.binary(),
+    "array<string>": pa.list_(pa.string()),
+}
 UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 
 
@@ -37,3 +43,34 @@ def lower_ascii(text: Column) -> Column:
 
 def partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
+
+
+def map_columns(df: DataFrame, work, schema: str, rows: int = 256) -> DataFrame:
+    """``mapInArrow`` over plain lists: ``work`` gets dicts of columns, ``rows`` rows each, and yields such dicts.
+
+    Integers stay integers beside nulls, and only a slice of a batch is held as Python objects.
+    """
+    fields = [field.split() for field in schema.split(", ")]
+    made = pa.schema([(name, ARROW[kind]) for name, kind in fields])
+
+    def slices(batches: Iterator[pa.RecordBatch]) -> Iterator[dict]:
+        for batch in batches:
+            for at in range(0, batch.num_rows, rows):
+                yield batch.slice(at, rows).to_pydict()
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for out in work(slices(batches)):
+            yield pa.RecordBatch.from_pydict(out, schema=made)
+
+    return df.mapInArrow(run, schema)
+
+
+def by_column(rows: list[tuple], schema: str) -> dict:
+    """Rows as a dict of columns in the order of ``schema``."""
+    names = [field.split()[0] for field in schema.split(", ")]
+    return dict(zip(names, zip(*rows))) if rows else {name: [] for name in names}
+
+
+def texts_of(docs: DataFrame) -> DataFrame:
+    """doc_id as long and text as string, whatever else the table holds."""
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))

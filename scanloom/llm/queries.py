@@ -7,9 +7,12 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from scanloom.llm import decontamination, exact_dedup, language_id, sharding, simhash
+from scanloom.llm import (
+    decontamination, exact_dedup, language_id, packing, sharding, simhash, token_counts, token_files,
+)
 from scanloom.llm.common import table
 from scanloom.llm.oracles import CONTAMINATION, CONTENT_GROUPS, shard_sql
+from scanloom.operators.staging import shared_dir
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -20,10 +23,18 @@ def op1_hash_tree_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.assign(table(spark, sf_dir, "documents"), base=SHARDS, added=1)
 
 
+def op4_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_counts.count(table(spark, sf_dir, "documents"))
+
+
 def op5_simhash_components(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.components_of(table(spark, sf_dir, "documents"))
 
 
+def op6_tiered_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.digest(packing.pack(table(spark, sf_dir, "documents")))
+
+
 def op7_content_sort(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.mark_copies(table(spark, sf_dir, "documents"))
 
@@ -32,6 +43,14 @@ def op8_benchmark_ngrams(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontamination.report(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
+def op9_token_records(spark: SparkSession, sf_dir: str) -> DataFrame:
+    folder = token_files.new_folder(shared_dir(spark))
+    token_files.write(table(spark, sf_dir, "documents"), folder)
+    return token_files.read(spark, folder).select(
+        "doc_id", "start", "n_tokens", F.crc32("ids").alias("ids_crc32")
+    )
+
+
 def op10_compression_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     found = language_id.predict(docs.select("doc_id", "text"), language_id.learn(docs))
@@ -44,9 +63,12 @@ QUERIES: dict[str, Query] = {
     f.__name__: f
     for f in (
         op1_hash_tree_shards,
+        op4_token_counts,
         op5_simhash_components,
+        op6_tiered_packing,
         op7_content_sort,
         op8_benchmark_ngrams,
+        op9_token_records,
         op10_compression_language,
     )
 }

@@ -23,6 +23,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from scanloom.llm.common import map_columns, texts_of
 from scanloom.llm.components import components
 from scanloom.llm.vantage import linked
 from scanloom.operators.staging import stage
@@ -62,13 +63,12 @@ def fingerprint(text: str | None) -> int:
 def fingerprints(docs: DataFrame) -> DataFrame:
     """docs with only doc_id and ``fp``, the fingerprint's bits as a signed long."""
 
-    def work(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            found = np.array([fingerprint(t) for t in batch["text"]], np.uint64).view(np.int64)
-            yield pd.DataFrame({"doc_id": batch["doc_id"], "fp": found})
+    def work(slices: Iterator[dict]) -> Iterator[dict]:
+        for rows in slices:
+            found = np.array([fingerprint(t) for t in rows["text"]], np.uint64).view(np.int64)
+            yield {"doc_id": rows["doc_id"], "fp": found}
 
-    kept = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    return kept.mapInPandas(work, "doc_id long, fp long")
+    return map_columns(texts_of(docs), work, "doc_id long, fp long")
 
 
 def piece_masks(pieces: int) -> list[int]:
