@@ -14,6 +14,9 @@ SPACES = "\x20\x09\x0a\x0b\x0c\x0d"
 ARROW = {
     "long": pa.int64(), "int": pa.int32(), "string": pa.string(), "binary": pa.binary(),
     "array<string>": pa.list_(pa.string()),
+    "array<struct<kind:string,start:int,end:int,disguised:boolean>>": pa.list_(pa.struct(
+        [("kind", pa.string()), ("start", pa.int32()), ("end", pa.int32()), ("disguised", pa.bool_())]
+    )),
 }
 UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 

@@ -8,7 +8,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from scanloom.llm import (
-    decontamination, exact_dedup, language_id, packing, sharding, simhash, token_counts, token_files,
+    decontamination, exact_dedup, html_text, language_id, packing, pii, sharding, simhash, token_counts,
+    token_files,
 )
 from scanloom.llm.common import table
 from scanloom.llm.oracles import CONTAMINATION, CONTENT_GROUPS, shard_sql
@@ -23,6 +24,14 @@ def op1_hash_tree_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.assign(table(spark, sf_dir, "documents"), base=SHARDS, added=1)
 
 
+def op2_disguised_identifiers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.digest(pii.detect(table(spark, sf_dir, "documents")))
+
+
+def op3_text_to_tag_ratio(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_text.extract(table(spark, sf_dir, "pages"))
+
+
 def op4_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts.count(table(spark, sf_dir, "documents"))
 
@@ -63,6 +72,8 @@ QUERIES: dict[str, Query] = {
     f.__name__: f
     for f in (
         op1_hash_tree_shards,
+        op2_disguised_identifiers,
+        op3_text_to_tag_ratio,
         op4_token_counts,
         op5_simhash_components,
         op6_tiered_packing,
