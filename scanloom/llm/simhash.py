@@ -20,10 +20,10 @@ from itertools import repeat
 import numpy as np
 import pandas as pd
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from scanloom.llm.common import map_columns, texts_of
+from scanloom.llm.common import map_columns, partitions, texts_of, unused
 from scanloom.llm.components import components
 from scanloom.llm.vantage import linked
 from scanloom.operators.staging import stage
@@ -61,14 +61,19 @@ def fingerprint(text: str | None) -> int:
 
 
 def fingerprints(docs: DataFrame) -> DataFrame:
-    """docs with only doc_id and ``fp``, the fingerprint's bits as a signed long."""
+    """doc_id, text_key (a hash of the text) and ``fp``, the fingerprint's bits as a signed long."""
 
     def work(slices: Iterator[dict]) -> Iterator[dict]:
         for rows in slices:
-            found = np.array([fingerprint(t) for t in rows["text"]], np.uint64).view(np.int64)
-            yield {"doc_id": rows["doc_id"], "fp": found}
+            found = np.array([fingerprint(t) for t in rows.pop("text")], np.uint64).view(np.int64)
+            yield rows | {"fp": found}
 
-    return map_columns(texts_of(docs), work, "doc_id long, fp long")
+    keyed = texts_of(docs).withColumn("text_key", text_key())
+    return map_columns(keyed, work, "doc_id long, text_key long, fp long")
+
+
+def text_key() -> Column:
+    return F.xxhash64(F.coalesce(F.col("text").cast("string"), F.lit("")))
 
 
 def piece_masks(pieces: int) -> list[int]:
@@ -145,22 +150,53 @@ def near_links(distinct: DataFrame, pieces: int = PIECES, shard_rows: int = SHAR
     )
 
 
+def _grouped(docs: DataFrame, pieces: int, shard_rows: int) -> DataFrame:
+    """doc_id, text_key, fp and ``head``, the first document of the row's component (smallest doc_id)."""
+    marked = stage(fingerprints(docs), "fingerprints")
+    own = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "text_key")
+    reps = stage(
+        marked.groupBy("fp").agg(F.min(own).alias("head"), F.count(F.lit(1)).alias("n")), "fingerprint-groups"
+    )
+    roots = components(near_links(reps, pieces, shard_rows)).withColumnRenamed("node", "fp")
+    rooted = reps.join(roots, "fp")
+    least = rooted.groupBy("root").agg(F.min("head").alias("first"))
+    joined = rooted.join(least, "root").select("fp", "first")
+    every = stage(
+        reps.join(joined, "fp", "left").select("fp", "n", F.coalesce("first", "head").alias("head")), "fingerprint-heads"
+    )
+    # Fingerprints with more than half a partition of rows: fewer than twice the partitions, so broadcast.
+    rows = every.agg(F.sum("n")).first()[0] or 0
+    hot = F.col("n") > max(1, rows // (2 * partitions(docs.sparkSession)))
+    crowd = F.broadcast(every.filter(hot).drop("n"))
+    return marked.join(crowd, "fp").unionByName(
+        marked.join(crowd, "fp", "left_anti").join(every.filter(~hot).drop("n"), "fp")
+    )
+
+
 def components_of(docs: DataFrame, pieces: int = PIECES, shard_rows: int = SHARD_ROWS) -> DataFrame:
     """One row per row of ``docs``: doc_id, fingerprint (16 hexadecimal digits), component_id.
 
     ``component_id`` is the smallest doc_id that can be reached over links, its own included. A text without
     words (null, empty, only white space) has fingerprint zero and is linked like any other. A null doc_id
-    gets its component's smallest id, null if the component has none; repeated rows stay repeated.
+    gets its component's smallest id, null if the component has none; repeated rows stay repeated; other
+    columns are ignored.
     """
-    marked = stage(fingerprints(docs), "fingerprints")
-    reps = stage(marked.groupBy("fp").agg(F.min("doc_id").alias("rep")), "fingerprint-groups")
-    roots = components(near_links(reps, pieces, shard_rows))
-    rooted = reps.join(roots.withColumnRenamed("node", "fp"), "fp")
-    least = rooted.groupBy("root").agg(F.min("rep").alias("component_id"))
-    joined = rooted.join(least, "root").select("fp", "component_id")
-    every = reps.join(joined, "fp", "left").select(
-        "fp", F.coalesce("component_id", "rep").alias("component_id")
+    return _grouped(docs, pieces, shard_rows).select(
+        "doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"),
+        F.col("head.doc_id").alias("component_id"),
     )
-    return marked.join(every, "fp").select(
-        "doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id"
+
+
+def drop_near_copies(docs: DataFrame, pieces: int = PIECES, shard_rows: int = SHARD_ROWS) -> DataFrame:
+    """``docs`` with one document of each component, the one with the smallest doc_id; all columns are kept.
+
+    Rows alike in doc_id and text are one document here; drop exact copies first.
+    """
+    own = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "text_key")
+    loser, key = unused(docs.columns, "_loser", "_loser_key")
+    out = _grouped(docs, pieces, shard_rows).filter(~own.eqNullSafe(F.col("head"))).select(
+        F.col("doc_id").alias(loser), F.col("text_key").alias(key)
     )
+    gone = stage(out.distinct(), "near-copies")
+    same = F.col("doc_id").cast("long").eqNullSafe(F.col(loser)) & (text_key() == F.col(key))
+    return docs.join(gone, same, "left_anti")
