@@ -287,10 +287,13 @@ def digest(detected: DataFrame) -> DataFrame:
             ",",
         )
 
+    def number(kind):
+        return F.size(F.filter(base, lambda s: s["kind"] == kind)).cast("long").alias(f"n_{kind}")
+
     base = F.filter("spans", lambda s: ~s["disguised"])
     return detected.select(
         "doc_id",
-        *[F.size(F.filter(base, lambda s, k=k: s["kind"] == k)).cast("long").alias(f"n_{k}") for k in KINDS],
+        *map(number, KINDS),
         F.sha2(joined(base), 256).alias("base_sha256"), joined(F.col("spans")).alias("spans"),
         (F.size("spans") - F.size(base)).cast("long").alias("n_disguised"),
     )
