@@ -61,13 +61,14 @@ def hits(docs: DataFrame, benchmark: DataFrame, length: int = WINDOW_WORDS) -> D
         .when(last >= 1, F.sequence(F.lit(1), last)).otherwise(F.array().cast("array<int>"))
     )
     window = F.slice("words", F.greatest(F.col("pos"), F.lit(1)), F.col("len"))
-    probes = rows.select("*", F.explode(starts).alias("pos")).withColumn(
-        "h", F.when(F.col("len") > 0, F.xxhash64(window))
-    )
+    # A probe keeps its own few words, never the document's, so that a join by shuffle stays linear in a text.
+    probes = rows.select("*", F.explode(starts).alias("pos")).select(
+        "doc_id", "text_key", "n_words", "len", "pos", window.alias("here")
+    ).withColumn("h", F.when(F.col("len") > 0, F.xxhash64("here")))
     wanted = windows.select(F.col("h").alias("window_hash"), "window", "items")
     found = probes.join(
         F.broadcast(wanted) if small else wanted,
-        (F.col("h") == F.col("window_hash")) & (window == F.col("window")), "left",
+        (F.col("h") == F.col("window_hash")) & (F.col("here") == F.col("window")), "left",
     ).filter((F.col("len") == 0) | F.col("window_hash").isNotNull())
     covered = F.sequence(F.col("pos"), F.col("pos") + F.col("len") - 1)
     return found.groupBy("doc_id", "text_key", "n_words").agg(
