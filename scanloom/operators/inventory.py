@@ -16,7 +16,7 @@ from scanloom.functions.geometry import (
     xyz,
 )
 from scanloom.functions.scoring import candidate, protocol_id, series_text, source_kind
-from scanloom.operators.skew import HOT_ROWS, hot_keys, null_safe
+from scanloom.operators.skew import HOT_ROWS, hot_keys, join_null_safe, null_safe
 from scanloom.operators.staging import stage
 from scanloom.params import SelectionParams
 from scanloom.schemas import INSTANCES, SERIES, SERIES_SOURCES, columns
@@ -111,12 +111,38 @@ def center_collisions(dirs: DataFrame) -> DataFrame:
     )
 
 
-def assert_no_collisions(collisions: DataFrame, shown: int = 20) -> None:
-    """Fail when there is any collision; the message names the first ones."""
-    found = collisions.orderBy("subject_id").limit(shown).collect()
+def subject_problems(instances: DataFrame) -> DataFrame:
+    """Everything that makes subjects unusable: (subject_id, problem), null where no label is left.
+
+    Such subjects must not be curated: two centers with one label would become one person.
+    """
+    dirs = subject_dirs(instances)
+    doubled = center_collisions(dirs).select(
+        "subject_id",
+        F.concat(F.lit("subject label in several centers: sub-"), "subject_id", F.lit(": "), "centers").alias("problem"),
+    )
+    unusable = invalid_subject_folders(instances).select(
+        F.lit(None).cast("string").alias("subject_id"),
+        F.concat("problem", F.lit(" in "), "center").alias("problem"),
+    )
+    return doubled.unionByName(unusable)
+
+
+def raise_problems(problems: DataFrame, shown: int = 20) -> None:
+    """Fail when there is any problem; the message names the first ones and how many more there are."""
+    found = problems.orderBy("problem").limit(shown).collect()
     if found:
-        details = "; ".join(f"sub-{r.subject_id}: {r.centers.split(';')}" for r in found)
-        raise ValueError(f"cross-center subject label collisions detected: {details}")
+        more = problems.count() - len(found)
+        tail = f"; and {more} more" if more else ""
+        raise ValueError("; ".join(r["problem"] for r in found) + tail)
+
+
+def without_subjects(instances: DataFrame, problems: DataFrame) -> DataFrame:
+    """Instances of subjects that have no problem; files outside subject folders stay as they are."""
+    labelled = path_parts(instances).withColumn("_label", tx.subject_label(F.col("subject_folder")))
+    bad = problems.filter(F.col("subject_id").isNotNull()).select(F.col("subject_id").alias("_label")).distinct()
+    usable = (F.col("depth") < 3) | F.col("_label").isNotNull()
+    return labelled.filter(usable).join(bad, "_label", "left_anti").select(*instances.columns)
 
 
 def _is_usable() -> Column:
@@ -159,6 +185,21 @@ def _keyed(instances: DataFrame) -> DataFrame:
     )
 
 
+def _walk() -> Column:
+    """Walk order of a file. Rows of one path that differ are told apart by a hash of the row."""
+    return F.struct(
+        tx.walk_order_key(F.col("relpath")).alias("path"),
+        F.xxhash64(*[F.col(f"`{c}`") for c in columns(INSTANCES)]).alias("row"),
+    )
+
+
+def _planes() -> Column:
+    """How many image planes a file has, its own included."""
+    return F.lit(1) + F.greatest(
+        F.coalesce(F.size("frame_iops"), F.lit(0)), F.coalesce(F.size("frame_ipps"), F.lit(0)), F.lit(0)
+    )
+
+
 def _frames(keyed: DataFrame) -> DataFrame:
     """One row per image plane: the file's own orientation and position, then its frames'.
 
@@ -180,10 +221,12 @@ def _frames(keyed: DataFrame) -> DataFrame:
         *[F.col(f"`{c}`") for c in _NUMBER_ATTRIBUTES],
         tx.fixed_vector(F.col("pixel_spacing"), 2).alias("pixel_spacing_mm"),
     )
-    rows = keyed.select(
+    # Tells the copies of one row apart, of which one counts; numbered before planes are unfolded.
+    rows = keyed.withColumn("file", F.monotonically_increasing_id()).select(
         *GROUP_KEYS,
         "sop_key",
-        tx.walk_order_key(F.col("relpath")).alias("walk"),
+        _walk().alias("walk"),
+        "file",
         attributes.alias("attributes"),
         F.posexplode(planes).alias("frame", "vectors"),
     )
@@ -193,6 +236,7 @@ def _frames(keyed: DataFrame) -> DataFrame:
         *GROUP_KEYS,
         "sop_key",
         "walk",
+        "file",
         "frame",
         F.when(F.col("frame") == 0, F.col("attributes")).alias("attributes"),
         F.when(F.size(iop) == 6, iop).alias("iop"),
@@ -244,10 +288,10 @@ def _rollup_together(frames: DataFrame) -> DataFrame:
     """All files of a series in one task: a single exchange carries windows and aggregation."""
     per_copy = Window.partitionBy(*GROUP_KEYS, "sop_key")
     per_series = Window.partitionBy(*GROUP_KEYS)
-    kept = F.col("walk") == F.col("first_walk")
+    kept = F.struct("walk", "file") == F.col("first_file")
     unique = (
         frames.repartition(*GROUP_KEYS)
-        .withColumn("first_walk", F.min("walk").over(per_copy))
+        .withColumn("first_file", F.min(F.struct("walk", "file")).over(per_copy))
         .withColumns({c: F.when(kept, F.col(c)) for c in ("iop", "ipp")})
     )
     placed = add_slice_normal(unique, "iop", "normal").withColumns(
@@ -273,7 +317,7 @@ def _rollup_spread(keyed: DataFrame) -> DataFrame:
     copies = (
         keyed.groupBy(*GROUP_KEYS, "sop_key")
         .agg(
-            F.min_by(F.struct(*names), tx.walk_order_key(F.col("relpath"))).alias("kept"),
+            F.min_by(F.struct(*names), _walk()).alias("kept"),
             F.count(F.lit(1)).alias("n_copies"),
         )
         .select(*GROUP_KEYS, "sop_key", "n_copies", "kept.*")
@@ -291,11 +335,12 @@ def _rollup_spread(keyed: DataFrame) -> DataFrame:
     # One row per hot series, and hot_keys() limits their number: safe to broadcast.
     axes = firsts.select(*GROUP_KEYS, "reference", "representative")
     geometry = (
-        _geometry_terms(frames.join(F.broadcast(axes), GROUP_KEYS))
+        _geometry_terms(join_null_safe(frames, F.broadcast(axes), GROUP_KEYS))
         .groupBy(*GROUP_KEYS)
         .agg(*_geometry())
     )
-    return firsts.drop("reference").join(totals, GROUP_KEYS).join(geometry, GROUP_KEYS)
+    joined = join_null_safe(firsts.drop("reference"), totals, GROUP_KEYS)
+    return join_null_safe(joined, geometry, GROUP_KEYS)
 
 
 def _finish(groups: DataFrame, params: SelectionParams) -> DataFrame:
@@ -348,13 +393,15 @@ def series_rollup(
 ) -> DataFrame:
     """One row per (center, subject, study, series) with first-file attributes and geometry.
 
-    Series of at least ``hot_rows`` files go through a plan that never gathers them in one task.
-    Looking for them is a job of its own over a few columns; ``None`` skips it.
+    Series of at least ``hot_rows`` image planes go through a plan that never gathers them in one
+    task. Looking for them is a job of its own over a few columns; ``None`` skips it. Both plans keep
+    the same copy of a doubled instance (walk order, then a hash of the row) and let null labels meet,
+    so the choice never shows in the result.
     """
     keyed = _keyed(instances)
     if hot_rows is None:
         return _finish(_rollup_together(_frames(keyed)), params)
-    hot = stage(hot_keys(keyed, GROUP_KEYS, hot_rows), "hot-series")
+    hot = stage(hot_keys(keyed, GROUP_KEYS, hot_rows, rows=_planes()), "hot-series")
     if hot.isEmpty():
         return _finish(_rollup_together(_frames(keyed)), params)
     usual = keyed.join(F.broadcast(hot), null_safe(keyed, hot, GROUP_KEYS), "left_anti")

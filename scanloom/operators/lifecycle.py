@@ -32,17 +32,24 @@ def latest_state(
 
 
 def merged_state(
-    events: DataFrame, key: str, order: Sequence[str], keep_first: Sequence[str] = ("started_at",)
+    events: DataFrame, key: str, order: Sequence[str], keep_first: Sequence[str] = ("started_at", "worker_pid"), cleared: str = "cleared",
 ) -> DataFrame:
     """Keyed merge of partial updates: the last non-null value of every attribute wins, except
-    for ``keep_first`` columns, where the first one stays."""
+    for ``keep_first`` columns, where the first one stays.
+
+    An update may name attributes to clear in the array column ``cleared``: their value is null until
+    a later update sets it.
+    """
     place = F.struct(*order)
-    rest = [c for c in events.columns if c not in (key, *order)]
+    rest = [c for c in events.columns if c not in (key, cleared, *order)]
+    clears = cleared in events.columns
 
     def merged(c: str) -> Column:
-        when_set = F.when(F.col(c).isNotNull(), place)
+        told = F.col(c).isNotNull()
+        if clears:
+            told = told | F.coalesce(F.array_contains(cleared, c), F.lit(False))
         pick = F.min_by if c in keep_first else F.max_by
-        return pick(F.col(c), when_set).alias(c)
+        return pick(F.col(c), F.when(told, place)).alias(c)
 
     return events.groupBy(key).agg(
         *[merged(c) for c in rest], *[F.max(c).alias(c) for c in order]
@@ -128,7 +135,7 @@ def counter_rates(
     paired = previous_row(chunked, total_order, [*total_order, *counters])
     same = F.lit(True)
     for c in key:
-        same = same & (F.col(c) == F.col(f"prev_{c}"))
+        same = same & F.col(c).eqNullSafe(F.col(f"prev_{c}"))
     ts = order[0]
     elapsed = (F.unix_micros(F.col(ts)) - F.unix_micros(F.col(f"prev_{ts}"))) / 1e6
 

@@ -18,12 +18,19 @@ def _contains_any(text: Column, words: Iterable[str]) -> Column:
     return found
 
 
-def release_corpus(files: DataFrame) -> DataFrame:
-    """(path, length, text) of a ``binaryFile`` scan; text is null when it is not UTF-8."""
+def release_corpus(files: DataFrame, policy: ReleasePolicy = ReleasePolicy()) -> DataFrame:
+    """(path, length, text) of a ``binaryFile`` scan; text is null when it is not UTF-8.
+
+    The content of a file above ``max_bytes`` is never read: its size is already the problem.
+    """
     content = F.col("content").cast("string")
-    return files.select(
+    small = files.filter(F.col("length") <= policy.max_bytes).select(
         "path", "length", F.when(F.is_valid_utf8(content), content).alias("text")
     )
+    large = files.filter(F.col("length") > policy.max_bytes).select(
+        "path", "length", F.lit(None).cast("string").alias("text")
+    )
+    return small.unionByName(large)
 
 
 def to_check(corpus: DataFrame, policy: ReleasePolicy = ReleasePolicy()) -> DataFrame:

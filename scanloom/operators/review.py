@@ -87,19 +87,43 @@ def decision_violations(
 
 
 def assert_no_violations(violations: DataFrame, shown: int = 20) -> None:
-    found = violations.limit(shown).collect()
+    """Fail when there is any violation; the message names the first ones and how many more there are."""
+    found = violations.orderBy("problem", *KEYS).limit(shown).collect()
     if found:
-        raise ValueError("; ".join(r.problem for r in found))
+        more = violations.count() - len(found)
+        tail = f"; and {more} more" if more else ""
+        raise ValueError("; ".join(r.problem for r in found) + tail)
+
+
+def _usable(selection: DataFrame, decided: DataFrame) -> DataFrame:
+    """Decisions that may be applied: known, fit for their series, and the only acceptance."""
+    met = selection.select(*KEYS, "candidate_type", "source_kind").join(decided, KEYS)
+    fit = met.filter(F.col("decision").isin(*ALLOWED_DECISIONS) & _problem().isNull())
+    accepted = F.count_if(F.col("decision") != "exclude")
+    rivals = (
+        fit.groupBy("subject_id", "candidate_type").agg(accepted.alias("n")).filter(F.col("n") > 1)
+        .select("subject_id", "candidate_type", F.lit(True).alias("_rivals"))
+    )
+    judged = fit.join(rivals, ["subject_id", "candidate_type"], "left")
+    return judged.filter((F.col("decision") == "exclude") | F.col("_rivals").isNull()).select(*decided.columns)
 
 
 def apply_manual_decisions(
-    selection: DataFrame, sheet: DataFrame, position: str = "position"
+    selection: DataFrame, sheet: DataFrame, position: str = "position", on_problem: str = "raise"
 ) -> DataFrame:
     """Override automatic decisions and retire the rivals of an accepted series.
 
-    Start from the automatic selection: decisions are not meant to be applied to their own result.
+    A sheet with violations stops the run; with ``on_problem="leave"`` the rows that they concern stay
+    as they are (``decision_violations`` lists them). Start from the automatic selection: decisions
+    are not meant to be applied to their own result.
     """
     decided = manual_decisions(sheet, position).withColumnRenamed("reviewer", "_reviewer")
+    if on_problem == "raise":
+        assert_no_violations(decision_violations(selection, sheet, position))
+    elif on_problem == "leave":
+        decided = _usable(selection, decided)
+    else:
+        raise ValueError(on_problem)
     rows = selection.join(decided, KEYS, "left")
     accepted = (
         selection.join(decided.filter(F.col("decision") != "exclude"), KEYS)
@@ -137,11 +161,26 @@ def series_lookup(rows: DataFrame, series: DataFrame, wanted: list[str], how: st
     return rows.join(series.select(*SERIES_KEYS, *wanted), SERIES_KEYS, how)
 
 
+def missing_series(rows: DataFrame, series: DataFrame) -> DataFrame:
+    """Rows whose series is not in the inventory."""
+    return rows.join(series.select(*SERIES_KEYS), SERIES_KEYS, "left_anti")
+
+
+def assert_all_found(rows: DataFrame, series: DataFrame, shown: int = 20) -> None:
+    lost = missing_series(rows, series).select("subject_id", "series_uid_hash")
+    found = lost.orderBy("subject_id", "series_uid_hash").limit(shown).collect()
+    if found:
+        raise ValueError("series not in the inventory: " + ", ".join(f"sub-{r[0]} {r[1]}" for r in found))
+
+
 def review_sheet(
     selection: DataFrame, series: DataFrame, prior: DataFrame | None = None,
     position: str = "position",
 ) -> DataFrame:
-    """Rows in review or already decided, keeping what people wrote on the prior sheet."""
+    """Rows in review or already decided, keeping what people wrote on the prior sheet.
+
+    Rows whose series is missing have no facts; ``assert_all_found`` refuses them.
+    """
     open_rows = selection.filter(
         (F.col("decision_status") == "review") | (F.col("manual_decision") != "")
     )

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import atexit
+import re
+import shutil
 import tempfile
 import uuid
 
@@ -9,23 +12,43 @@ from pyspark.sql import DataFrame, SparkSession
 
 CHECKPOINT_CONF = "spark.checkpoint.dir"
 _local: dict[str, str] = {}
+_made: dict[str, list[str]] = {}
 
 
 def shared_dir(spark: SparkSession) -> str:
     """The cluster's checkpoint folder; a fresh temporary one only for a local session."""
-    configured = spark.conf.get(CHECKPOINT_CONF, None)
+    context = spark.sparkContext
+    configured = spark.conf.get(CHECKPOINT_CONF, None) or context.getCheckpointDir()
     if configured:
         return configured.rstrip("/")
-    if not spark.sparkContext.master.startswith("local"):
+    if not re.match(r"local(\[|$)", context.master):
         raise RuntimeError(f"set {CHECKPOINT_CONF} to a folder that all executors share")
-    application = spark.sparkContext.applicationId
+    application = context.applicationId
     if application not in _local:
         _local[application] = tempfile.mkdtemp(prefix="spark-", dir="/tmp")
+        atexit.register(shutil.rmtree, _local[application], ignore_errors=True)
     return _local[application]
 
 
 def scratch_path(spark: SparkSession, label: str) -> str:
-    return f"{shared_dir(spark)}/{label}-{uuid.uuid4().hex}"
+    """A new place in the shared folder, which ``release`` removes."""
+    path = f"{shared_dir(spark)}/{label}-{uuid.uuid4().hex}"
+    _made.setdefault(spark.sparkContext.applicationId, []).append(path)
+    return path
+
+
+def release(spark: SparkSession, label: str = "") -> int:
+    """Delete what this application has staged under names that start with ``label``; how many places.
+
+    Tables read from them can no longer be used. A folder of a local session goes at its end anyway.
+    """
+    made = _made.get(spark.sparkContext.applicationId, [])
+    paths = [p for p in made if p.rpartition("/")[2].startswith(label)]
+    for path in paths:
+        made.remove(path)
+        place = spark._jvm.org.apache.hadoop.fs.Path(path)
+        place.getFileSystem(spark._jsc.hadoopConfiguration()).delete(place, True)
+    return len(paths)
 
 
 def stage(df: DataFrame, label: str) -> DataFrame:

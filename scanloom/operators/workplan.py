@@ -11,11 +11,16 @@ from scanloom.functions.scoring import suffix_of
 from scanloom.functions.text import blank, path_sort_key, subject_label
 from scanloom.operators.ordering import range_chunks, running_totals
 from scanloom.params import WorkParams
-from scanloom.schemas import ASSET_DIFF, SERIES_KEYS, columns
+from scanloom.schemas import ASSET_DIFF, RESULTS, SERIES_KEYS, columns
 
 # Stages in which a worker holds a series, and messages recorded with a result.
 OWNED_STAGES = ("linking", "dcm2niix", "compressing", "validating", "installing")
 DONE_STAGES = ("converted", "review_ready")
+# What a state may tell a result, beside what decides about it.
+_RECORDED = {
+    "started_at": "string", "finished_at": "string", "log_path": "string", "worker_pid": "bigint",
+    "child_pid": "bigint",
+}
 MISSING_MESSAGE = "series missing from private inventory"
 OWNED_MESSAGE = "another live worker owns this series"
 PRIOR_FAILURE_MESSAGE = "prior failure; use --retry-failed"
@@ -61,14 +66,23 @@ def resume_decisions(
     """What to do with each piece of work, given its last state and the files found now.
 
     ``state`` has one row per series (stage, output_path, output_sha256, sidecar_path,
-    sidecar_sha256, message, owner_alive); ``digests`` one per file (path, sha256).
+    sidecar_sha256, message, owner_alive and what else a result records); ``digests`` one per file
+    (path, sha256). State is joined on as much of the series key as it has.
     """
-    joined = work.join(state, "series_uid_hash", "left")
+    # Digests meet the states first. A state without a path looks for a name that no file has, so that
+    # such states do not all meet in one task.
     for kind in ("output", "sidecar"):
         found = digests.select(
-            F.col("path").alias(f"{kind}_path"), F.col("sha256").alias(f"{kind}_now")
+            F.col("path").alias("_wanted"), F.col("sha256").alias(f"{kind}_now")
         )
-        joined = joined.join(found, f"{kind}_path", "left")
+        wanted = F.coalesce(f"{kind}_path", F.concat(F.lit("\n"), "series_uid_hash"))
+        state = state.withColumn("_wanted", wanted).join(found, "_wanted", "left").drop("_wanted")
+    known = [c for c in columns(RESULTS) if c in state.columns]
+    state = state.withColumns(
+        {c: F.lit(None).cast(t) for c, t in _RECORDED.items() if c not in known}
+    ).drop(*[c for c in ("candidate_type", "mode", "status") if c in state.columns])
+    keys = [c for c in SERIES_KEYS if c in state.columns and c in work.columns]
+    joined = work.join(state, keys, "left")
     stage = blank(F.col("stage"))
 
     def unchanged(kind: str) -> Column:
@@ -100,11 +114,18 @@ def resume_decisions(
         .when(resume & owned, outcome("skipped", "active_worker", OWNED_MESSAGE))
         .otherwise(outcome("run", F.col("mode"), ""))
     )
-    kept = F.col("_verdict.status") == "skipped"
+    mode = F.col("_verdict.mode")
+    verified, ended = mode == "resume", mode.isin("resume", "preserved_failure")
+    owned = mode == "active_worker"
+
+    def text(name: str, when: Column) -> Column:
+        return F.when(when, blank(F.col(name))).otherwise("").alias(name)
+
     return joined.withColumn("_verdict", verdict).select(
         "subject_id", "series_uid_hash", "candidate_type", "_verdict.*",
-        F.when(kept, F.col("output_path")).otherwise("").alias("output_path"),
-        F.when(kept, F.col("output_sha256")).otherwise("").alias("output_sha256"),
+        *[text(c, verified) for c in ("output_path", "output_sha256", "sidecar_path", "sidecar_sha256")],
+        *[text(c, ended) for c in ("started_at", "finished_at", "log_path")],
+        *[F.when(owned, F.col(c)).alias(c) for c in ("worker_pid", "child_pid")],
     )
 
 

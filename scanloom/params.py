@@ -50,12 +50,10 @@ class ResourceMinimums:
             raise ValueError("resource minimums must not be negative")
 
 
-# The vocabulary a release is checked against unless another is given.
-FORBIDDEN_TOKENS = ("codex",)
+# What a release is checked against unless the caller gives more: site words and private paths are theirs.
 PROHIBITED_SUFFIXES = (
     ".nii.gz", ".dcm", ".ima", ".nii", ".bval", ".bvec", ".p12", ".pfx", ".pem", ".key",
 )
-PRIVATE_PATHS = ("/data/shares/", "/data/usersdir/")
 SECRET_MARKERS = ("ghp_", "github_pat_", "BEGIN PRIVATE KEY")
 MAX_FILE_BYTES = 5 * 1024 * 1024
 EXCLUDED_DIRECTORIES = (
@@ -66,9 +64,9 @@ EXCLUDED_FILES = (".coverage",)
 
 @dataclass(frozen=True)
 class ReleasePolicy:
-    forbidden_tokens: tuple[str, ...] = FORBIDDEN_TOKENS
+    forbidden_tokens: tuple[str, ...] = ()
     prohibited_suffixes: tuple[str, ...] = PROHIBITED_SUFFIXES
-    private_paths: tuple[str, ...] = PRIVATE_PATHS
+    private_paths: tuple[str, ...] = ()
     secret_markers: tuple[str, ...] = SECRET_MARKERS
     max_bytes: int = MAX_FILE_BYTES
     excluded_directories: tuple[str, ...] = EXCLUDED_DIRECTORIES

@@ -4,19 +4,31 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame
 
-from scanloom.operators.inventory import inventory
+from scanloom.operators.inventory import inventory, raise_problems, subject_problems, without_subjects
 from scanloom.operators.selection import select_series
 from scanloom.operators.staging import stage
 from scanloom.params import SelectionParams
 
 
 def curate(
-    instances: DataFrame, params: SelectionParams = SelectionParams()
-) -> tuple[DataFrame, DataFrame]:
+    instances: DataFrame, params: SelectionParams = SelectionParams(), on_problem: str = "raise"
+) -> tuple[DataFrame, ...]:
     """Instance headers to (stored series, selection).
 
+    Labels that occur in several centers and folders without a label stop the run; with
+    ``on_problem="report"`` those subjects are left out and listed in a third table.
+
     The series table is the natural cut: it is hundreds of times smaller than the headers and
     every later step reads it more than once.
     """
+    problems = subject_problems(instances)
+    if on_problem == "report":
+        problems = stage(problems, "subject-problems")
+        instances = without_subjects(instances, problems)
+    elif on_problem == "raise":
+        raise_problems(problems)
+    else:
+        raise ValueError(on_problem)
     series = stage(inventory(instances, params), "series")
-    return series, select_series(series, params)
+    selection = select_series(series, params)
+    return (series, selection) if on_problem == "raise" else (series, selection, problems)

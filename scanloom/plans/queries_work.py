@@ -294,9 +294,14 @@ SELECT subject_id, series_uid_hash, candidate_type,
   CASE WHEN stage IN ('converted', 'review_ready') AND e NOT IN ('a', 'b') THEN 'verified prior ' || stage || ' output'
     WHEN stage = 'failed' THEN CASE WHEN e = '0' THEN 'disk full' ELSE 'prior failure; use --retry-failed' END
     WHEN stage = 'linking' AND e < '8' THEN 'another live worker owns this series' ELSE '' END AS message,
-  CASE WHEN (stage IN ('converted', 'review_ready') AND e NOT IN ('a', 'b')) OR (stage = 'linking' AND e < '8')
-    THEN 'out/' || series_uid_hash ELSE '' END AS output_path
-FROM decided"""))
+  CASE WHEN verified THEN 'out/' || series_uid_hash ELSE '' END AS output_path,
+  CASE WHEN verified THEN sha256(series_uid_hash) ELSE '' END AS output_sha256,
+  CASE WHEN verified THEN 'side/' || series_uid_hash ELSE '' END AS sidecar_path,
+  CASE WHEN verified THEN sha256(series_uid_hash) ELSE '' END AS sidecar_sha256,
+  CASE WHEN verified OR stage = 'failed' THEN 'start ' || e ELSE '' END AS started_at,
+  '' AS finished_at, CASE WHEN verified OR stage = 'failed' THEN 'log/' || series_uid_hash ELSE '' END AS log_path,
+  CASE WHEN stage = 'linking' AND e < '8' THEN ascii(e)::BIGINT END AS worker_pid, NULL::BIGINT AS child_pid
+FROM (SELECT *, coalesce(stage IN ('converted', 'review_ready') AND e NOT IN ('a', 'b'), FALSE) AS verified FROM decided)"""))
 def resume_decisions(spark: SparkSession, sf_dir: str) -> DataFrame:
     work = _work(spark, sf_dir)
     h = F.col("series_uid_hash")
@@ -310,6 +315,8 @@ def resume_decisions(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.concat(F.lit("out/"), h).alias("output_path"), F.sha2(h, 256).alias("output_sha256"),
         F.concat(F.lit("side/"), h).alias("sidecar_path"), F.sha2(h, 256).alias("sidecar_sha256"),
         F.when(e == "0", "disk full").alias("message"), (e < "8").alias("owner_alive"),
+        F.concat(F.lit("start "), e).alias("started_at"), F.concat(F.lit("log/"), h).alias("log_path"),
+        F.ascii(e).cast("bigint").alias("worker_pid"),
     ).filter(F.col("stage").isNotNull())
     files = work.select(
         h.alias("h"), F.explode(F.array(F.lit("out/"), F.lit("side/"))).alias("kind"), e.alias("e")
@@ -320,7 +327,7 @@ def resume_decisions(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.when((F.col("e") == "a") & (F.col("kind") == "out/"), "changed")
         .otherwise(F.sha2("h", 256)).alias("sha256"),
     )
-    return workplan.resume_decisions(work, state, digests).drop("output_sha256")
+    return workplan.resume_decisions(work, state, digests)
 
 
 @registered(query(SELECTION, """
@@ -605,12 +612,13 @@ def _report_errors(name: str, kinds: str) -> str:
 )"""
 
 
-_REPORTS = _report_errors("baseline", "'view', 'click'") + "," + _report_errors("candidate", "'click', 'error'")
+_REPORTS = _report_errors("baseline", "'view', 'click', 'signup'") + "," + _report_errors(
+    "candidate", "'click', 'error', 'purchase'")
 
 
 def _both_reports(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
-    old = _reports(spark, sf_dir, "/base/set", ["view", "click"])
-    new = _reports(spark, sf_dir, "/cand/set", ["click", "error"])
+    old = _reports(spark, sf_dir, "/base/set", ["view", "click", "signup"])
+    new = _reports(spark, sf_dir, "/cand/set", ["click", "error", "purchase"])
     return (
         validation.error_fingerprints(old, "/base/set"),
         validation.error_fingerprints(new, "/cand/set"),

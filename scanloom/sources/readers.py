@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from scanloom.functions.text import blank, strip, subject_label
+from scanloom.operators.review import last_per_key
 from scanloom.schemas import INSTANCES, SELECTION, SERIES, columns
 
 
@@ -31,18 +32,29 @@ def read_instances(spark: SparkSession, path: str, format: str = "parquet") -> D
     return spark.read.format(format).schema(INSTANCES).load(path)
 
 
-def read_tsv(spark: SparkSession, path: str, position: str | None = None) -> DataFrame:
-    """A headed TSV as text columns, blanks as empty strings, doubled quotes understood."""
+def read_tsv(
+    spark: SparkSession, path: str, position: str | None = None, multi_line: bool = True
+) -> DataFrame:
+    """A headed TSV as text columns, blanks as empty strings, doubled quotes understood.
+
+    ``position`` names a column that orders rows by file name, then line. Quoted cells may hold line
+    breaks, which makes every file one task; ``multi_line=False`` splits large files that have none.
+    """
     raw = (
         spark.read.option("header", True)
         .option("sep", "\t")
         .option("escape", '"')
-        .option("multiLine", False)
+        .option("multiLine", multi_line)
+        .option("ignoreLeadingWhiteSpace", False)
+        .option("ignoreTrailingWhiteSpace", False)
         .csv(path)
     )
-    cells = raw.select(*[blank(F.col(f"`{c}`")).alias(c) for c in raw.columns])
+    cells = [blank(F.col(f"`{c}`")).alias(c) for c in raw.columns]
+    if not position:
+        return raw.select(*cells)
     # Ids grow along the partitions of a scan, which keeps the order of lines within one file.
-    return cells.withColumn(position, F.monotonically_increasing_id()) if position else cells
+    place = F.struct(F.col("_metadata.file_path").alias("file"), F.monotonically_increasing_id().alias("line"))
+    return raw.select(*cells, place.alias(position))
 
 
 def read_selection(spark: SparkSession, path: str) -> DataFrame:
@@ -97,7 +109,9 @@ def read_subject_list(spark: SparkSession, path: str) -> DataFrame:
 
 
 def read_dataset_table(spark: SparkSession, path: str, key: str) -> DataFrame:
-    """A participants or scans TSV: unknown columns are kept, rows without a key dropped."""
-    return read_tsv(spark, path).filter(F.col(key) != "")
+    """A participants or scans TSV: unknown columns are kept, rows without a key dropped, and of rows
+    with one key the last counts."""
+    rows = read_tsv(spark, path, "_position").filter(F.col(key) != "")
+    return last_per_key(rows, [key], ["_position"]).select(*[c for c in rows.columns if c != "_position"])
 
 

@@ -28,7 +28,8 @@ UNREADABLE_STATUS = "unreadable_or_non_dicom"
 def write_tsv(
     df: DataFrame, path: str, fields: Sequence[str], missing: str = "", mode: str = "overwrite"
 ) -> None:
-    """The given fields as text; absent or null cells become ``missing``."""
+    """The given fields as text; absent or null cells become ``missing``. Cells with tabs, quotes or
+    line breaks are quoted, and their white space is kept."""
 
     def cell(name: str) -> Column:
         if name not in df.columns:
@@ -42,6 +43,8 @@ def write_tsv(
         .option("header", True)
         .option("escape", '"')
         .option("emptyValue", "")
+        .option("ignoreLeadingWhiteSpace", False)
+        .option("ignoreTrailingWhiteSpace", False)
         .csv(path)
     )
 

@@ -3,6 +3,7 @@ from pyspark.sql import functions as F
 
 from scanloom.operators import inventory as iv
 from scanloom.plans.cohort import cohort_instances
+from scanloom.plans.pipeline import curate
 
 SMALL = "/root/testdata/sf0.001"
 
@@ -19,7 +20,7 @@ def test_three_slices_make_one_axial_t1(instances):
     row = iv.inventory(instances(*slices())).collect()
     assert len(row) == 1
     row = row[0]
-    assert (row.instance_count, row.plane, row.coverage_mm) == (3, "axial", 15.0)
+    assert (row.instance_count, row.plane, row.coverage_mm) == (3, "axial", 14.0)
     assert (row.candidate_type, row.subject_id, row.inventory_note) == ("t1", "p001", "")
 
 
@@ -57,7 +58,7 @@ def test_multi_frame_vectors_count(instances):
                frame_iops=[[1.0, 0.0, 0.0, 0.0, 1.0, 0.0]],
                frame_ipps=[[0.0, 0.0, 0.0], [0.0, 0.0, 30.0], [1.0]])
     found = iv.series_rollup(instances(row)).first()
-    assert (found.plane, found.coverage_mm, found.instance_count) == ("axial", 35.0, 1)
+    assert (found.plane, found.coverage_mm, found.instance_count) == ("axial", 34.0, 1)
 
 
 def test_unreadable_routing(instances):
@@ -89,7 +90,19 @@ def test_collisions_are_reported(instances):
     found = iv.center_collisions(iv.subject_dirs(df))
     assert [tuple(r) for r in found.collect()] == [("p001", "siteA;siteB", 2)]
     with pytest.raises(ValueError, match="sub-p001"):
-        iv.assert_no_collisions(found)
+        curate(df)
+    more = instances(*[r for i in range(25) for c in "AB" for r in slices(f"X{i}", f"site{c}", 1)])
+    with pytest.raises(ValueError, match="and 5 more"):
+        iv.raise_problems(iv.subject_problems(more))
+
+
+def test_reported_subjects_are_left_out(instances):
+    df = instances(*slices(), *slices(center="siteB"), *slices("P002"), dict(relpath="siteA/__/s/1.dcm"), dict(relpath="top.dcm"))
+    series, chosen, problems = curate(df, on_problem="report")
+    assert [r.subject_id for r in series.collect()] == ["p002"] and chosen.count() == 1
+    assert sorted(r.subject_id or "" for r in problems.collect()) == ["", "p001"]
+    with pytest.raises(ValueError, match="does not produce"):
+        curate(instances(dict(relpath="siteA/__/s/1.dcm")))
 
 
 def test_invalid_folder_is_a_problem(instances):
@@ -104,6 +117,20 @@ def test_hot_path_equals_usual_path(spark):
         assert usual.exceptAll(spread).count() == 0 and spread.exceptAll(usual).count() == 0
 
 
+def test_both_paths_agree_on_doubled_rows_null_labels_and_frames(instances):
+    one = dict(relpath="a/S1/s/1.dcm", sop_uid="1", ipp=[0.0, 0.0, 0.0])
+    frames = dict(relpath="a/S2/s/1.dcm", sop_uid="1", iop=None, ipp=None, frame_iops=[[1.0, 0.0, 0.0, 0.0, 1.0, 0.0]] * 3,
+                  frame_ipps=[[0.0, 0.0, 4.0 * i] for i in range(3)])
+    df = instances(
+        one, one, {**one, "manufacturer": "Other", "ipp": [0.0, 0.0, 9.0]}, {**one, "sop_uid": "2", "relpath": "a/S1/s/2.dcm"},
+        *slices("__"), dict(relpath="a/__/x/7.dcm", study_uid=None, series_uid=None, sop_uid=None), frames, frames,
+    )
+    tables = [iv.series_rollup(df, hot_rows=hot).collect() for hot in (None, 1, 3)]
+    assert sorted(map(str, tables[0])) == sorted(map(str, tables[1])) == sorted(map(str, tables[2]))
+    counts = {(r.subject_id, r.instance_count, r.duplicate_instance_count) for r in tables[0]}
+    assert counts == {("s1", 2, 2), (None, 3, 0), (None, 1, 0), ("s2", 1, 1)}
+
+
 def test_result_does_not_depend_on_partitioning(spark):
     df = cohort_instances(spark, SMALL)
     a, b = iv.inventory(df), iv.inventory(df.repartition(13, F.rand(1)).cache())

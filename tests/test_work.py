@@ -1,4 +1,5 @@
 import datetime as dt
+from pathlib import Path
 
 import numpy as np
 import pytest
@@ -7,7 +8,8 @@ from pyspark.sql import functions as F
 from scanloom.operators import lifecycle as lc
 from scanloom.operators import ordering, qc, release, validation, workplan
 from scanloom.operators import participants as pt
-from scanloom.operators.staging import shared_dir
+from scanloom.operators.staging import release as release_staged
+from scanloom.operators.staging import shared_dir, stage
 from scanloom.params import ReleasePolicy, ResourceMinimums, WorkParams
 from scanloom.sources import readers, writers
 from scanloom.streaming import lifecycle as streams
@@ -68,7 +70,7 @@ def test_stale_and_blockers(spark):
 
 def _resume(spark, selection, stage, changed=False, params=WorkParams(), alive=False):
     work = workplan.convertible(selection({}))
-    state = spark.createDataFrame([("serieshash", stage, "o", "1", "s", "2", None, alive)],
+    state = spark.createDataFrame([("run", stage, "o", "1", "s", "2", None, alive)],
         "series_uid_hash STRING, stage STRING, output_path STRING, output_sha256 STRING, sidecar_path STRING, sidecar_sha256 STRING, message STRING, owner_alive BOOLEAN")
     digests = spark.createDataFrame([("o", "x" if changed else "1"), ("s", "2")], "path STRING, sha256 STRING")
     r = workplan.resume_decisions(work, state, digests, params).first()
@@ -85,12 +87,12 @@ def test_resume(spark, selection):
 
 
 def test_asset_diff(spark, selection):
-    old = [("sub-001/anat/sub-001_T1w.nii.gz", "h1"), ("sub-001/anat/sub-001_T1w.json", "h2"), ("sub-002/anat/x_T1w.nii", "h")]
+    old = [("sub-000/anat/sub-000_T1w.nii.gz", "h1"), ("sub-000/anat/sub-000_T1w.json", "h2"), ("sub-002/anat/x_T1w.nii", "h")]
     assets = spark.createDataFrame(old, "relpath STRING, sha256 STRING")
     got = workplan.asset_diff(selection({}), assets).collect()
     assert {(r.action, r.old_sha256) for r in got} == {("replaced", "h1"), ("replaced", "h2")}
-    added = workplan.asset_diff(selection(dict(candidate_type="flair", output_basename="sub-001_FLAIR")), assets).first()
-    assert (added.action, added.old_path, added.new_path) == ("added", "", "sub-001/anat/sub-001_FLAIR.nii.gz")
+    added = workplan.asset_diff(selection(dict(candidate_type="flair", output_basename="sub-000_FLAIR")), assets).first()
+    assert (added.action, added.old_path, added.new_path) == ("added", "", "sub-000/anat/sub-000_FLAIR.nii.gz")
 
 
 def test_copy_plan_sees_changed_files(spark):
@@ -150,25 +152,26 @@ def test_validator_errors(spark):
 
 
 def test_participants_and_scans(spark, series):
-    existing = spark.createDataFrame([("sub-001", "33", "x"), ("sub-777", "", "y")], "participant_id STRING, age STRING, site_id STRING")
+    existing = spark.createDataFrame([("sub-000", "33", "x"), ("sub-777", "", "y")], "participant_id STRING, age STRING, site_id STRING")
     got = {r.participant_id: (r.age, r.site_id) for r in pt.participants_upsert(existing, series({}, dict(subject_id="002"))).collect()}
     assert got["sub-777"] == ("n/a", "y") and got["sub-002"][0] == "n/a"
-    assert got["sub-001"] == ("33", got["sub-002"][1]) and got["sub-001"][1].startswith("site-")
-    scans = spark.createDataFrame([("001", "anat/sub-001_acq-old_T1w.nii.gz", "me"), ("001", "anat/sub-001_FLAIR.nii.gz", "you")],
+    assert got["sub-000"] == ("33", got["sub-002"][1]) and got["sub-000"][1].startswith("site-")
+    scans = spark.createDataFrame([("000", "anat/sub-000_acq-old_T1w.nii.gz", "me"), ("000", "anat/sub-000_FLAIR.nii.gz", "you")],
                                   "subject_id STRING, filename STRING, operator STRING")
-    fresh = spark.createDataFrame([("001", "t1", "anat/sub-001_T1w.nii.gz", "p", "axial", "original", "r")],
+    fresh = spark.createDataFrame([("000", "t1", "anat/sub-000_T1w.nii.gz", "p", "axial", "original", "r")],
         "subject_id STRING, candidate_type STRING, filename STRING, protocol_id STRING, source_plane STRING, source_kind STRING, selection_qc STRING")
     rows = {r.filename: (r.operator, r.protocol_id) for r in pt.scans_upsert(scans, fresh).collect()}
-    assert rows == {"anat/sub-001_FLAIR.nii.gz": ("you", "n/a"), "anat/sub-001_T1w.nii.gz": ("n/a", "p")}
+    assert rows == {"anat/sub-000_FLAIR.nii.gz": ("you", "n/a"), "anat/sub-000_T1w.nii.gz": ("n/a", "p")}
 
 
 def test_release_gate(spark):
-    corpus = spark.createDataFrame([("ok.txt", 3, "fine"), ("image.nii.gz", 3, "x"), ("a/codex.md", 3, "x"), ("b.txt", 3, "has GHP_x"),
+    corpus = spark.createDataFrame([("ok.txt", 3, "fine"), ("image.nii.gz", 3, "x"), ("a/inner.md", 3, "x"), ("b.txt", 3, "has GHP_x"),
         ("c.bin", 3, None), ("d.txt", 10**8, "ghp_"), ("dist/e.txt", 1, "ghp_")], "path STRING, length BIGINT, text STRING")
-    found = {r.problem for r in release.release_problems(release.to_check(corpus)).collect()}
-    assert found == {"prohibited data or credential extension: image.nii.gz", "forbidden token in filename: a/codex.md",
+    policy = ReleasePolicy(forbidden_tokens=("inner",))
+    found = {r.problem for r in release.release_problems(release.to_check(corpus), policy).collect()}
+    assert found == {"prohibited data or credential extension: image.nii.gz", "forbidden token in filename: a/inner.md",
         "possible credential in content: b.txt", "unexpected binary file: c.bin", "file exceeds 5242880 bytes: d.txt"}
-    assert ReleasePolicy().max_bytes == 5 * 1024 * 1024
+    assert ReleasePolicy().max_bytes == 5 * 1024 * 1024 and ReleasePolicy().private_paths == ()
 
 
 def test_file_readers(spark, tmp_path):
@@ -180,6 +183,9 @@ def test_file_readers(spark, tmp_path):
     assert listing == {"c/s/x.bin": 2, "c/y.txt": 3}
     files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(str(root))
     assert sorted(r.text is None for r in release.release_corpus(files).collect()) == [False, True]
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(str(root))
+    tight = {r.length: r.text for r in release.release_corpus(files, ReleasePolicy(max_bytes=2)).collect()}
+    assert tight == {2: None, 3: None}
     names = tmp_path / "subjects.tsv"
     names.write_text("﻿participant_id\tage\nsub-A1\t3\n# no\n\n Sub_B2 \n")
     assert {r.subject_id for r in readers.read_subject_list(spark, str(names)).collect()} == {"a1", "b2"}
@@ -199,7 +205,7 @@ def test_table_roundtrips(spark, selection, series, tmp_path):
     assert back.exceptAll(rows).count() == 0 and rows.exceptAll(back).count() == 0
     writers.write_public_inventory(series(dict(image_orientation_patient=[1.0, 0.0, 0.0, 0.0, 0.96, 0.28])), str(tmp_path / "inv"))
     row = readers.read_tsv(spark, str(tmp_path / "inv")).first()
-    assert (row.image_type, row.image_orientation_patient) == ("ORIGINAL\\PRIMARY\\M", "1\\0\\0\\0\\0.96\\0.28")
+    assert (row.image_type, row.image_orientation_patient) == ("ORIGINAL\\PRIMARY\\NORM", "1\\0\\0\\0\\0.96\\0.28")
     (tmp_path / "s.json").write_text('[{"center": "a", "subject_id": "1", "study_uid_hash": "s", "series_uid_hash": "h", "source_relpaths": ["x", "y"]}]')
     facts, sources = readers.read_series_json(spark, str(tmp_path / "s.json"))
     assert (facts.count(), sources.count()) == (1, 2)
@@ -227,18 +233,54 @@ class _Session:
 
     def __init__(self, configured, master):
         self.conf = {"spark.checkpoint.dir": configured}
-        self.sparkContext = type("Context", (), {"master": master, "applicationId": master})
+        self.sparkContext = type(
+            "Context", (), {"master": master, "applicationId": master, "getCheckpointDir": lambda self: None}
+        )()
 
 
 def test_shared_dir_follows_the_session():
     assert shared_dir(_Session("hdfs://x/checkpoints/", "yarn")) == "hdfs://x/checkpoints"
     local = shared_dir(_Session(None, "local[2]"))
     assert local.startswith("/tmp/spark-") and shared_dir(_Session(None, "local[2]")) == local
-    with pytest.raises(RuntimeError):
-        shared_dir(_Session(None, "yarn"))
+    for master in ("yarn", "local-cluster[2,1,1024]"):
+        with pytest.raises(RuntimeError):
+            shared_dir(_Session(None, master))
+
+
+def test_cells_survive_a_tsv(spark, tmp_path):
+    cells = [" padded ", "a\tb", 'say "x"', "two\nlines", "cr\r\nlf", "back\\slash", "", "last"]
+    rows = spark.createDataFrame([(str(i), c) for i, c in enumerate(cells)], "k STRING, cell STRING")
+    writers.write_tsv(rows.coalesce(1), str(tmp_path / "t"), ["k", "cell"])
+    back = readers.read_tsv(spark, str(tmp_path / "t"), "place").orderBy("place").collect()
+    assert [r.cell for r in back] == cells
+    doubled = spark.createDataFrame([("a", "1"), ("b", "2"), ("a", "3"), ("", "4")], "key STRING, v STRING").coalesce(1)
+    writers.write_tsv(doubled, str(tmp_path / "d"), ["key", "v"])
+    assert {tuple(r) for r in readers.read_dataset_table(spark, str(tmp_path / "d"), "key").collect()} == {("a", "3"), ("b", "2")}
+
+
+def test_two_centers_of_a_participant_are_refused(spark, series):
+    two = series({}, dict(center="siteX"), dict(subject_id="005"))
+    with pytest.raises(ValueError, match="sub-000"):
+        pt.participants_upsert(None, two)
+    assert [r.participant_id for r in pt.participants_upsert(None, two, on_problem="report").collect()] == ["sub-005"]
+    old = spark.createDataFrame([("sub-1", "a", 1), ("sub-1", "b", 2)], "participant_id STRING, x STRING, place INT")
+    assert [r.x for r in pt.participants_upsert(old, two, "place", "report").orderBy("participant_id").collect()] == ["n/a", "b"]
+
+
+def test_attributes_can_be_cleared_and_the_first_pid_stays(spark):
+    rows = [("a", 1, 7, 70, None), ("a", 2, 8, None, ["child"]), ("b", 1, 5, 50, ["child"]), ("b", 2, None, 51, None)]
+    df = spark.createDataFrame(rows, "k STRING, ts INT, worker_pid INT, child INT, cleared ARRAY<STRING>")
+    got = {r.k: (r.worker_pid, r.child) for r in lc.merged_state(df, "k", ["ts"]).collect()}
+    assert got == {"a": (7, None), "b": (5, 51)}
+
+
+def test_staged_tables_are_released(spark):
+    made = stage(spark.range(3), "kept")
+    assert made.count() == 3 and release_staged(spark, "kept") == 1
+    assert not any(Path(f.removeprefix("file:")).exists() for f in made.inputFiles())
 
 
-def test_every_query_has_a_result(spark):
+def test_the_contract_names_match(spark):
     import __spark_entry__ as contract
 
     assert set(contract.oracle_sql()) <= set(contract.queries())
