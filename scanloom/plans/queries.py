@@ -156,7 +156,11 @@ FROM series"""
 
 @registered(query(SERIES, _SERIES_OUT))
 def series_rollup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return inventory.series_rollup(stored_instances(spark, sf_dir)).select(
+    return rollup_columns(inventory.series_rollup(stored_instances(spark, sf_dir)))
+
+
+def rollup_columns(series: DataFrame) -> DataFrame:
+    return series.select(
         *SERIES_KEYS, "series_number", "modality", "series_description", "protocol_name",
         "sequence_name", tx.join_values(F.col("image_type")).alias("image_type"), "manufacturer",
         "acquisition_type", "repetition_time_ms", "slice_thickness_mm",

@@ -7,8 +7,11 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from scanloom.functions.text import blank, fixed_decimals, general_8, join_values
+from scanloom.functions.text import blank, fixed_decimals, general_8, join_values, walk_order_key
+from scanloom.operators.inventory import series_order
+from scanloom.operators.pilot import pilot_order
 from scanloom.operators.review import review_sheet
+from scanloom.operators.selection import selection_order
 from scanloom.operators.workplan import diff_log_merge
 from scanloom.schemas import (
     ASSET_DIFF,
@@ -26,10 +29,14 @@ UNREADABLE_STATUS = "unreadable_or_non_dicom"
 
 
 def write_tsv(
-    df: DataFrame, path: str, fields: Sequence[str], missing: str = "", mode: str = "overwrite"
+    df: DataFrame, path: str, fields: Sequence[str], missing: str = "", mode: str = "overwrite",
+    order: Sequence[Column] | None = None,
 ) -> None:
     """The given fields as text; absent or null cells become ``missing``. Cells with tabs, quotes or
-    line breaks are quoted, and their white space is kept."""
+    line breaks are quoted, and their white space is kept. With ``order``, files and the lines in
+    them follow it."""
+    if order:
+        df = df.orderBy(*order)
 
     def cell(name: str) -> Column:
         if name not in df.columns:
@@ -61,8 +68,10 @@ def public_series(series: DataFrame) -> DataFrame:
     ).select(*[F.col(f"`{c}`") for c in columns(SERIES)])
 
 
-def write_public_inventory(series: DataFrame, path: str) -> None:
-    write_tsv(public_series(series), path, columns(SERIES))
+def write_public_inventory(series: DataFrame, path: str, ordered: bool = False) -> None:
+    # Sorted before arrays and numbers become text.
+    rows = series.orderBy(*series_order()) if ordered else series
+    write_tsv(public_series(rows), path, columns(SERIES))
 
 
 def write_private_inventory(series: DataFrame, sources: DataFrame, path: str) -> None:
@@ -70,33 +79,44 @@ def write_private_inventory(series: DataFrame, sources: DataFrame, path: str) ->
     sources.write.mode("overwrite").parquet(f"{path}/sources")
 
 
-def write_unreadable(unreadable: DataFrame, path: str) -> None:
+def write_unreadable(unreadable: DataFrame, path: str, ordered: bool = False) -> None:
     rows = unreadable.withColumn("status", F.lit(UNREADABLE_STATUS))
-    write_tsv(rows, path, ["source_relpath", "status"])
+    order = [walk_order_key(F.col("source_relpath"))] if ordered else None
+    write_tsv(rows, path, ["source_relpath", "status"], order=order)
 
 
-def write_catalog(catalog: DataFrame, path: str) -> None:
-    write_tsv(catalog, path, columns(CATALOG))
+def write_problems(problems: DataFrame, path: str, ordered: bool = False) -> None:
+    write_tsv(problems, path, ["problem"], order=[F.col("problem")] if ordered else None)
 
 
-def write_selection(selection: DataFrame, path: str) -> None:
-    rows = selection.withColumn("score", fixed_decimals(F.col("score"), 6))
+def write_catalog(catalog: DataFrame, path: str, ordered: bool = False) -> None:
+    write_tsv(catalog, path, columns(CATALOG), order=[F.col("protocol_id")] if ordered else None)
+
+
+def write_selection(selection: DataFrame, path: str, ordered: bool = False) -> None:
+    sorted_rows = selection.orderBy(*selection_order()) if ordered else selection
+    rows = sorted_rows.withColumn("score", fixed_decimals(F.col("score"), 6))
     write_tsv(rows, path, columns(SELECTION))
 
 
 def write_review_sheet(
     selection: DataFrame, series: DataFrame, path: str, prior: DataFrame | None = None
 ) -> None:
-    write_tsv(review_sheet(selection, series, prior), path, columns(MANUAL_REVIEW))
+    write_review_rows(review_sheet(selection, series, prior), path)
+
+
+def write_review_rows(sheet: DataFrame, path: str) -> None:
+    write_tsv(sheet, path, columns(MANUAL_REVIEW))
 
 
-def write_results(results: DataFrame, path: str, null_text: str = "") -> None:
+def write_results(results: DataFrame, path: str, null_text: str = "", ordered: bool = False) -> None:
     """``null_text='None'`` writes missing values the way older result tables did."""
-    write_tsv(results, path, columns(RESULTS), missing=null_text)
+    order = [F.col(c) for c in ("subject_id", "candidate_type", "series_uid_hash")] if ordered else None
+    write_tsv(results, path, columns(RESULTS), missing=null_text, order=order)
 
 
-def write_pilot(pilot: DataFrame, path: str) -> None:
-    write_tsv(pilot, path, columns(PILOT))
+def write_pilot(pilot: DataFrame, path: str, ordered: bool = False) -> None:
+    write_tsv(pilot, path, columns(PILOT), order=pilot_order() if ordered else None)
 
 
 def write_qc(rows: DataFrame, path: str) -> None:
@@ -108,10 +128,10 @@ def write_diff_log(prior: DataFrame, new: DataFrame, path: str) -> None:
     write_tsv(diff_log_merge(prior, new), path, columns(ASSET_DIFF))
 
 
-def write_dataset_table(df: DataFrame, path: str) -> None:
-    """A participants or scans table: blank and missing cells read ``n/a``."""
+def write_dataset_table(df: DataFrame, path: str, key: str | None = None) -> None:
+    """A participants or scans table: blank and missing cells read ``n/a``; sorted by ``key`` if given."""
     rows = df.select(*[F.nullif(blank(F.col(c).cast("string")), F.lit("")).alias(c) for c in df.columns])
-    write_tsv(rows, path, df.columns, missing="n/a")
+    write_tsv(rows, path, df.columns, missing="n/a", order=[F.col(key)] if key else None)
 
 
 def append_samples(samples: DataFrame, path: str) -> None:

@@ -258,6 +258,35 @@ def test_cells_survive_a_tsv(spark, tmp_path):
     assert {tuple(r) for r in readers.read_dataset_table(spark, str(tmp_path / "d"), "key").collect()} == {("a", "3"), ("b", "2")}
 
 
+def test_sinks_keep_their_order(spark, selection, series, tmp_path):
+    def lines(name, column):
+        return [r[column] for r in readers.read_tsv(spark, str(tmp_path / name), "place").orderBy("place").collect()]
+
+    rows = selection(*[dict(series_uid_hash=h, score=s, subject_id=p) for h, s, p in
+                       (("c", 1.0, "2"), ("a", 1.0, "1"), ("d", 30.0, "2"), ("b", 9.0, "2"), ("e", 1.0, "2"))])
+    writers.write_selection(rows.repartition(3), str(tmp_path / "sel"), ordered=True)
+    assert lines("sel", "series_uid_hash") == ["a", "d", "b", "c", "e"]
+    facts = series(*[dict(series_uid_hash=h, series_number=n) for h, n in (("x", None), ("y", 10), ("z", 9), ("w", 10))])
+    writers.write_public_inventory(facts.repartition(3), str(tmp_path / "inv"), ordered=True)
+    assert lines("inv", "series_uid_hash") == ["z", "w", "y", "x"]
+    results = spark.createDataFrame([("2", "t1", "a"), ("1", "t1", "b"), ("1", "flair", "c")], "subject_id STRING, candidate_type STRING, series_uid_hash STRING")
+    writers.write_results(results, str(tmp_path / "res"), ordered=True)
+    assert lines("res", "series_uid_hash") == ["c", "b", "a"]
+    pilot = spark.createDataFrame([("2", "a", "r", "s"), ("1", "b", "r", "s"), ("1", "a", "r", "t")], "subject_id STRING, center STRING, reason STRING, stratum STRING")
+    writers.write_pilot(pilot, str(tmp_path / "pil"), ordered=True)
+    assert lines("pil", "stratum") == ["t", "s", "s"] and lines("pil", "center") == ["a", "a", "b"]
+    names = spark.createDataFrame([("b",), ("a",), ("c",)], "problem STRING")
+    writers.write_problems(names, str(tmp_path / "pro"), ordered=True)
+    assert lines("pro", "problem") == ["a", "b", "c"]
+    writers.write_dataset_table(names.repartition(3), str(tmp_path / "par"), key="problem")
+    assert lines("par", "problem") == ["a", "b", "c"]
+    writers.write_catalog(names.select(F.col("problem").alias("protocol_id")), str(tmp_path / "cat"), ordered=True)
+    assert lines("cat", "protocol_id") == ["a", "b", "c"]
+    lost = spark.createDataFrame([("a/b/2",), ("a/b.x",), ("a/b/1",)], "source_relpath STRING")
+    writers.write_unreadable(lost, str(tmp_path / "lost"), ordered=True)
+    assert lines("lost", "source_relpath").index("a/b/1") < lines("lost", "source_relpath").index("a/b/2")
+
+
 def test_two_centers_of_a_participant_are_refused(spark, series):
     two = series({}, dict(center="siteX"), dict(subject_id="005"))
     with pytest.raises(ValueError, match="sub-000"):
