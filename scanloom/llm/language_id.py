@@ -22,6 +22,8 @@ from pyspark.sql.types import StructType
 SAMPLE_DOCS = 400
 SAMPLE_CHARS = 1_000
 MAX_LANGUAGES = 64
+SPARE = 3
+HASHES = 1 << 31
 CHUNK_BYTES = 1_024
 LEVEL = 6
 #: A text of at least so many bytes is rejected below this relative distance of the two smallest totals.
@@ -40,19 +42,28 @@ def held_out(doc_id: Column) -> Column:
 def learn(docs: DataFrame) -> dict[str, bytes]:
     """Dictionary content per language: the first ``SAMPLE_CHARS`` of ``SAMPLE_DOCS`` texts each.
 
-    Uses rows with text and lang that are not held out, chosen by a hash of the id. The window keeps the
-    first few rows of each language before its shuffle, so a language with most of the rows costs no more.
+    Uses rows with text and lang that are not held out, those with the smallest hashes of their id. A bound
+    on the hash, from the number of the language's rows, lets about ``SPARE * SAMPLE_DOCS`` rows through, so
+    that what is ranked and collected is small however many rows a language has.
     """
     rows = docs.select("doc_id", F.col("text").cast("string").alias("text"), F.col("lang").cast("string").alias("lang"))
     usable = rows.filter(F.col("lang").isNotNull() & F.col("text").isNotNull() & ~held_out(F.col("doc_id")))
-    cut = usable.select("lang", F.substring("text", 1, SAMPLE_CHARS).alias("text"), F.xxhash64("doc_id").alias("h"))
+    counts = usable.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).limit(MAX_LANGUAGES + 1).collect()
+    if len(counts) > MAX_LANGUAGES:
+        raise ValueError(f"more than {MAX_LANGUAGES} languages are labelled")
+    if not counts:
+        return {}
+    bounds = F.create_map(*[
+        F.lit(x) for r in counts for x in (r["lang"], min(HASHES, SPARE * SAMPLE_DOCS * HASHES // r["n"]))
+    ])
+    cut = usable.select(
+        "lang", F.substring("text", 1, SAMPLE_CHARS).alias("text"),
+        F.pmod(F.xxhash64("doc_id"), F.lit(HASHES)).alias("h"),
+    ).filter(F.col("h") < F.element_at(bounds, F.col("lang")))
     ranked = cut.withColumn("place", F.row_number().over(Window.partitionBy("lang").orderBy("h", "text")))
-    sample = ranked.filter(F.col("place") <= SAMPLE_DOCS).limit(MAX_LANGUAGES * SAMPLE_DOCS + 1).collect()
     content: dict[str, list] = {}
-    for row in sorted(sample, key=lambda r: (r["lang"], r["place"])):
+    for row in sorted(ranked.filter(F.col("place") <= SAMPLE_DOCS).collect(), key=lambda r: (r["lang"], r["place"])):
         content.setdefault(row["lang"], []).append(row["text"])
-    if len(content) > MAX_LANGUAGES:
-        raise ValueError(f"more than {MAX_LANGUAGES} languages are labelled")
     return {lang: prepared(" ".join(texts)) for lang, texts in content.items()}
 
 
