@@ -2,8 +2,8 @@
 
 Format: a file is a run of records. A record is an 8-byte little-endian length, the masked checksum of those
 8 bytes, the payload, and the masked checksum of the payload. Checksums are CRC-32 (zlib), rotated right by 15
-bits plus a constant, as 4 bytes. A payload is one byte (1 if there is a doc_id), the doc_id as 8 bytes, and
-the ids as unsigned 32-bit integers, all little-endian. Files hold documents in ascending doc_id order, and so
+bits plus a constant, as 4 bytes. A payload is one byte (1 if there is a doc_id), one byte with the bytes of an
+id (2 for a vocabulary of at most 65,536, else 4), the doc_id as 8 bytes, and the ids, all little-endian. Files hold documents in ascending doc_id order, and so
 do the files of the parts in turn. The index, Parquet beside the files, names file, offset, bytes and first id of
 every record, so readers can take records in any order.
 """
@@ -28,7 +28,7 @@ FILE_BYTES = 64 << 20
 #: Fixed value: the constant that masks a stored checksum.
 MASK = 0xA282EAD8
 HEAD = struct.Struct("<QI")
-KEY = struct.Struct("<Bq")
+KEY = struct.Struct("<BBq")
 TAIL = struct.Struct("<I")
 
 INDEX_SCHEMA = (
@@ -56,15 +56,17 @@ def unframe(record: bytes) -> bytes:
     return payload
 
 
-def record_of(doc_id: int | None, ids: bytes) -> bytes:
-    return frame(KEY.pack(doc_id is not None, doc_id or 0) + ids)
+def record_of(doc_id: int | None, ids: bytes, width: int) -> bytes:
+    """The record of 32-bit ids, written with ``width`` bytes each."""
+    narrow = np.frombuffer(ids, ID).astype(f"<u{width}").tobytes()
+    return frame(KEY.pack(doc_id is not None, width, doc_id or 0) + narrow)
 
 
 def parse(record: bytes) -> tuple[int | None, bytes]:
-    """doc_id and ids of one whole record."""
+    """doc_id and 32-bit ids of one whole record."""
     payload = unframe(record)
-    known, doc_id = KEY.unpack_from(payload)
-    return (doc_id if known else None), payload[KEY.size :]
+    known, width, doc_id = KEY.unpack_from(payload)
+    return (doc_id if known else None), np.frombuffer(payload, f"<u{width}", offset=KEY.size).astype(ID).tobytes()
 
 
 def _filesystem(folder: str):
@@ -89,6 +91,7 @@ def write(docs: DataFrame, folder: str, vocabulary: str | None = None, file_byte
         part = context.partitionId()
         store, root = _filesystem(folder)
         end = np.array([END_ID], ID).tobytes()
+        width = 2 if encoder(path).library.get_vocab_size() <= 1 << 16 else 4
         out, file, at, files, number, first = None, "", 0, 0, 0, 0
         for piece in slices:
             rows = []
@@ -98,7 +101,7 @@ def write(docs: DataFrame, folder: str, vocabulary: str | None = None, file_byte
                         out.close()
                     file = f"part-{part:06d}-{context.taskAttemptId()}-{files:04d}.tokens"
                     out, at, files = store.open_output_stream(f"{root}/{file}"), 0, files + 1
-                record = record_of(doc_id, ids + end)
+                record = record_of(doc_id, ids + end, width)
                 out.write(record)
                 n = len(ids) // ID.itemsize + 1
                 rows.append((part, number, file, at, len(record), doc_id, first, n))

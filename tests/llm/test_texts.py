@@ -173,7 +173,9 @@ def test_no_record_and_damaged_records(spark):
     folder = token_files.new_folder(shared_dir(spark))
     token_files.write(table(spark, []), folder)
     assert token_files.read(spark, folder).count() == 0
-    record = token_files.record_of(7, b"\1\0\0\0")
+    wide = b"\xff\xff\1\0"
+    assert token_files.parse(token_files.record_of(None, wide, 4)) == (None, wide)
+    record = token_files.record_of(7, b"\1\0\0\0", 2)
     assert token_files.parse(record) == (7, b"\1\0\0\0")
     for at in range(len(record)):
         with pytest.raises(ValueError):
