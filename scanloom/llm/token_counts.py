@@ -10,7 +10,6 @@ rather than with those of documents.
 
 from __future__ import annotations
 
-import os
 from collections import Counter
 from collections.abc import Iterator
 
@@ -21,7 +20,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from scanloom.llm.common import by_column, map_columns, texts_of
-from scanloom.llm.tokens import pieces_of, vocabulary_path
+from scanloom.llm.tokens import ID, encoder, pieces_of, vocabulary_path
 from scanloom.operators.staging import stage
 
 BLOCK_BYTES = 24 << 20
@@ -86,10 +85,7 @@ def _pieces(lists: DataFrame, path: str) -> DataFrame:
     """
 
     def work(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        from tokenizers import Tokenizer
-
-        library, last, last_n = Tokenizer.from_file(path), None, 0
+        ids_of, last, last_n = encoder(path).piece, None, 0
         for batch in batches:
             piece = batch["piece"].to_numpy(object)
             new = np.ones(len(piece), bool)
@@ -98,7 +94,7 @@ def _pieces(lists: DataFrame, path: str) -> DataFrame:
                 new[0] = False
             todo = piece[new].tolist()
             counted = np.array(
-                [last_n] + [len(e) for e in library.encode_batch_fast(todo, add_special_tokens=False)], np.int64
+                [last_n] + [len(ids_of(piece)) // ID.itemsize for piece in todo], np.int64
             )
             n = counted[np.cumsum(new)]
             if len(piece):

@@ -1,21 +1,23 @@
 """Token ids of whole texts, by the tokenizers library.
 
 Byte-level BPE never merges across a single space that stands between two other characters, so a text may be
-cut before every such space, and equal pieces have equal ids wherever they stand. The library encodes each
-piece it has not seen in this worker; known pieces are looked up. The memory of known pieces is bounded:
-beyond the bound new pieces are encoded again each time, which changes nothing but the time.
+cut before every such space, and equal pieces have equal ids wherever they stand. A piece of plain letters,
+digits and signs is cut further into the library's pre-tokens, which its BPE model encodes; the whole library
+encodes any other piece. Pieces and pre-tokens seen in this worker are looked up. That memory is bounded: beyond
+the bound new ones are encoded each time, which changes nothing but the time.
 """
 
 from __future__ import annotations
 
 import os
 import re
+import struct
 from functools import lru_cache
 
 import numpy as np
 
 VOCABULARY = "byte_bpe_50k.json"
-KNOWN_PIECES = 600_000
+KNOWN_PIECES = 400_000
 ID = np.dtype("<u4")
 
 
@@ -26,8 +28,21 @@ def vocabulary_path(name: str = VOCABULARY) -> str:
 
 
 ODD_SPACES = re.compile(r"\s[ ]|[ ]\s|^[ ]|[ ]$")
-#: Fixed value: what new pieces are joined with to encode many at once; a token of its own between them.
-BREAK = "\n"
+#: Pre-tokens of plain pieces: letters (ASCII and Latin-1), digits or signs, each with the space before it,
+#: and single line breaks. No apostrophe, which starts pre-tokens of its own.
+PLAIN = re.compile(r" ?[A-Za-zÀ-ÖØ-öø-ÿ]+| ?[0-9]+| ?[!-&(-/:-@\[-`{-~]+|\n")
+#: Fixed value: how a special string begins.
+SPECIAL = "<|"
+
+
+def _byte_characters() -> dict[int, str]:
+    """The character by which a byte-level vocabulary writes each byte: its own if that can be seen."""
+    seen = [b for b in range(256) if 33 <= b <= 126 or 161 <= b <= 172 or 174 <= b]
+    rest = [b for b in range(256) if b not in seen]
+    return {b: chr(b) for b in seen} | {b: chr(256 + i) for i, b in enumerate(rest)}
+
+
+BYTE_CHARACTERS = _byte_characters()
 
 
 def pieces_of(text: str) -> list[str]:
@@ -47,52 +62,49 @@ def pieces_of(text: str) -> list[str]:
     return out
 
 
+class Known(dict):
+    """Ids by text, worked out when first asked for and kept while there is room."""
+
+    def __init__(self, encode):
+        self.encode = encode
+
+    def __missing__(self, text: str) -> bytes:
+        ids = self.encode(text)
+        if len(self) < KNOWN_PIECES:
+            self[text] = ids
+        return ids
+
+
 class Encoder:
     def __init__(self, path: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
         self.library = Tokenizer.from_file(path)
-        self.separator = self._ids(BREAK)[0]
-        self.known: dict[str, bytes] = {}
-
-    def _ids(self, text: str) -> np.ndarray:
-        return np.asarray(self.library.encode_batch_fast([text], add_special_tokens=False)[0].ids, ID)
-
-    def _encode_pieces(self, pieces: list[str]) -> list[bytes]:
-        """Ids of pieces without white space but a first space, many to a call."""
-        out = []
-        for at in range(0, len(pieces), 2048):
-            ids = self._ids(BREAK.join(pieces[at : at + 2048]))
-            cuts = np.nonzero(ids == self.separator)[0].tolist()
-            out.extend(ids[a:b].tobytes() for a, b in zip([0, *(c + 1 for c in cuts)], [*cuts, len(ids)]))
-        return out
+        self.model = self.library.model
+        self.pre_tokens = Known(self._pre_token)
+        self.first = Known(self.piece)
+        self.later = Known(lambda piece: self.piece(" " + piece))
+
+    def _pre_token(self, text: str) -> bytes:
+        written = text.encode().decode("latin-1").translate(BYTE_CHARACTERS)
+        ids = [t.id for t in self.model.tokenize(written)]
+        return struct.pack(f"<{len(ids)}I", *ids)
+
+    def piece(self, text: str) -> bytes:
+        """Ids of one piece, the space before it included."""
+        parts = PLAIN.findall(text)
+        if sum(map(len, parts)) == len(text) and SPECIAL not in text and "\n\n" not in text:
+            return b"".join(map(self.pre_tokens.__getitem__, parts))
+        ids = self.library.encode_batch_fast([text], add_special_tokens=False)[0].ids
+        return struct.pack(f"<{len(ids)}I", *ids)
 
     def encode(self, texts: list[str]) -> list[bytes]:
         """Ids of each text as little-endian unsigned 32-bit integers."""
-        cut = [pieces_of(t) for t in texts]
-        first = {p[0] for p in cut}
-        new = {" " + p: p for p in set().union(*(p[1:] for p in cut)) - self.known.keys()}
-        plain = [p for p in (*first, *new) if p.strip() and p in (p.strip(), " " + p.strip()) and len(p.split()) == 1]
-        found = dict(zip(plain, self._encode_pieces(plain)))
-        for p in (*first, *new):
-            if p not in found:
-                found[p] = self._ids(p).tobytes()
-        extra = {p: found[k] for k, p in new.items()}
-        room = KNOWN_PIECES - len(self.known)
-        if len(extra) <= room:
-            self.known.update(extra)
-            look = self.known.__getitem__
-        else:
-            known = self.known
-
-            def look(piece):
-                ids = known.get(piece)
-                return extra[piece] if ids is None else ids
-
-        out = [b"".join([found[p[0]], *map(look, p[1:])]) for p in cut]
-        if 0 < room < len(extra):
-            self.known.update(list(extra.items())[:room])
+        out, later = [], self.later.__getitem__
+        for text in texts:
+            pieces = pieces_of(text)
+            out.append(self.first[pieces[0]] + b"".join(map(later, pieces[1:])))
         return out
 
 
