@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from scanloom.operators.inventory import series_order
 from scanloom.operators.review import series_lookup
+from scanloom.operators.staging import stage
 from scanloom.params import PilotParams
 from scanloom.schemas import PILOT, SERIES_KEYS, columns
 
@@ -20,6 +21,8 @@ def _first_subjects(members: DataFrame, keys: list[str], k: int) -> DataFrame:
     that holds most subjects never meets in one task.
     """
     by_label = Window.partitionBy(*keys).orderBy("subject_id")
+    # Stored once: what makes up the members would otherwise be worked out for both.
+    members = stage(members, "pilot-members")
     first = members.withColumn("_n", F.row_number().over(by_label)).filter(F.col("_n") <= k)
     sizes = members.groupBy(*keys).agg(F.count(F.lit(1)).alias("stratum_available"))
     return first.drop("_n").join(sizes, keys)

@@ -6,6 +6,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from scanloom.functions.scoring import output_basename, score
+from scanloom.operators.skew import join_null_safe
+from scanloom.operators.staging import stage
 from scanloom.params import SelectionParams
 from scanloom.schemas import SELECTION, SERIES_KEYS, columns
 
@@ -41,26 +43,37 @@ def subject_facts(rows: DataFrame) -> DataFrame:
         .filter(F.col("place") <= 2)
     )
     entry = F.struct("score", "series_uid_hash", "sure")
-    leaders = top.groupBy("subject_id").agg(
+    # The leaders and every row's study go into one aggregate, which is one exchange and no join.
+    both = top.select("subject_id", "pool", "place", entry.alias("entry")).unionByName(
+        rows.select("subject_id", "study_uid_hash"), allowMissingColumns=True
+    )
+    return both.groupBy("subject_id").agg(
         *[
-            F.max(F.when((F.col("pool") == pool) & (F.col("place") == place), entry)).alias(
+            F.max(F.when((F.col("pool") == pool) & (F.col("place") == place), F.col("entry"))).alias(
                 f"{pool}_{place}"
             )
             for pool in POOLS
             for place in (1, 2)
-        ]
-    )
-    studies = rows.groupBy("subject_id").agg(
-        (F.min("study_uid_hash") != F.max("study_uid_hash")).alias("multiple_studies")
+        ],
+        F.coalesce(F.min("study_uid_hash") != F.max("study_uid_hash"), F.lit(False)).alias("multiple_studies"),
     )
-    return studies.join(leaders, "subject_id", "left")
 
 
 def select_series(series: DataFrame, params: SelectionParams = SelectionParams()) -> DataFrame:
-    """One selection row per series. Reads ``series`` three times: pass a stored table."""
-    rows = scored(series, params).withColumn("pool", _pool(params))
+    """One selection row per series.
+
+    Scores and pools are worked out once and stored with the few columns that the decision needs;
+    that table is read three times. Subjects without a label meet each other, as in the inventory.
+    """
+    rows = stage(
+        scored(series, params).select(
+            *SERIES_KEYS, "candidate_type", "plane", "source_kind", "protocol_id", "score",
+            "classification_confidence", "orientation_consistent", _pool(params).alias("pool"),
+        ),
+        "scored-series",
+    )
     facts = subject_facts(rows)
-    joined = rows.join(facts, "subject_id").withColumns(
+    joined = join_null_safe(rows, facts, ["subject_id"]).withColumns(
         {
             "t1_pool": F.when(F.col("t1_original_1").isNotNull(), "t1_original").when(
                 F.col("t1_mpr_1").isNotNull(), "t1_mpr"
