@@ -190,26 +190,48 @@ def _event_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lifecycle_columns(raw)
 
 
+_FILES = 4
+
+
+def _event_files(spark: SparkSession, sf_dir: str, by_time: bool) -> DataFrame:
+    """The events as a stream of several files: stretches of time, or each with events of all times."""
+    events = table(spark, sf_dir, "events")
+    path = scratch_path(spark, "event-files")
+    if by_time:
+        ends = events.agg(F.unix_micros(F.min("ts").cast("timestamp")), F.unix_micros(F.max("ts").cast("timestamp"))).first()
+        width = (ends[1] - ends[0]) // _FILES + 1
+        part = F.floor((F.unix_micros(F.col("ts").cast("timestamp")) - ends[0]) / width)
+    else:
+        part = F.col("event_id") % _FILES
+    for i in range(_FILES):
+        events.filter(part == i).coalesce(1).write.parquet(f"{path}/part={i}")
+    raw = (
+        spark.readStream.schema(events.schema).option("maxFilesPerTrigger", 1)
+        .option("recursiveFileLookup", "true").parquet(path)
+    )
+    return lifecycle_columns(raw)
+
+
 @registered(query(STAGES, "SELECT series_uid_hash, stage, event_id, value FROM latest"))
 def lifecycle_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
-    latest = streams.latest_state_stream(_event_stream(spark, sf_dir), "series_uid_hash", _ORDER)
+    latest = streams.latest_state_stream(_event_files(spark, sf_dir, False), "series_uid_hash", _ORDER)
     return streams.run_to_table(
-        latest, scratch_path(spark, "latest"), scratch_path(spark, "latest-log")
+        latest, scratch_path(spark, "latest"), scratch_path(spark, "latest-log"), "series_uid_hash"
     ).drop("ts")
 
 
 @registered(query(STAGES, "SELECT stage, count(*) AS n FROM latest GROUP BY 1"))
 def lifecycle_counts_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
-    latest = streams.latest_state_stream(_event_stream(spark, sf_dir), "series_uid_hash", _ORDER)
+    latest = streams.latest_state_stream(_event_files(spark, sf_dir, False), "series_uid_hash", _ORDER)
     return streams.stage_counts_stream(
-        latest, scratch_path(spark, "counts"), scratch_path(spark, "counts-log")
+        latest, scratch_path(spark, "counts"), scratch_path(spark, "counts-log"), "series_uid_hash"
     )
 
 
 @registered(query(STAGES, "SELECT stage, count(*) AS n, round(sum(value), 2) AS total FROM lifecycle GROUP BY 1"))
 def append_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = scratch_path(spark, "history")
-    events = _event_stream(spark, sf_dir)
+    events = _event_files(spark, sf_dir, False)
     streams.append_stream(events, path, scratch_path(spark, "history-log")).awaitTermination()
     stored = spark.read.schema(events.schema).parquet(path)
     return stored.groupBy("stage").agg(
@@ -235,11 +257,14 @@ SELECT series_uid_hash, 'interrupted' AS stage, event_ts AS last_seen_us,
 FROM (SELECT *, epoch_us(ts) AS event_ts FROM latest) WHERE stage IN ('queued', 'linking', 'dcm2niix')
   AND ts <= (SELECT max(ts) FROM lifecycle) - INTERVAL 6 HOUR - INTERVAL 1 MINUTE"""))
 def stale_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
-    watched = streams.stale_stream(_event_stream(spark, sf_dir), "6 hours", "1 minute")
+    events = _event_files(spark, sf_dir, True)
+    watched = streams.stale_stream(events, "6 hours", "1 minute", _ORDER)
     found = streams.drain_append(
         watched, scratch_path(spark, "stale"), scratch_path(spark, "stale-log")
     )
-    return found.select(
+    # Silences that are over are left out: the series was heard of again.
+    last = _latest(spark, sf_dir).select("series_uid_hash", F.col("ts").alias("last_seen"))
+    return found.join(last, ["series_uid_hash", "last_seen"], "left_semi").select(
         "series_uid_hash", "stage", F.unix_micros("last_seen").alias("last_seen_us"), "message"
     )
 

@@ -2,13 +2,12 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator, Sequence
+from collections.abc import Sequence
 from typing import Any
 
-import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
+from pyspark.sql.types import LongType, StructField, StructType
 
 from scanloom.operators.lifecycle import (
     ACTIVE_STAGES,
@@ -30,32 +29,52 @@ def latest_state_stream(events: DataFrame, key: str, order: Sequence[str]) -> Da
     return latest_state(events, key, order)
 
 
-def run_to_table(stream: DataFrame, path: str, checkpoint: str, mode: str = "complete") -> DataFrame:
-    """Drain what is available and return the final table.
+def run_to_table(stream: DataFrame, path: str, checkpoint: str, key: str) -> DataFrame:
+    """Drain what is available and return the newest row of every key.
 
-    Every micro-batch of a ``complete`` query rewrites its own folder; the last one is the result.
+    Every micro-batch writes only the keys that changed, into a folder of its own, so that a repeated batch
+    replaces itself; ``newest`` puts them together and ``compact`` folds a long history.
     """
     spark = stream.sparkSession
+    schema = stream.schema
 
-    def replace(batch: DataFrame, batch_id: int) -> None:
+    def add(batch: DataFrame, batch_id: int) -> None:
         batch.write.mode("overwrite").parquet(f"{path}/batch={batch_id:012d}")
 
-    query = (
-        stream.writeStream.outputMode(mode)
-        .foreachBatch(replace)
+    (
+        stream.writeStream.outputMode("update")
+        .foreachBatch(add)
         .option("checkpointLocation", checkpoint)
         .trigger(availableNow=True)
         .start()
+        .awaitTermination()
     )
-    query.awaitTermination()
-    done = query.lastProgress["batchId"] if query.lastProgress else None
-    newest = spark.read.parquet(path).agg(F.max("batch")).first()[0] if done is None else done
-    return spark.read.schema(stream.schema).parquet(f"{path}/batch={int(newest):012d}")
+    return newest(spark, path, key, schema)
+
+
+def newest(spark: SparkSession, path: str, key: str, schema: StructType, upto: int | None = None) -> DataFrame:
+    """The last row of every key, of all micro-batches or as it was after batch ``upto``."""
+    fields = [f for f in schema.fields if f.name != "batch"]
+    rows = spark.read.schema(StructType([*fields, StructField("batch", LongType())])).option("basePath", path).parquet(path)
+    if upto is not None:
+        rows = rows.filter(F.col("batch") <= upto)
+    rest = [f.name for f in fields if f.name != key]
+    last = rows.groupBy(key).agg(F.max_by(F.struct(*rest), "batch").alias("_last"))
+    return last.select(key, "_last.*").select(*[f.name for f in fields])
+
 
+def compact(spark: SparkSession, path: str, to: str, key: str, schema: StructType, upto: int) -> None:
+    """Write the state after batch ``upto`` to ``to`` as one batch of that number, in place of its history."""
+    newest(spark, path, key, schema, upto).write.parquet(f"{to}/batch={upto:012d}")
 
-def stage_counts_stream(latest: DataFrame, path: str, checkpoint: str) -> DataFrame:
-    """Series per stage after the stream's newest micro-batch."""
-    return counts_by_stage(run_to_table(latest, path, checkpoint))
+
+def stage_counts_stream(latest: DataFrame, path: str, checkpoint: str, key: str) -> DataFrame:
+    """Series per stage after the stream's newest micro-batch; ``counts_at`` tells those of earlier ones."""
+    return counts_by_stage(run_to_table(latest, path, checkpoint, key))
+
+
+def counts_at(spark: SparkSession, path: str, key: str, schema: StructType, batch: int) -> DataFrame:
+    return counts_by_stage(newest(spark, path, key, schema, batch))
 
 
 def append_stream(events: DataFrame, path: str, checkpoint: str):
@@ -70,49 +89,23 @@ def append_stream(events: DataFrame, path: str, checkpoint: str):
     )
 
 
-def stale_stream(events: DataFrame, timeout: str = "10 minutes", lateness: str = "1 minute") -> DataFrame:
+def stale_stream(
+    events: DataFrame, timeout: str = "10 minutes", lateness: str = "1 minute",
+    order: Sequence[str] = ("ts",),
+) -> DataFrame:
     """Emit a series once its active stage has been silent, in event time, for ``timeout``.
 
-    Columns: series_uid_hash, stage, ts. State is one row per series.
+    A session of a series ends after that silence; its stage is that of the last event by ``order``. Each
+    silence is emitted once, also if the series goes on later. Events later than ``lateness`` are left out.
+    Columns: series_uid_hash, stage, last_seen, message.
     """
-    wait_ms = int(pd.Timedelta(timeout).total_seconds() * 1000)
-
-    def watch(
-        key: tuple[str], frames: Iterator[pd.DataFrame], state: GroupState
-    ) -> Iterator[pd.DataFrame]:
-        if state.hasTimedOut:
-            stage, seen = state.get
-            state.remove()
-            if stage in ACTIVE_STAGES:
-                yield pd.DataFrame(
-                    {
-                        "series_uid_hash": [key[0]],
-                        "stage": ["interrupted"],
-                        "last_seen": [pd.Timestamp(seen, unit="us")],
-                        "message": [STALE_MESSAGE],
-                    }
-                )
-            return
-        stage, seen = state.get if state.exists else ("", -1)
-        for frame in frames:
-            newest = frame.loc[frame["ts"].idxmax()]
-            micros = int(newest["ts"].value // 1000)
-            if micros >= seen:
-                stage, seen = newest["stage"], micros
-        state.update((stage, seen))
-        due = seen // 1000 + wait_ms
-        if due > state.getCurrentWatermarkMs():
-            state.setTimeoutTimestamp(due)
-        else:
-            state.setTimeoutTimestamp(state.getCurrentWatermarkMs() + 1)
-
-    watched = events.select("series_uid_hash", "stage", "ts").withWatermark("ts", lateness)
-    return watched.groupBy("series_uid_hash").applyInPandasWithState(
-        watch,
-        outputStructType="series_uid_hash STRING, stage STRING, last_seen TIMESTAMP, message STRING",
-        stateStructType="stage STRING, seen BIGINT",
-        outputMode="append",
-        timeoutConf=GroupStateTimeout.EventTimeTimeout,
+    watched = events.withWatermark("ts", lateness)
+    sessions = watched.groupBy(F.session_window("ts", timeout), "series_uid_hash").agg(
+        F.max_by("stage", F.struct(*order)).alias("stage"), F.max("ts").alias("last_seen")
+    )
+    return sessions.filter(F.col("stage").isin(*ACTIVE_STAGES)).select(
+        "series_uid_hash", F.lit("interrupted").alias("stage"), "last_seen",
+        F.lit(STALE_MESSAGE).alias("message"),
     )
 
 

@@ -220,8 +220,12 @@ def test_streams(spark, tmp_path):
     def stream():
         return spark.readStream.schema(ddl).option("maxFilesPerTrigger", 1).option("recursiveFileLookup", "true").parquet(str(tmp_path / "log"))
 
-    latest = streams.run_to_table(streams.latest_state_stream(stream(), "series_uid_hash", ["ts"]), str(tmp_path / "o1"), str(tmp_path / "c1"))
+    latest = streams.run_to_table(streams.latest_state_stream(stream(), "series_uid_hash", ["ts"]), str(tmp_path / "o1"), str(tmp_path / "c1"), "series_uid_hash")
     assert {(r.series_uid_hash, r.stage) for r in latest.collect()} == {("a", "linking"), ("b", "converted"), ("c", "queued")}
+    written = [spark.read.parquet(str(f)).count() for f in sorted((tmp_path / "o1").glob("batch=*"))]
+    assert sum(written) == 4  # a, b, then b and c again or anew: never the whole table
+    counts = streams.counts_at(spark, str(tmp_path / "o1"), "series_uid_hash", latest.schema, 0).collect()
+    assert {tuple(r) for r in counts} in ({("linking", 2)}, {("converted", 1), ("queued", 1)})
     rates = streams.rates_to_table(stream(), ["value"], "series_uid_hash", ["ts"], str(tmp_path / "o2"), str(tmp_path / "c2"))
     assert sorted(round(r.value_per_second, 4) for r in rates.collect()) == [0.0, 0.0, 0.0, round(2 / 49, 4)]
     stale = streams.drain_append(streams.stale_stream(stream(), "10 minutes"), str(tmp_path / "o3"), str(tmp_path / "c3")).collect()
