@@ -4,10 +4,9 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from scanloom.operators.ordering import previous_row, range_chunks
 from scanloom.params import ResourceMinimums
 
 # The stages of a series.
@@ -124,30 +123,46 @@ def counter_rates(
     counters: Sequence[str] = RATE_COUNTERS,
     key: Sequence[str] = ("host",),
     order: Sequence[str] = ("ts",),
+    stretch: str = "1 hour",
 ) -> DataFrame:
     """Per-second change of counters since the previous sample of the same key, else 0.
 
-    The previous row is found along one global order of (key, time), so a key with most of the
-    samples is cut into as many pieces as any other stretch of the data.
+    Samples meet by key and stretch of time, so a key with most of the samples is worked on in as many
+    tasks as it has stretches. The last sample of each stretch, one row, is put at the head of the key's
+    next one as its first predecessor.
     """
-    total_order = [*key, *order]
-    chunked = range_chunks(samples, total_order, "samples")
-    paired = previous_row(chunked, total_order, [*total_order, *counters])
-    same = F.lit(True)
-    for c in key:
-        same = same & F.col(c).eqNullSafe(F.col(f"prev_{c}"))
     ts = order[0]
-    elapsed = (F.unix_micros(F.col(ts)) - F.unix_micros(F.col(f"prev_{ts}"))) / 1e6
+    micros = F.unix_micros(F.col(ts))
+    kept = [*key, *order, *counters]
+    placed = samples.withColumns({"_stretch": F.floor(micros / _micros(stretch)), "_seed": F.lit(False)})
+    last = placed.groupBy(*key, "_stretch").agg(
+        F.max_by(F.struct(*order, *counters), F.struct(*order)).alias("_last")
+    )
+    following = F.lead("_stretch").over(Window.partitionBy(*key).orderBy("_stretch"))
+    seeds = last.withColumn("_stretch", following).filter(F.col("_stretch").isNotNull()).select(
+        *key, "_stretch", "_last.*", F.lit(True).alias("_seed")
+    )
+    inside = Window.partitionBy(*key, "_stretch").orderBy(*order)
+    before = F.lag(F.struct(*kept)).over(inside)
+    paired = placed.unionByName(seeds, allowMissingColumns=True).withColumn("_before", before)
+    elapsed = (micros - F.unix_micros(F.col(f"_before.{ts}"))) / 1e6
 
     def rate(c: str) -> Column:
-        change = F.col(c).cast("double") - F.col(f"prev_{c}").cast("double")
-        return F.coalesce(F.when(same & (elapsed > 0), change / elapsed), F.lit(0.0))
+        change = F.col(c).cast("double") - F.col(f"_before.{c}").cast("double")
+        return F.coalesce(F.when(elapsed > 0, change / elapsed), F.lit(0.0))
 
-    return paired.select(
+    return paired.filter(~F.col("_seed")).select(
         *samples.columns, *[rate(c).alias(f"{c}_per_second") for c in counters]
     )
 
 
+def _micros(stretch: str) -> int:
+    """Length of a stretch such as ``1 hour`` in microseconds."""
+    number, unit = stretch.split()
+    seconds = {"second": 1, "minute": 60, "hour": 3600, "day": 86400}[unit.rstrip("s")]
+    return int(number) * seconds * 1_000_000
+
+
 def latest_sample(samples: DataFrame, rates: Sequence[str], order: Sequence[str]) -> DataFrame:
     """The rates of the last sample; text that is not a number becomes null."""
     last = samples.orderBy(*[F.desc(c) for c in order]).limit(1)
