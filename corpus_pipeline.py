@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from scanloom.llm import decontamination, exact_dedup, language_id, packing, simhash
-from scanloom.llm.common import table
+from scanloom.llm.common import ship, table
 from scanloom.operators.staging import stage
 
 Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
@@ -52,6 +52,7 @@ ORACLE_SQL: str | None = None
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All stages over ``documents``; what each keeps is stored in the shared folder and read by the next."""
+    ship(spark)
     docs = table(spark, sf_dir, "documents")
     for name, step in STAGES[:-1]:
         docs = stage(step(spark, docs, sf_dir), f"pipeline-{name}")

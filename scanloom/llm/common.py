@@ -2,13 +2,19 @@
 
 from __future__ import annotations
 
+import atexit
+import shutil
+import tempfile
 import uuid
 from collections.abc import Iterator
+from pathlib import Path
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+import scanloom
+
 #: The white space that the operators' contracts name, [\\x20\\x09-\\x0D].
 SPACES = "\x20\x09\x0a\x0b\x0c\x0d"
 ARROW = {
@@ -77,3 +83,17 @@ def by_column(rows: list[tuple], schema: str) -> dict:
 def texts_of(docs: DataFrame) -> DataFrame:
     """doc_id as long and text as string, whatever else the table holds."""
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+
+
+_shipped: set[str] = set()
+
+
+def ship(spark: SparkSession) -> None:
+    """Hand this package to the Python workers of an application, which may not have it on their path."""
+    application = spark.sparkContext.applicationId
+    if application not in _shipped:
+        folder = tempfile.mkdtemp(prefix="spark-")  # of the driver; Spark copies the archive to executors
+        atexit.register(shutil.rmtree, folder, ignore_errors=True)
+        root = Path(scanloom.__file__).resolve().parent.parent
+        spark.sparkContext.addPyFile(shutil.make_archive(f"{folder}/scanloom", "zip", root, "scanloom"))
+        _shipped.add(application)

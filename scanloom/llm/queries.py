@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import wraps
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -11,7 +12,7 @@ from scanloom.llm import (
     decontamination, exact_dedup, html_text, language_id, packing, pii, sharding, simhash, token_counts,
     token_files,
 )
-from scanloom.llm.common import table
+from scanloom.llm.common import ship, table
 from scanloom.llm.oracles import CONTAMINATION, CONTENT_GROUPS, shard_sql
 from scanloom.operators.staging import shared_dir
 
@@ -68,8 +69,19 @@ def op10_compression_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def shipped(query: Query) -> Query:
+    """The query with this package at hand for the Python workers."""
+
+    @wraps(query)
+    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+        ship(spark)
+        return query(spark, sf_dir)
+
+    return run
+
+
 QUERIES: dict[str, Query] = {
-    f.__name__: f
+    f.__name__: shipped(f)
     for f in (
         op1_hash_tree_shards,
         op2_disguised_identifiers,
