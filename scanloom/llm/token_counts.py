@@ -2,14 +2,18 @@
 
 A pre-token here is a space-delimited piece of text, over whose edges no merge goes (``tokens``). Documents
 are gathered in blocks of about ``BLOCK_BYTES``. A block lists its distinct pre-tokens once, and each document
-its frequencies as positions in that list. The lists are dealt by pre-token, so that each distinct pre-token
-is given to the library once, and the numbers of pieces return to their block, where they are joined to the
-frequencies and summed. No ids are kept, and what is shuffled grows with the distinct pre-tokens of blocks
-rather than with those of documents.
+its frequencies as positions in that list. The lists are cut by a hash of the pre-token and dealt by it, so that
+each distinct pre-token meets itself in one task and is given to the library once; the numbers of pieces return
+to their block, where they are joined to the frequencies and summed. No ids are kept, and what is shuffled
+grows with the distinct pre-tokens of blocks rather than with those of documents.
+
+Blocks are made twice, once for the lists and once for the frequencies, instead of being stored: both need
+an input whose partitions have a fixed row order, such as a stored table.
 """
 
 from __future__ import annotations
 
+import zlib
 from collections import Counter
 from collections.abc import Iterator
 
@@ -19,16 +23,20 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from scanloom.llm.common import by_column, map_columns, texts_of
-from scanloom.llm.tokens import ID, encoder, pieces_of, vocabulary_path
-from scanloom.operators.staging import stage
+from scanloom.llm.common import by_column, map_columns, partitions, texts_of
+from scanloom.llm.tokens import encoder, pieces_of, vocabulary_path
 
 BLOCK_BYTES = 24 << 20
-LIST_PART = 1 << 15
 LIMIT = 1024
 PARTITION_STRIDE = 1 << 32
+#: Parts of a block's list for each shuffle partition.
+PARTS = 4
+#: A byte that UTF-8 never has, between the pre-tokens of a list.
+BETWEEN = b"\xff"
 
-BLOCK_SCHEMA = "block long, doc_id long, n_bytes long, at binary, times binary, base long, pieces array<string>"
+FREQUENCIES = "block long, doc_id long, n_bytes long, steps binary, times binary"
+LISTS = "block long, part int, steps binary, pieces binary"
+NUMBERS = "block long, steps binary, numbers binary"
 
 
 def frequencies(text: str) -> Counter:
@@ -41,20 +49,32 @@ def frequencies(text: str) -> Counter:
     return out
 
 
-def blocks(docs: DataFrame, block_bytes: int = BLOCK_BYTES) -> DataFrame:
-    """Two kinds of rows: a document with its frequencies, and a part of a block's list of pre-tokens."""
+def steps_of(places: np.ndarray) -> bytes:
+    """Rising places as differences, small numbers which compress well."""
+    return np.diff(places, prepend=0).astype(np.uint32).tobytes()
+
+
+def places_of(steps: bytes) -> np.ndarray:
+    return np.frombuffer(steps, np.uint32).cumsum(dtype=np.int64)
+
+
+def blocks(docs: DataFrame, parts: int, lists: bool, block_bytes: int = BLOCK_BYTES) -> DataFrame:
+    """The documents' frequencies, or the blocks' lists of pre-tokens in ``parts`` parts."""
 
     def work(slices: Iterator[dict]) -> Iterator[dict]:
         block = TaskContext.get().partitionId() * PARTITION_STRIDE
         place: dict[str, int] = {}
         size = 0
 
-        def lists() -> dict:
-            known = list(place)
-            return by_column(
-                [(block, None, None, None, None, base, known[base : base + LIST_PART])
-                 for base in range(0, len(known), LIST_PART)], BLOCK_SCHEMA,
-            )
+        def listed() -> dict:
+            found: dict[int, tuple[list, list]] = {}
+            for at, piece in enumerate(place):
+                written = piece.encode("utf-8", "surrogatepass")
+                places, pieces = found.setdefault(zlib.crc32(written) % parts, ([], []))
+                places.append(at)
+                pieces.append(written)
+            rows = [(block, part, steps_of(np.array(a)), BETWEEN.join(p)) for part, (a, p) in found.items()]
+            return by_column(rows, LISTS)
 
         for batch in slices:
             found = []
@@ -62,50 +82,45 @@ def blocks(docs: DataFrame, block_bytes: int = BLOCK_BYTES) -> DataFrame:
                 text = text or ""
                 n_bytes = len(text.encode("utf-8", "surrogatepass"))
                 if size and size + n_bytes > block_bytes:
-                    yield by_column(found, BLOCK_SCHEMA)
-                    yield lists()
-                    found, place, size, block = [], {}, 0, block + 1
+                    if lists:
+                        yield listed()
+                    place, size, block = {}, 0, block + 1
                 own = frequencies(text)
                 at = np.fromiter((place.setdefault(p, len(place)) for p in own), np.int64, len(own))
-                times = np.fromiter(own.values(), np.uint32, len(own))
-                order = np.argsort(at)
-                steps = np.diff(at[order], prepend=0).astype(np.uint32)  # small numbers, which compress well
-                found.append((block, doc_id, n_bytes, steps.tobytes(), times[order].tobytes(), None, None))
                 size += n_bytes
-            yield by_column(found, BLOCK_SCHEMA)
-        yield lists()
+                if not lists:
+                    times = np.fromiter(own.values(), np.uint32, len(own))
+                    order = np.argsort(at)
+                    found.append((block, doc_id, n_bytes, steps_of(at[order]), times[order].tobytes()))
+            if found:
+                yield by_column(found, FREQUENCIES)
+        if lists and place:
+            yield listed()
 
-    return map_columns(texts_of(docs), work, BLOCK_SCHEMA)
+    return map_columns(texts_of(docs), work, LISTS if lists else FREQUENCIES)
 
 
-def _pieces(lists: DataFrame, path: str) -> DataFrame:
-    """(block, place, n): the library's number of pieces for every pre-token of every block.
+def _numbers(listed: DataFrame, path: str) -> DataFrame:
+    """The library's number of pieces for every pre-token of every list; each distinct one is counted once.
 
-    Rows are sorted by pre-token inside their partition, so equal ones are neighbours and are counted once.
+    Equal pre-tokens are in equal parts, hence in one task, which remembers its own.
     """
 
-    def work(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        ids_of, last, last_n = encoder(path).piece, None, 0
-        for batch in batches:
-            piece = batch["piece"].to_numpy(object)
-            new = np.ones(len(piece), bool)
-            new[1:] = piece[1:] != piece[:-1]
-            if len(piece) and piece[0] == last:
-                new[0] = False
-            todo = piece[new].tolist()
-            counted = np.array(
-                [last_n] + [len(ids_of(piece)) // ID.itemsize for piece in todo], np.int64
-            )
-            n = counted[np.cumsum(new)]
-            if len(piece):
-                last, last_n = piece[-1], n[-1]
-            yield pd.DataFrame({"block": batch["block"], "place": batch["place"], "n": n})
-
-    rows = lists.select("block", "base", F.posexplode("pieces").alias("at", "piece")).select(
-        "block", (F.col("base") + F.col("at")).alias("place"), "piece"
-    )
-    dealt = rows.repartition("piece").sortWithinPartitions("piece")
-    return dealt.mapInPandas(work, "block long, place long, n long")
+    def work(slices: Iterator[dict]) -> Iterator[dict]:
+        ids_of, known = encoder(path).piece, {}
+        for rows in slices:
+            out = []
+            for block, steps, joined in zip(rows["block"], rows["steps"], rows["pieces"]):
+                pieces = joined.split(BETWEEN)
+                for piece in pieces:
+                    if piece not in known:
+                        known[piece] = len(ids_of(piece.decode("utf-8", "surrogatepass"))) // 4
+                numbers = np.fromiter(map(known.__getitem__, pieces), np.int64, len(pieces))
+                kind = np.uint8 if numbers.max() < 256 else np.uint32
+                out.append((block, steps, numbers.astype(kind).tobytes()))
+            yield by_column(out, NUMBERS)
+
+    return map_columns(listed.repartition("part").select("block", "steps", "pieces"), work, NUMBERS, rows=16)
 
 
 def count(docs: DataFrame, vocabulary: str | None = None, limit: int = LIMIT, block_bytes: int = BLOCK_BYTES) -> DataFrame:
@@ -115,17 +130,18 @@ def count(docs: DataFrame, vocabulary: str | None = None, limit: int = LIMIT, bl
     text counts as empty and has no token; a null doc_id stays null; repeated rows stay repeated; other
     columns are ignored.
     """
-    stored = stage(blocks(docs, block_bytes), "pre-token-blocks")
-    listed = stored.filter(F.col("pieces").isNotNull()).select("block", "base", "pieces")
-    own = stored.filter(F.col("pieces").isNull()).select("block", "doc_id", "n_bytes", "at", "times")
-    numbers = _pieces(listed, vocabulary or vocabulary_path())
+    parts = PARTS * partitions(docs.sparkSession)
+    own = blocks(docs, parts, lists=False, block_bytes=block_bytes)
+    numbers = _numbers(blocks(docs, parts, lists=True, block_bytes=block_bytes), vocabulary or vocabulary_path())
 
     def total(docs: pd.DataFrame, numbers: pd.DataFrame) -> pd.DataFrame:
-        n = np.zeros(len(numbers), np.int64)
-        n[numbers["place"].to_numpy()] = numbers["n"].to_numpy()
+        places = [places_of(steps) for steps in numbers["steps"]]
+        n = np.zeros(1 + max((p[-1] for p in places), default=-1), np.int64)
+        for at, found in zip(places, numbers["numbers"]):
+            n[at] = np.frombuffer(found, np.uint8 if len(found) == len(at) else np.uint32)
         tokens = [
-            int((n[np.frombuffer(at, np.uint32).cumsum(dtype=np.int64)] * np.frombuffer(times, np.uint32)).sum())
-            for at, times in zip(docs["at"], docs["times"])
+            int((n[places_of(steps)] * np.frombuffer(times, np.uint32)).sum())
+            for steps, times in zip(docs["steps"], docs["times"])
         ]
         return pd.DataFrame({"doc_id": docs["doc_id"], "n_bytes": docs["n_bytes"], "n_tokens": tokens})
 
