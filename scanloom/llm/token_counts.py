@@ -34,7 +34,8 @@ PARTS = 4
 #: A byte that UTF-8 never has, between the pre-tokens of a list.
 BETWEEN = b"\xff"
 
-FREQUENCIES = "block long, doc_id long, n_bytes long, steps binary, times binary"
+#: doc_id travels as text: pandas would make floats of integers beside nulls.
+FREQUENCIES = "block long, doc_id string, n_bytes long, steps binary, times binary"
 LISTS = "block long, part int, steps binary, pieces binary"
 NUMBERS = "block long, steps binary, numbers binary"
 
@@ -91,7 +92,7 @@ def blocks(docs: DataFrame, parts: int, lists: bool, block_bytes: int = BLOCK_BY
                 if not lists:
                     times = np.fromiter(own.values(), np.uint32, len(own))
                     order = np.argsort(at)
-                    found.append((block, doc_id, n_bytes, steps_of(at[order]), times[order].tobytes()))
+                    found.append((block, None if doc_id is None else str(doc_id), n_bytes, steps_of(at[order]), times[order].tobytes()))
             if found:
                 yield by_column(found, FREQUENCIES)
         if lists and place:
@@ -146,6 +147,8 @@ def count(docs: DataFrame, vocabulary: str | None = None, limit: int = LIMIT, bl
         return pd.DataFrame({"doc_id": docs["doc_id"], "n_bytes": docs["n_bytes"], "n_tokens": tokens})
 
     summed = own.groupBy("block").cogroup(numbers.groupBy("block")).applyInPandas(
-        total, "doc_id long, n_bytes long, n_tokens long"
+        total, "doc_id string, n_bytes long, n_tokens long"
+    )
+    return summed.withColumns(
+        {"doc_id": F.col("doc_id").cast("long"), "over_limit": F.col("n_tokens") > limit}
     )
-    return summed.withColumn("over_limit", F.col("n_tokens") > limit)

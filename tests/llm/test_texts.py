@@ -151,6 +151,8 @@ def test_token_counts(spark, library, block_bytes):
         (d, len((t or "").encode()), n := len(ids_of(library, t)), n > 1024) for d, t in TEXTS
     ]
     assert sorted(map(tuple, got), key=str) == sorted(wanted, key=str)
+    one_task = token_counts.count(table(spark, TEXTS).coalesce(1), block_bytes=block_bytes).collect()
+    assert sorted(map(tuple, one_task), key=str) == sorted(wanted, key=str)
     assert token_counts.count(table(spark, [])).count() == 0
 
 
