@@ -126,6 +126,9 @@ def _penalty(condition: Column, points: float) -> Column:
     return F.when(condition, -points).otherwise(0.0)
 
 
+# The weights and caps of the scores below; terms are added in the order given.
+
+
 def _volume_reward(weight: float, cap: float) -> Column:
     volume = voxel_volume(F.col("pixel_spacing_mm"), F.col("slice_thickness_mm"))
     reward = F.least(F.lit(cap), F.lit(weight) / F.greatest(volume, F.lit(0.1)))

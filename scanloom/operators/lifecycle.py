@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from scanloom.params import ResourceMinimums
 
-# The stages of a series.
+# The stages of a series, and the texts and labels that reports must match.
 TERMINAL_STAGES = ("converted", "review_ready", "failed", "skipped", "interrupted", "dry_run")
 ACTIVE_STAGES = ("queued", "linking", "dcm2niix", "compressing", "validating", "installing")
 STALE_MESSAGE = "worker PID is no longer alive; task is eligible for resume"

@@ -37,6 +37,7 @@ def manual_decisions(sheet: DataFrame, position: str = "position") -> DataFrame:
 
 
 def _problem() -> Column:
+    # The texts of these problems, which reports must match.
     decision, kind = F.col("decision"), F.col("candidate_type")
     wrong_t1 = F.concat(decision, F.lit(" may only be used for T1 candidates"))
     return (

@@ -5,6 +5,9 @@ from __future__ import annotations
 from dataclasses import dataclass
 
 
+# The names and defaults of the parameters.
+
+
 @dataclass(frozen=True)
 class SelectionParams:
     axial_max_angle_deg: float = 20.0
