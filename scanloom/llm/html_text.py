@@ -5,6 +5,9 @@ its characters by its tags. Ratios are smoothed with a Gaussian, so that a short
 ones keeps their company, and two clusters are cut at the threshold between their means. The lines of the
 upper cluster vote for the element that holds the content; its lines are the text, short ones included, less
 what the markup itself calls navigation, advertising, forms or comments.
+
+The method outranks the markup: all lines are clustered first, and an element's mark counts for nothing when the
+element holds the main element, the article or most of what the upper cluster has besides other marked text.
 """
 
 from __future__ import annotations
@@ -25,6 +28,8 @@ RADIUS = 2
 SHARE = 0.9
 #: Share from which an article or main element is the content.
 ARTICLE_SHARE = 0.5
+#: Share of the upper cluster, other marked text apart, from which a layout mark counts for nothing; others need SHARE.
+LAYOUT_SHARE = 0.5
 
 #: Fixed values of HTML: elements without end tag, elements that start a line, and what is never content.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
@@ -34,65 +39,90 @@ BLOCK = frozenset(
     "section select summary table tbody td tfoot th thead tr ul".split()
 )
 ENDS_PARAGRAPH = BLOCK - {"body", "html"}
-HIDDEN = frozenset(
-    "script style noscript template head title nav footer aside form button select textarea iframe object "
-    "svg canvas audio video menu dialog".split()
-)
+NEVER = frozenset("script style template head title iframe".split())
+IN_HEAD = frozenset("base link meta noscript script style template title".split())
+#: Elements and roles that are not content, unless the method finds the content inside.
+MARKED = frozenset("noscript nav footer aside button select textarea object svg canvas audio video menu dialog".split())
 ROLES = frozenset("navigation banner contentinfo complementary search form menu dialog alert".split())
-#: Words of a class or id that mark what is not content.
-MARKS = frozenset(
-    "ad ads adv advert adverts advertisement advertising sponsor sponsored promo promotion nav navbar navigation "
-    "menu breadcrumb breadcrumbs header masthead topbar footer sidebar aside widget notice cookie cookies consent "
-    "gdpr banner popup modal overlay newsletter subscribe signup login share sharing social related recommended "
-    "comment comments commentlist disqus reply replies respond pagination pager skip toolbar".split()
+#: Words of a class or id that mark what is not content: parts of a layout, which wrappers are also named after,
+LAYOUT = frozenset(
+    "nav navbar navigation menu breadcrumb breadcrumbs header masthead topbar footer sidebar aside widget banner "
+    "overlay pagination pager skip toolbar".split()
 )
+#: and text of others.
+FOREIGN = frozenset(
+    "ad ads adv advert adverts advertisement advertising sponsor sponsored promo promotion notice cookie cookies "
+    "consent gdpr popup modal newsletter subscribe signup login share sharing social related recommended comment "
+    "comments commentlist disqus reply replies respond".split()
+)
+#: Words before a mark that make it a state of the page, and words that make a header one of the content.
+STATES = frozenset("has no not with without".split())
+OF_CONTENT = frozenset("article content entry post story".split())
 NAME_PARTS = re.compile(r"[A-Za-z][a-z]*|[0-9]+")
 #: White space of HTML, which one space replaces inside a line.
+WHITE = "\x20\x09\x0a\x0b\x0c\x0d"
 SPACE = re.compile(r"[\x20\x09-\x0D]+")
 CUT_TAG = re.compile(r"<[A-Za-z/!?][^<>]*\Z")
 
 
 class Lines(HTMLParser):
-    """Lines of a page: text, tags since the line before, elements they stand in."""
+    """Lines of a page: pieces of text with the marks they stand under, tags since the line before, elements around."""
 
     def __init__(self):
         super().__init__(convert_charrefs=True)
-        self.lines: list[tuple[str, int, tuple[int, ...]]] = []
+        self.lines: list[tuple[list[tuple[str, tuple[int, ...]]], int, tuple[int, ...]]] = []
         self.kinds = {0: "page"}
-        self.open: list[tuple[str, bool, int]] = []
+        #: Marks by number: by a part of the layout or not, by the tag or not.
+        self.marks: list[tuple[bool, bool]] = []
+        #: Marks around each article and main element.
+        self.around: dict[int, tuple[int, ...]] = {}
+        self.open: list[tuple[str, bool, int, bool]] = []
         self.hidden = 0
         self.path: tuple[int, ...] = (0,)
-        self._text: list[str] = []
+        self.under: tuple[int, ...] = ()
+        self._pieces: list[tuple[str, tuple[int, ...]]] = []
         self._tags = 0
 
     def _flush(self) -> None:
-        text = SPACE.sub(" ", "".join(self._text)).strip("\x20\x09\x0a\x0b\x0c\x0d")
-        self._text = []
-        if text:
-            self.lines.append((text, self._tags, self.path))
+        pieces, self._pieces = self._pieces, []
+        if any(text.strip(WHITE) for text, _ in pieces):
+            self.lines.append((pieces, self._tags, self.path))
             self._tags = 0
 
-    def _boilerplate(self, tag: str, attrs) -> bool:
-        if tag in HIDDEN:
-            return True
+    def _mark(self, tag: str, attrs) -> tuple[bool, bool] | None:
+        if tag in MARKED:
+            return False, True
+        if tag == "form":
+            return True, False
+        inside = any(x[0] in ("article", "main") for x in self.open)
         if tag == "header":
-            return not any(name in ("article", "main") for name, _, _ in self.open)
+            return None if inside else (True, False)
         if tag in ("html", "body", "article", "main"):
-            return False
+            return None
         known = dict(attrs)
-        if (known.get("role") or "").lower() in ROLES or "hidden" in known or known.get("aria-hidden") == "true":
-            return True
-        names = NAME_PARTS.findall(f"{known.get('class') or ''} {known.get('id') or ''}")
-        return any(name.lower() in MARKS for name in names)
+        names: set[str] = set()
+        for word in f"{known.get('class') or ''} {known.get('id') or ''}".split():
+            parts = [part.lower() for part in NAME_PARTS.findall(word)]
+            found = {part for before, part in zip(["", *parts], parts) if before not in STATES}
+            names |= found - {"header"} if inside or not OF_CONTENT.isdisjoint(parts) else found
+        if not FOREIGN.isdisjoint(names) or "hidden" in known or known.get("aria-hidden") == "true":
+            return False, False
+        if not LAYOUT.isdisjoint(names) or (known.get("role") or "").lower() in ROLES:
+            return True, False
+        return None
 
     def _pop(self, to: int) -> None:
-        for _, boiler, element in self.open[to:]:
-            self.hidden -= boiler
+        for _, never, element, marked in self.open[to:]:
+            self.hidden -= never
             if element:
                 self.path = self.path[:-1]
+            if marked:
+                self.under = self.under[:-1]
         del self.open[to:]
 
     def handle_starttag(self, tag: str, attrs) -> None:
+        if self.open and self.open[-1][0] == "head" and tag not in IN_HEAD:
+            self._pop(len(self.open) - 1)
         if tag in BLOCK:
             self._flush()
             if tag in ENDS_PARAGRAPH:
@@ -106,17 +136,23 @@ class Lines(HTMLParser):
                 self._close_sibling(tag)
         self._tags += 1
         if tag == "br":
-            self._text.append(" ")
+            self._pieces.append((" ", self.under))
         if tag in VOID:
             return
-        boiler = self._boilerplate(tag, attrs)
+        mark = self._mark(tag, attrs)
+        if mark:
+            self.under += (len(self.marks),)
+            self.marks.append(mark)
+        never = tag in NEVER
         element = 0
         if tag in BLOCK and tag != "p":
             element = len(self.kinds)
             self.kinds[element] = tag
             self.path += (element,)
-        self.hidden += boiler
-        self.open.append((tag, boiler, element))
+            if tag in ("article", "main"):
+                self.around[element] = self.under
+        self.hidden += never
+        self.open.append((tag, never, element, mark is not None))
 
     def _close_sibling(self, tag: str) -> None:
         for at in range(len(self.open) - 1, -1, -1):
@@ -146,7 +182,7 @@ class Lines(HTMLParser):
 
     def handle_data(self, data: str) -> None:
         if not self.hidden:
-            self._text.append(data)
+            self._pieces.append((data, self.under))
 
     def close(self) -> None:
         super().close()
@@ -168,6 +204,74 @@ def content_lines(ratios: np.ndarray) -> np.ndarray:
     return smooth >= (low + high) / 2
 
 
+def without(lines: list, marks: set[int]) -> list[tuple[str, int, tuple[int, ...]]]:
+    """Text, tags and path of the lines that have text outside ``marks``; tags of the others go to the next one."""
+    left, tags = [], 0
+    for pieces, n, path in lines:
+        tags += n
+        text = SPACE.sub(" ", "".join(t for t, under in pieces if marks.isdisjoint(under))).strip(WHITE)
+        if text:
+            left.append((text, tags, path))
+            tags = 0
+    return left
+
+
+def upper_lines(lines: list[tuple[str, int, tuple[int, ...]]]) -> np.ndarray:
+    sizes = np.array([len(text) for text, _, _ in lines], float)
+    return content_lines(sizes / np.array([max(1, tags) for _, tags, _ in lines], float))
+
+
+def honoured(page: Lines) -> set[int]:
+    """Marks of elements that do not hold the content. Large elements come first; text of other marked ones is
+    left out of the comparison, unless their marks count for nothing too."""
+    marks = set(range(len(page.marks)))
+    if not marks:
+        return marks
+    every = without(page.lines, set())
+    upper = upper_lines(every)
+    held = dict.fromkeys(marks, 0)
+    sizes: dict[tuple[int, ...], int] = {}
+    elements = dict.fromkeys(page.around, 0)
+    for (texts, _, path), (text, _, _), up in zip(page.lines, every, upper):
+        if not up:
+            continue
+        for element in path:
+            if element in elements:
+                elements[element] += len(text)
+        for piece, under in texts:
+            if under and (size := len(SPACE.sub(" ", piece).strip(WHITE))):
+                sizes[under] = sizes.get(under, 0) + size
+    for under, size in sizes.items():
+        for mark in under:
+            held[mark] += size
+    pieces = [(size, set(under)) for under, size in sizes.items()]
+    total = sum(len(text) for (text, _, _), up in zip(every, upper) if up)
+    article = max((e for e in elements if page.kinds[e] == "article"), key=elements.get, default=None)
+    around_main, around_article = set(), set()
+    for element, size in elements.items():
+        if size and (page.kinds[element] == "main" or size >= ARTICLE_SHARE * total):
+            around_main.update(page.around[element])
+        elif size and element == article:
+            around_article.update(page.around[element])
+    clean = without(page.lines, marks)
+    outside = sum(len(text) for (text, _, _), up in zip(clean, upper_lines(clean)) if up) if clean else 0
+    two = not upper.all()
+    for mark in sorted(marks, key=lambda m: (-held[m], m)):
+        layout, by_tag = page.marks[mark]
+        most = held[mark] and held[mark] >= (LAYOUT_SHARE if layout else SHARE) * (held[mark] + outside)
+        if mark in around_main or layout and mark in around_article or most and (two or not by_tag):
+            marks.discard(mark)
+            rest = []
+            for size, under in pieces:
+                under.discard(mark)
+                if under:
+                    rest.append((size, under))
+                else:
+                    outside += size
+            pieces = rest
+    return marks
+
+
 def main_text(html: str | None) -> str:
     """Text of the content of one page, a line per block; empty for a null, empty or textless page.
 
@@ -177,20 +281,18 @@ def main_text(html: str | None) -> str:
     page = Lines()
     page.feed(CUT_TAG.sub("", html or ""))
     page.close()
-    if not page.lines:
+    lines = without(page.lines, honoured(page))
+    if not lines:
         return ""
-    sizes = np.array([len(text) for text, _, _ in page.lines], float)
-    tags = np.array([max(1, tags) for _, tags, _ in page.lines], float)
-    upper = content_lines(sizes / tags)
     votes: dict[int, float] = {}
-    for (_, _, path), size in zip((x for x, u in zip(page.lines, upper) if u), sizes[upper]):
+    for text, _, path in (x for x, u in zip(lines, upper_lines(lines)) if u):
         for element in path:
-            votes[element] = votes.get(element, 0.0) + size
+            votes[element] = votes.get(element, 0.0) + len(text)
     total = votes[0]
     articles = [e for e, v in votes.items() if page.kinds[e] in ("article", "main") and v >= ARTICLE_SHARE * total]
     # Elements are numbered in page order, so a parent has a smaller number than what it holds.
     chosen = min(articles) if articles else max(e for e, v in votes.items() if v >= SHARE * total)
-    return "\n".join(text for text, _, path in page.lines if chosen in path)
+    return "\n".join(text for text, _, path in lines if chosen in path)
 
 
 def extract(pages: DataFrame) -> DataFrame:

@@ -109,6 +109,41 @@ def test_page_text():
     assert html_text.main_text(long).count("\n") == 19_999
 
 
+STORY = """<h1>Title of it</h1><p>The first paragraph is long enough to be the text of a page, and goes on for a while.</p>
+<p>The second paragraph is long enough as well, so that nobody can take it for a menu of the site.</p><p>End.</p>"""
+AROUND = """<body>%s<div class="topbar"><a href="/">Home</a> <a href="/a">About</a></div>%s<div class="sidebar"><ul><li><a>One</a>
+<li><a>Two</a></ul></div><div class="comments"><p class="comment">Nice of you to say so.</p></div>%s</body>"""
+
+
+@pytest.mark.parametrize("start,end", [
+    *((f'<div class="{name}">', "</div>") for name in (
+        "content-sidebar-wrap", "site has-sidebar", "no-sidebar", "page-with-toolbar", "widget", "toolbar main-navigation"
+    )),
+    ('<form method="post" action="./page.aspx" id="aspnetForm">', "</form>"),
+    ('<form id="f"><div class="content-sidebar-wrap"><div role="form">', "</div></div></form>"),
+    ('<div class="share-page">', "</div>"),
+    ("<nav>", ""),
+    ("<head><title>t</title>", ""),
+])
+@pytest.mark.parametrize("tag", ["article", "main", "div"])
+@pytest.mark.parametrize("wide", [True, False])
+def test_a_mark_around_the_content_does_not_lose_it(start, end, tag, wide):
+    story = f"<{tag}>{STORY}</{tag}>"
+    page = AROUND % (start, story, end) if wide else AROUND % ("", start + story + end, "")
+    text = html_text.main_text(page)
+    assert text == html_text.main_text(AROUND % ("", story, "")) and text.count("\n") == 3
+
+
+def test_headers_of_the_content_stay_and_marked_text_goes():
+    for tag, header in (("article", "entry-header"), ("main", "header"), ("div", "post-header")):
+        head = f'<div class="{header}"><h1>Title of it</h1></div>'
+        story = f"<{tag}>{STORY.replace('<h1>Title of it</h1>', head)}</{tag}>"
+        assert html_text.main_text(AROUND % ("", story, "")).startswith("Title of it\nThe first")
+    comments = '<section id="comments">' + "<p>A comment that is as long as a paragraph of the text, and longer.</p>" * 12 + "</section>"
+    assert "comment that" not in html_text.main_text(f"<body><div>{STORY}</div>{comments}</body>")
+    assert "comment that" in html_text.main_text(f"<body>{comments}</body>")
+
+
 def test_pages_table(spark):
     ddl = "page_id long, url string, html string, text string, n_chars string"
     rows = [(1, "u", PAGE), (1, "u", PAGE), (None, None, None)]
