@@ -112,14 +112,23 @@ SPELLED = {
     "cero": "0", "uno": "1", "dos": "2", "tres": "3", "cuatro": "4", "cinco": "5", "seis": "6", "siete": "7",
     "ocho": "8", "nueve": "9",
 }
-_DIGIT = "(?:" + "|".join(sorted(SPELLED, key=len, reverse=True)) + "|[0-9])"
+_WORDS = "|".join(sorted(SPELLED, key=len, reverse=True))
 _DOT = r"(?:dot|punkt|punto|point)"
 _AT = r"(?:at|arroba)"
-CHAIN = re.compile(
-    rf"(?<![^\W_])(?:plus[ \t]+(?={_DIGIT}))?{_DIGIT}(?:(?:[ \t]*[-,][ \t]*|[ \t]+|[ \t]+{_DOT}[ \t]+){_DIGIT})++(?![^\W_])",
-    re.IGNORECASE,
-)
-CHAIN_PART = re.compile(rf"plus|{_DIGIT}|{_DOT}|[^\w]+", re.IGNORECASE)
+
+
+def _chain(written: str) -> re.Pattern:
+    """Spelled digits and numbers of the pattern ``written``, each a whole word, with what may stand between them."""
+    member = rf"(?:(?:{_WORDS})(?![^\W_])|{written}(?![^\W_]))"
+    return re.compile(
+        rf"(?<![^\W_])(?:plus[ \t]+(?={member}))?{member}(?:(?:[ \t]*[-,][ \t]*|[ \t]+|[ \t]+{_DOT}[ \t]+){member})++",
+        re.IGNORECASE,
+    )
+
+
+#: Spelled digits mixed with numbers of any length, and with single digits only.
+CHAIN, SINGLE_CHAIN = _chain("[0-9]++"), _chain("[0-9]")
+CHAIN_PART = re.compile(rf"plus|{_WORDS}|[0-9]+|{_DOT}|[^\w]+", re.IGNORECASE)
 SPELLED_WORD = re.compile(rf"\b(?:{'|'.join(SPELLED)})\b")
 _NAME = r"[A-Za-z0-9_%+-]"
 _BRACKET_AT = rf"\s*[(\[{{<]\s*(?:{_AT}|@)\s*[)\]}}>]\s*"
@@ -191,14 +200,27 @@ def _strange(text: str) -> list[tuple[int, int, str]]:
     return [(m.start(), m.end(), CHARACTERS[m.group()]) for m in STRANGE.finditer(text)]
 
 
-def _spelled(text: str) -> list[tuple[int, int, str]]:
-    """Digits for the words of a chain of them; what separates them goes, a spelled dot becomes one."""
-    edits = []
+def _spelled(text: str) -> list[list[tuple[int, int, str]]]:
+    """Digits for the words of a chain of them; what separates them goes, a spelled dot becomes one.
+
+    Numbers of several digits belong to a chain. As one may also just stand beside it, there is a second
+    list of edits, without them and with a line break where a space or dash joins the chain to what is near.
+    """
     if not SPELLED_WORD.search(text.lower()):
-        return edits
-    for chain in CHAIN.finditer(text):
+        return [[]]
+    if not (edits := _chain_edits(text, CHAIN)):
+        return [edits]
+    return [edits, _chain_edits(text, SINGLE_CHAIN, apart=True)]
+
+
+def _chain_edits(text: str, pattern: re.Pattern, apart: bool = False) -> list[tuple[int, int, str]]:
+    edits = []
+    for chain in pattern.finditer(text):
         if not SPELLED_WORD.search(chain.group().lower()):
             continue
+        low, high = chain.span()
+        if apart and text[low - 1 : low] in (" ", "-") and not (edits and edits[-1][1] == low):
+            edits.append((low - 1, low, "\n"))
         for part in CHAIN_PART.finditer(text, chain.start(), chain.end()):
             word = part.group().lower()
             if word == "plus":
@@ -210,6 +232,8 @@ def _spelled(text: str) -> list[tuple[int, int, str]]:
             else:
                 written = "" if not word.isdigit() else word
             edits.append((part.start(), part.end(), written))
+        if apart and text[high : high + 1] in (" ", "-"):
+            edits.append((high, high + 1, "\n"))
     return edits
 
 
@@ -225,17 +249,25 @@ def find(text: str | None) -> list[tuple[str, int, int, bool]]:
     text = text or ""
     found = plain(text)
     spans = [(kind, low, high, False) for kind in KINDS for low, high in found[kind]]
-    state = Rewritten(text)
-    for transducer in (_strange, _spelled, _disguised):
-        if edits := transducer(state.text):
+    base = Rewritten(text)
+    if edits := _strange(text):
+        base = base.rewrite(edits)
+    known = {kind: set(hits) for kind, hits in found.items()}
+    for way, spelled in enumerate(_spelled(base.text)):
+        state = base.rewrite(spelled) if spelled else base
+        if edits := _disguised(state.text):
             state = state.rewrite(edits)
-    if state.text != text:
+        if state.text == text:
+            continue
         for kind, hits in plain(state.text).items():
-            known = set(found[kind])
+            before = [(low, high) for k, low, high, disguised in spans if k == kind and disguised] if way else []
             for low, high in hits:
                 source = state.source(low, high)
-                if state.touches(low, high) and source not in known:
-                    known.add(source)
+                if not state.touches(low, high) or source in known[kind]:
+                    continue
+                # The second way only adds what the first one has not found a part of.
+                if all(source[1] <= a or b <= source[0] for a, b in before):
+                    known[kind].add(source)
                     spans.append((kind, *source, True))
     return sorted(spans, key=lambda s: (KINDS.index(s[0]), *s[1:]))
 

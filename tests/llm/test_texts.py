@@ -68,6 +68,25 @@ def test_disguised_identifiers_map_back_to_their_source(text, kind, hidden):
     assert added == [(kind, hidden or text)]
 
 
+@pytest.mark.parametrize("text,kind,hidden", [
+    ("call plus four nine 151 2345 6789 now", "phone", "plus four nine 151 2345 6789"),
+    ("four one one one 1111 1111 1111", "card", None),
+    ("4111 one one one one 1111-1111 at last", "card", "4111 one one one one 1111-1111"),
+    ("one nine two dot one six eight dot 10 dot one", "ip", None),
+    ("call plus four nine one five one two three four five six 24 hours a day", "phone",
+     "plus four nine one five one two three four five six 24"),
+    ("plus four nine one five one two three four five six seven eight nine 2024 it was", "phone",
+     "plus four nine one five one two three four five six seven eight nine"),
+    ("card four " + "one " * 15 + "24 hours", "card", "four " + "one " * 14 + "one"),
+    ("at 24 four " + "one " * 15 + "fourth", "card", "four " + "one " * 14 + "one"),
+    ("card four " + "one " * 15 + "4th floor", "card", "four " + "one " * 14 + "one"),
+])
+def test_spelled_digits_and_numbers_mix(text, kind, hidden):
+    added = [(k, text[a:b]) for k, a, b, disguised in pii.find(text) if disguised]
+    assert added == [(kind, hidden or text)]
+    assert pii.redact(text, pii.find(text)) == text.replace(hidden or text, f"<{kind.upper()}>")
+
+
 def test_prose_is_left_alone():
     for text in ("I was at the dot com, one or two of us.", "un deux trois", "Meet at noon (at the dot).", "а б в г д"):
         assert pii.find(text) == []
