@@ -136,8 +136,34 @@ _BRACKET_DOT = rf"\s*[(\[{{<]\s*(?:{_DOT}|\.)\s*[)\]}}>]\s*"
 #: What a disguise cannot do without, looked for first because it is quick to find.
 DOT_WORDS = ("dot", "punkt", "punto", "point")
 BRACKETS = re.compile(r"[(\[{<]\s*(?:at|arroba|@|\.)", re.IGNORECASE)
+#: Last labels of a real domain after a bare ``at``: generic ones and those of countries but for those that files end in.
+TOP = (
+    "com org net edu gov mil int info biz name pro app dev online site tech cloud email "
+    "ac ad ae af ag ai al am an ao aq ar as at au aw ax az ba bb bd be bf bg bh bi bj bm bn bo br bs bt bw by bz ca cd "
+    "cf cg ch ci ck cl cm cn co cr cu cv cw cx cy cz de dj dk dm do dz ec ee eg er es et eu fi fj fk fm fo fr ga gd ge "
+    "gf gg gh gi gl gm gn gp gq gr gt gu gw gy hk hm hn hr ht hu id ie il im in io iq ir is it je jm jo jp ke kg kh ki "
+    "km kn kp kr kw ky kz la lb lc li lk lr ls lt lu lv ly ma mc me mg mh mk ml mm mn mo mp mq mr ms mt mu mv mw mx my "
+    "mz na nc ne nf ng ni nl no np nr nu nz om pa pe pf pg ph pk pl pm pn pr pt pw qa re ro ru rw sa sb sc sd se "
+    "sg si sk sl sm sn sr ss st su sv sx sy sz tc td tf tg th tj tk tl tm tn to tr tt tv tw tz ua ug uk us uy uz va vc "
+    "ve vg vi vn vu wf ws ye yt za zm zw"
+).split()
+_REAL = (
+    rf"(?!www\.)(?:[A-Za-z0-9-]+\.)+(?:{'|'.join(sorted(TOP, key=len, reverse=True))})(?![A-Za-z0-9_/:@-]|\.[A-Za-z0-9])"
+)
+_SPELLED_DOMAIN = rf"[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)*(?:[ \t]+{_DOT}[ \t]+|{_BRACKET_DOT})[A-Za-z0-9-]+"
+REAL_DOMAIN = re.compile(rf"[ \t]{_AT}[ \t]+[a-z0-9-]+\.[a-z0-9]")
+#: Words after which a bare ``at`` and a real domain are prose, as in "find us at example.com".
+BEFORE_AT = frozenset(
+    "a all also and are available be been book both buy click company data day details donate download else "
+    "email event events everyone everything explore find follow for found free further go guide have he help her here "
+    "him hosted i information is it items join just learn listed listen live located look me more myself news not now "
+    "official on one online only open or order out over page people posted products published read register registered "
+    "sale see seen she shop shopping sign site sold start starts store stories team that the them there these they "
+    "this those tickets time today up us visit was watch we website week were work worked working works write writer "
+    "you yourself".split()
+)
 DISGUISE = re.compile(
-    rf"(?<={_NAME})(?:(?P<at>{_BRACKET_AT}|[ \t]+{_AT}[ \t]+(?!(?:the|an?|this|that|my|our|your)\b)(?=[A-Za-z0-9-]+(?:(?:[ \t]+{_DOT}[ \t]+|{_BRACKET_DOT})[A-Za-z0-9-]+)))"
+    rf"(?<={_NAME})(?:(?P<at>{_BRACKET_AT}|[ \t]+{_AT}[ \t]+(?!(?:the|an?|this|that|my|our|your)\b)(?:(?={_SPELLED_DOMAIN})|(?P<real>(?={_REAL}))))"
     rf"|(?P<dot>{_BRACKET_DOT}|[ \t]+{_DOT}[ \t]+))(?={_NAME})",
     re.IGNORECASE,
 )
@@ -238,10 +264,22 @@ def _chain_edits(text: str, pattern: re.Pattern, apart: bool = False) -> list[tu
 
 
 def _disguised(text: str) -> list[tuple[int, int, str]]:
+    """``@`` and ``.`` for their words and brackets. A bare ``at`` is one before a domain with a spelled or bracketed
+    dot, or with real dots and a last label in ``TOP``, if no word of ``BEFORE_AT`` stands before it."""
     lowered = text.lower()
-    if not any(word in lowered for word in DOT_WORDS) and not BRACKETS.search(text):
+    if not (any(word in lowered for word in DOT_WORDS) or BRACKETS.search(text) or REAL_DOMAIN.search(lowered)):
         return []
-    return [(m.start(), m.end(), "@" if m["at"] else ".") for m in DISGUISE.finditer(text)]
+    return [
+        (m.start(), m.end(), "@" if m["at"] else ".") for m in DISGUISE.finditer(text)
+        if m["real"] is None or _name_before(text, m.start()) not in BEFORE_AT
+    ]
+
+
+def _name_before(text: str, at: int) -> str:
+    low = at
+    while low and text[low - 1] in LOCAL:
+        low -= 1
+    return text[low:at].lower()
 
 
 def find(text: str | None) -> list[tuple[str, int, int, bool]]:

@@ -87,6 +87,26 @@ def test_spelled_digits_and_numbers_mix(text, kind, hidden):
     assert pii.redact(text, pii.find(text)) == text.replace(hidden or text, f"<{kind.upper()}>")
 
 
+@pytest.mark.parametrize("text,hidden", [
+    ("jane at example.com", None),
+    ("Write to jane.doe at mail.example.co.uk, please", "jane.doe at mail.example.co.uk"),
+    ("j_doe arroba ejemplo.es.", "j_doe arroba ejemplo.es"),
+    ("jane AT example.com.", "jane AT example.com"),
+    ("jane at mail.example dot com", None),
+    ("jane dot doe at example.com", None),
+])
+def test_a_spelled_at_before_a_real_domain(text, hidden):
+    assert [(k, text[a:b], d) for k, a, b, d in pii.find(text)] == [("email", hidden or text, True)]
+
+
+def test_prose_about_sites_is_left_alone():
+    for text in (
+        "Find us at example.com or look at example.org.", "jane at www.example.com", "tickets at example.com/shop",
+        "it failed at main.py", "we met at noon.Then we left", "more information at example.com", "at example.com",
+    ):
+        assert pii.find(text) == []
+
+
 def test_prose_is_left_alone():
     for text in ("I was at the dot com, one or two of us.", "un deux trois", "Meet at noon (at the dot).", "а б в г д"):
         assert pii.find(text) == []
