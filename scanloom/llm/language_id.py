@@ -43,27 +43,34 @@ def learn(docs: DataFrame) -> dict[str, bytes]:
     """Dictionary content per language: the first ``SAMPLE_CHARS`` of ``SAMPLE_DOCS`` texts each.
 
     Uses rows with text and lang that are not held out, those with the smallest hashes of their id. A bound
-    on the hash, from the number of the language's rows, lets about ``SPARE * SAMPLE_DOCS`` rows through, so
-    that what is ranked and collected is small however many rows a language has.
+    on a hash of id and text, from the number of the language's rows, lets about ``SPARE * SAMPLE_DOCS`` rows through, so
+    that what is ranked and collected is small however many rows a language has. A language that so gets too few
+    rows, as when most of its rows are alike, is ranked without a bound. Of more than ``MAX_LANGUAGES`` labels
+    the most frequent are learned, equal ones in the order of the alphabet.
     """
     rows = docs.select("doc_id", F.col("text").cast("string").alias("text"), F.col("lang").cast("string").alias("lang"))
     usable = rows.filter(F.col("lang").isNotNull() & F.col("text").isNotNull() & ~held_out(F.col("doc_id")))
-    counts = usable.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).limit(MAX_LANGUAGES + 1).collect()
-    if len(counts) > MAX_LANGUAGES:
-        raise ValueError(f"more than {MAX_LANGUAGES} languages are labelled")
+    counts = usable.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), "lang").limit(MAX_LANGUAGES).collect()
     if not counts:
         return {}
     bounds = F.create_map(*[
         F.lit(x) for r in counts for x in (r["lang"], min(HASHES, SPARE * SAMPLE_DOCS * HASHES // r["n"]))
     ])
-    cut = usable.select(
+    hashed = usable.select(
         "lang", F.substring("text", 1, SAMPLE_CHARS).alias("text"),
-        F.pmod(F.xxhash64("doc_id"), F.lit(HASHES)).alias("h"),
-    ).filter(F.col("h") < F.element_at(bounds, F.col("lang")))
-    ranked = cut.withColumn("place", F.row_number().over(Window.partitionBy("lang").orderBy("h", "text")))
+        F.pmod(F.xxhash64("doc_id"), F.lit(HASHES)).alias("id_hash"),
+        F.pmod(F.xxhash64("doc_id", "text"), F.lit(HASHES)).alias("h"),
+    )
+    # Copies of a row are one, so that no group of them is ranked row by row.
+    cut = hashed.filter(F.col("h") < F.element_at(bounds, F.col("lang"))).distinct()
+    ranked = cut.withColumn("place", F.row_number().over(Window.partitionBy("lang").orderBy("id_hash", "h", "text")))
     content: dict[str, list] = {}
     for row in sorted(ranked.filter(F.col("place") <= SAMPLE_DOCS).collect(), key=lambda r: (r["lang"], r["place"])):
         content.setdefault(row["lang"], []).append(row["text"])
+    for lang, n in counts:
+        if n > SPARE * SAMPLE_DOCS and len(content.get(lang, ())) < SAMPLE_DOCS:
+            smallest = hashed.filter(F.col("lang") == lang).distinct().orderBy("h", "text").limit(SAMPLE_DOCS)
+            content[lang] = [row["text"] for row in smallest.collect()]
     return {lang: prepared(" ".join(texts)) for lang, texts in content.items()}
 
 

@@ -354,6 +354,20 @@ def test_held_out_rows_and_labels_do_not_teach(spark):
     assert language_id.learn(table(spark, rows)) == language_id.learn(table(spark, changed))
 
 
+def test_repeated_ids_and_many_labels_still_teach(spark, monkeypatch):
+    monkeypatch.setattr(language_id, "SAMPLE_DOCS", 5)
+    texts = [t for _, t, lang in labelled(900) if lang == "de"][:200]
+    for doc_id in (1, 3, 4, 5, 6):
+        if zlib.crc32(b"%d" % doc_id) % 4 == 2:
+            continue
+        one_id = language_id.learn(table(spark, [(doc_id, t, "de") for t in texts]))
+        assert len(one_id["de"].split()) > 30
+        assert language_id.learn(table(spark, [(doc_id, texts[0], "de")] * 200)) == {"de": language_id.prepared(texts[0])}
+    monkeypatch.setattr(language_id, "MAX_LANGUAGES", 3)
+    rows = [*labelled(300), *((i, "dirty label", f"x{i}") for i in range(1000, 1020))]
+    assert set(language_id.learn(table(spark, rows))) == set(WORDS)
+
+
 def test_nothing_to_learn_from(spark):
     docs = table(spark, [(1, "some text", None)])
     assert [r["lang_pred"] for r in language_id.predict(docs, language_id.learn(docs)).collect()] == ["und"]
