@@ -212,8 +212,8 @@ def test_pieces_have_the_ids_of_the_whole(texts):
 
 
 def test_a_full_memory_of_pieces_changes_nothing(monkeypatch, library):
-    monkeypatch.setattr(tokens, "KNOWN_PIECES", 3)
     small = tokens.Encoder(tokens.vocabulary_path())
+    small.pre_tokens.room = small.later.room = 3 * tokens.ENTRY_BYTES
     for _, text in TEXTS:
         assert np.frombuffer(small.encode([text or ""])[0], tokens.ID).tolist() == ids_of(library, text)
 
