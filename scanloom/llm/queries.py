@@ -9,11 +9,11 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from scanloom.llm import (
-    decontamination, exact_dedup, html_text, language_id, packing, pii, sharding, simhash, token_counts,
-    token_files,
+    alignment, attention_lm, decontamination, exact_dedup, html_text, importance, language_id,
+    packing, pii, sharding, simhash, token_counts, token_files,
 )
 from scanloom.llm.common import ship, table
-from scanloom.llm.oracles import CONTAMINATION, CONTENT_GROUPS, shard_sql
+from scanloom.llm.oracles import CONTAMINATION, CONTENT_GROUPS, IMPORTANCE, shard_sql
 from scanloom.operators.staging import shared_dir
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -69,6 +69,18 @@ def op10_compression_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op11_attention_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return attention_lm.score(table(spark, sf_dir, "documents"))
+
+
+def op12_importance_buckets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return importance.resample(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+def op13_cross_tokenizer_links(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return alignment.digest(table(spark, sf_dir, "documents"))
+
+
 def shipped(query: Query) -> Query:
     """The query with this package at hand for the Python workers."""
 
@@ -93,6 +105,9 @@ QUERIES: dict[str, Query] = {
         op8_benchmark_ngrams,
         op9_token_records,
         op10_compression_language,
+        op11_attention_scores,
+        op12_importance_buckets,
+        op13_cross_tokenizer_links,
     )
 }
 
@@ -100,4 +115,5 @@ ORACLES: dict[str, str] = {
     "op1_hash_tree_shards": shard_sql(SHARDS),
     "op7_content_sort": CONTENT_GROUPS,
     "op8_benchmark_ngrams": CONTAMINATION,
+    "op12_importance_buckets": IMPORTANCE,
 }
