@@ -178,38 +178,32 @@ def check_rollup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lifecycle.check_rollup(checks)
 
 
-def _event_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
-    schema = table(spark, sf_dir, "events").schema
-    # A stream lists a folder; the glob keeps it to the one table.
-    raw = (
-        spark.readStream.schema(schema)
-        .option("maxFilesPerTrigger", 1)
-        .option("pathGlobFilter", "events.parquet")
-        .parquet(sf_dir)
-    )
-    return lifecycle_columns(raw)
-
+#: Rows in a file of the streamed log, and the fewest files it is dealt to.
+_FILE_ROWS, _FILES = 2_000_000, 4
 
-_FILES = 4
 
+def _event_files(spark: SparkSession, sf_dir: str, by_time: bool, close_after: str | None = None) -> DataFrame:
+    """The log as a stream of files, one per micro-batch: stretches of time in turn, or each with events of all times.
 
-def _event_files(spark: SparkSession, sf_dir: str, by_time: bool) -> DataFrame:
-    """The events as a stream of several files: stretches of time, or each with events of all times."""
+    One write deals all events, those without an id or a time too; file times then give the stream its order. With
+    ``close_after``, a last file holds one event of no series, so much later than all others that every
+    event before it is over.
+    """
     events = table(spark, sf_dir, "events")
     path = scratch_path(spark, "event-files")
+    files = max(_FILES, -(-events.count() // _FILE_ROWS))
     if by_time:
-        ends = events.agg(F.unix_micros(F.min("ts").cast("timestamp")), F.unix_micros(F.max("ts").cast("timestamp"))).first()
-        width = (ends[1] - ends[0]) // _FILES + 1
-        part = F.floor((F.unix_micros(F.col("ts").cast("timestamp")) - ends[0]) / width)
+        dealt = events.repartitionByRange(files, "ts", "event_id")
     else:
-        part = F.col("event_id") % _FILES
-    for i in range(_FILES):
-        events.filter(part == i).coalesce(1).write.parquet(f"{path}/part={i}")
-    raw = (
-        spark.readStream.schema(events.schema).option("maxFilesPerTrigger", 1)
-        .option("recursiveFileLookup", "true").parquet(path)
-    )
-    return lifecycle_columns(raw)
+        dealt = events.withColumn("_part", F.pmod(F.coalesce("event_id", F.lit(0)), F.lit(files)))
+        dealt = dealt.repartition(files, "_part").drop("_part")
+    dealt.write.parquet(path)
+    if close_after:
+        last = events.agg((F.max("ts") + F.expr(f"INTERVAL {close_after}") + F.expr("INTERVAL 1 SECOND")).alias("ts"))
+        none = [F.lit(None).cast(f.dataType).alias(f.name) for f in events.schema if f.name != "ts"]
+        last.select("ts", *none).select(*events.columns).coalesce(1).write.mode("append").parquet(path)
+    streams.order_files(spark, path)
+    return lifecycle_columns(streams.read_event_stream(spark, path, events.schema))
 
 
 @registered(query(STAGES, "SELECT series_uid_hash, stage, event_id, value FROM latest"))
@@ -222,9 +216,9 @@ def lifecycle_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @registered(query(STAGES, "SELECT stage, count(*) AS n FROM latest GROUP BY 1"))
 def lifecycle_counts_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
-    latest = streams.latest_state_stream(_event_files(spark, sf_dir, False), "series_uid_hash", _ORDER)
     return streams.stage_counts_stream(
-        latest, scratch_path(spark, "counts"), scratch_path(spark, "counts-log"), "series_uid_hash"
+        _event_files(spark, sf_dir, False), scratch_path(spark, "counts"), scratch_path(spark, "counts-log"),
+        "series_uid_hash", _ORDER,
     )
 
 
@@ -244,9 +238,14 @@ SELECT series_uid_hash, event_id, round(coalesce(CASE WHEN us > lag(us) OVER w
   THEN (value - lag(value) OVER w) / ((us - lag(us) OVER w) / 1e6::DOUBLE) END, 0.0), 6) + 0.0 AS value_per_second
 FROM (SELECT *, epoch_us(ts) AS us FROM lifecycle) WINDOW w AS (PARTITION BY series_uid_hash ORDER BY ts, event_id)"""))
 def resource_rate_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
+    # Every file has events of all times, so each may come late by as much as the log is long.
+    span = table(spark, sf_dir, "events").agg(
+        F.timestamp_diff("SECOND", F.min("ts").cast("timestamp"), F.max("ts").cast("timestamp"))
+    ).first()[0]
+    lateness = f"{(span or 0) + 1} seconds"
     rates = streams.rates_to_table(
-        _event_stream(spark, sf_dir), ["value"], "series_uid_hash", _ORDER,
-        scratch_path(spark, "rates"), scratch_path(spark, "rates-log"),
+        _event_files(spark, sf_dir, False, close_after=lateness), ["value"], "series_uid_hash", _ORDER,
+        scratch_path(spark, "rates"), scratch_path(spark, "rates-log"), lateness,
     )
     return rates.select("series_uid_hash", "event_id", r6("value_per_second"))
 
