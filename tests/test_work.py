@@ -1,4 +1,6 @@
 import datetime as dt
+import os
+import random
 from pathlib import Path
 
 import numpy as np
@@ -48,6 +50,28 @@ def test_intensity_window_is_numpy_percentile(spark):
     assert got["b"] == (5.0, 5.0) and got["c"] == (0.0, 1.0)
 
 
+@pytest.mark.parametrize("small_bucket", [3, 1 << 16])
+def test_ranks_are_found_by_refinement(spark, small_bucket):
+    rng = np.random.default_rng(4)
+    data = {
+        "all": np.concatenate([rng.normal(1000, 3, 4000), rng.normal(0, 1e-9, 300)]), "near": 1 + rng.random(900) * 1e-12,
+        "signs": np.array([-0.0, 0.0, -1e-320, 1e300, -1e300, 5e-324] * 40), "same": np.full(500, 7.0), "two": np.array([1.0, 2.0]),
+    }
+    rows = [(k, float(v)) for k, vs in data.items() for v in vs] + [("none", None), ("none", float("nan"))]
+    voxels = spark.createDataFrame(rows, "volume_id STRING, value DOUBLE")
+    got = {r.volume_id: (r.vmin, r.vmax) for r in qc.intensity_window(voxels, small_bucket).collect()}
+    assert got.pop("none") == (0.0, 1.0)
+    for name, found in got.items():
+        assert found == pytest.approx(tuple(np.percentile(data[name], [1, 99])), rel=1e-12, abs=0)
+    assert len(got) == len(data)
+
+
+def test_no_voxel_is_sorted(spark):
+    voxels = spark.range(1000).selectExpr("'v' AS volume_id", "id * 1.0D AS value")
+    plan = qc.intensity_window(voxels)._jdf.queryExecution().optimizedPlan().toString()
+    assert "RepartitionByExpression" not in plan
+
+
 def test_progress_rises_and_has_an_eta(spark):
     def progress(*stages):
         df = spark.createDataFrame([(f"s{i}", s) for i, s in enumerate(stages)], "series_uid_hash STRING, stage STRING")
@@ -318,3 +342,99 @@ def test_the_contract_names_match(spark):
 
     assert set(contract.oracle_sql()) <= set(contract.queries())
     assert contract.entry(spark).limit(1).count() == 1
+
+
+_LOG = "series_uid_hash STRING, stage STRING, ts TIMESTAMP, event_id BIGINT, value DOUBLE"
+
+
+def _as_files(spark, folder, parts, ddl=_LOG):
+    """A stream that takes one part per micro-batch, in their order."""
+    for i, part in enumerate(parts):
+        spark.createDataFrame(part, ddl).coalesce(1).write.parquet(str(folder / f"{i}"))
+        for file in (folder / f"{i}").glob("*.parquet"):
+            os.utime(file, (1_700_000_000 + i, 1_700_000_000 + i))
+    return spark.readStream.schema(ddl).option("maxFilesPerTrigger", 1).option("recursiveFileLookup", "true").parquet(str(folder))
+
+
+def _samples():
+    rng = random.Random(5)
+    rows = [(rng.choice("aab") + "x", "linking", at(rng.randrange(3000)), i, float(rng.randrange(100))) for i in range(300)]
+    return rows + [(None, "queued", at(7), 900, 1.0), (None, "queued", at(9), 901, 5.0), ("ax", "queued", at(9), None, 5.0)]
+
+
+def test_late_samples_meet_their_true_predecessor(spark, tmp_path):
+    rows = _samples()
+    parts = [rows[i::4] for i in range(4)]
+    stream = _as_files(spark, tmp_path / "log", parts)
+    order = ["ts", "event_id"]
+    got = streams.rates_to_table(stream, ["value"], "series_uid_hash", order, str(tmp_path / "o"), str(tmp_path / "c"), "10 minutes")
+    wanted = lc.counter_rates(spark.createDataFrame(rows, _LOG), ["value"], ["series_uid_hash"], order).select(
+        "series_uid_hash", *order, "value", "value_per_second"
+    )
+    # Ten minutes are not enough here: some samples come later than that and are left out, the others have their rates.
+    early = {tuple(r) for r in got.collect()}
+    assert 100 < len(early) < len(rows)
+    again = streams.rates_to_table(
+        _as_files(spark, tmp_path / "log2", parts), ["value"], "series_uid_hash", order, str(tmp_path / "o2"), str(tmp_path / "c2"), "1 hour"
+    )
+    assert sorted(map(str, again.collect())) == sorted(map(str, wanted.collect()))
+    assert spark.read.parquet(str(tmp_path / "o2")).count() == 0  # within the hour all wait, and are told from the state
+
+
+def test_samples_are_written_once_the_watermark_has_passed(spark, tmp_path):
+    rows = _samples()
+    parts = [rows[i::4] for i in range(4)] + [[(None, "queued", at(20_000), 999, None)]]
+    stream = _as_files(spark, tmp_path / "log", parts)
+    order = ["ts", "event_id"]
+    streams.rates_to_table(stream, ["value"], "series_uid_hash", order, str(tmp_path / "o"), str(tmp_path / "c"), "1 hour")
+    written = spark.read.parquet(str(tmp_path / "o"))
+    wanted = lc.counter_rates(spark.createDataFrame(rows, _LOG), ["value"], ["series_uid_hash"], order).select(*written.columns)
+    assert sorted(map(str, written.collect())) == sorted(map(str, wanted.collect()))
+    # The log goes on: the new sample's predecessor comes from the state.
+    spark.createDataFrame([("bx", "linking", at(40_000), 1000, 7.0), ("cx", "linking", at(90_000), 1001, 7.0)], _LOG).coalesce(1).write.parquet(str(tmp_path / "log" / "9"))
+    more = spark.readStream.schema(_LOG).option("maxFilesPerTrigger", 1).option("recursiveFileLookup", "true").parquet(str(tmp_path / "log"))
+    after = streams.rates_to_table(more, ["value"], "series_uid_hash", order, str(tmp_path / "o"), str(tmp_path / "c"), "1 hour")
+    last = max((r for r in rows if r[0] == "bx"), key=lambda r: (r[2], r[3]))
+    found = [r.value_per_second for r in after.collect() if r.event_id == 1000]
+    assert found == [pytest.approx((7.0 - last[4]) / (at(40_000) - last[2]).total_seconds())]
+
+
+def test_counts_by_change_equal_those_of_a_recount(spark, tmp_path):
+    rng = random.Random(6)
+    stages = ["queued", "linking", "converted", None]
+    rows = [(rng.choice([*"abcdefgh", None]), rng.choice(stages), at(rng.randrange(50)), i, 1.0) for i in range(80)]
+    rows += [("z", "queued", None, None, 1.0), ("z", "failed", None, 3, 1.0)]
+    parts = [rows[i::4] for i in range(4)]
+    order = ["ts", "event_id"]
+    got = streams.stage_counts_stream(_as_files(spark, tmp_path / "log", parts), str(tmp_path / "o"), str(tmp_path / "c"), "series_uid_hash", order)
+
+    def recount(upto):
+        seen = spark.createDataFrame(sum(parts[: upto + 1], []), _LOG)
+        return sorted(map(tuple, lc.counts_by_stage(lc.latest_state(seen, "series_uid_hash", order)).collect()))
+
+    for batch in range(4):
+        assert sorted(map(tuple, streams.counts_after(spark, str(tmp_path / "o"), batch).collect())) == recount(batch)
+    assert sorted(map(tuple, got.collect())) == recount(3)
+    # One row per stage is all that a batch writes, and a repeated batch would replace its own.
+    assert [spark.read.parquet(str(f)).count() <= 5 for f in sorted((tmp_path / "o").glob("batch=*"))] == [True] * 4
+
+
+def test_event_files_keep_events_without_id_or_time(spark, tmp_path):
+    events = [(1, at(5), 1, "view", 1.0, ""), (-7, at(3), 2, "view", 2.0, ""), (None, at(1), 3, "click", 3.0, ""), (4, None, None, "view", 4.0, "")]
+    ddl = "event_id BIGINT, ts TIMESTAMP_NTZ, user_id BIGINT, event_type STRING, value DOUBLE, props STRING"
+    spark.createDataFrame(events, ddl).write.parquet(str(tmp_path / "events.parquet"))
+    from scanloom.plans import queries_work
+
+    for by_time in (False, True):
+        stream = queries_work._event_files(spark, str(tmp_path), by_time)
+        stored = streams.drain_append(stream, str(tmp_path / f"o{by_time}"), str(tmp_path / f"c{by_time}"))
+        assert sorted(r.value for r in stored.collect()) == [1.0, 2.0, 3.0, 4.0]
+
+
+def test_a_folded_history_has_the_same_state(spark, tmp_path):
+    for batch, rows in enumerate(([("a", 1), ("b", 1)], [("a", 2)], [("c", 3)])):
+        spark.createDataFrame(rows, "k STRING, v BIGINT").write.parquet(f"{tmp_path}/o/batch={batch:012d}")
+    schema = spark.createDataFrame([], "k STRING, v BIGINT").schema
+    streams.compact(spark, f"{tmp_path}/o", f"{tmp_path}/p", "k", schema, 1)
+    spark.createDataFrame([("c", 3)], "k STRING, v BIGINT").write.parquet(f"{tmp_path}/p/batch={2:012d}")
+    assert sorted(map(tuple, streams.newest(spark, f"{tmp_path}/p", "k", schema).collect())) == [("a", 2), ("b", 1), ("c", 3)]
