@@ -10,8 +10,8 @@ from pyspark.sql import functions as F
 from scanloom.functions import text as tx
 from scanloom.functions.scoring import slice_gap
 from scanloom.functions.geometry import voxel_volume
-from scanloom.operators import catalog, inventory, pilot, review, selection
-from scanloom.operators.staging import stage
+from scanloom.operators import catalog, incremental, inventory, pilot, review, selection
+from scanloom.operators.staging import scratch_path, stage
 from scanloom.params import PilotParams
 from scanloom.plans.cohort import cohort_instances, stored_instances, table
 from scanloom.plans.oracle_base import COHORT, KEYED, SCORES, SELECTION, SERIES, SHEET, query
@@ -170,6 +170,33 @@ def rollup_columns(series: DataFrame) -> DataFrame:
     )
 
 
+def _arrivals(spark: SparkSession, sf_dir: str) -> list[DataFrame]:
+    """The headers as three deliveries; every series has files in several of them."""
+    headers = stored_instances(spark, sf_dir)
+    part = F.crc32(F.col("relpath").cast("binary")) % 3
+    return [headers.filter(part == i) for i in range(3)]
+
+
+def _kept_up(spark: SparkSession, sf_dir: str) -> tuple[str, int]:
+    path, parts = scratch_path(spark, "series-store"), _arrivals(spark, sf_dir)
+    for generation, part in enumerate(parts):
+        incremental.update(spark, path, part, generation)
+    return path, len(parts) - 1
+
+
+@registered(query(SERIES, _SERIES_OUT))
+def series_in_deliveries(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Three deliveries, each merged into the stored states, give the roll-up of all headers."""
+    return rollup_columns(incremental.series(spark, *_kept_up(spark, sf_dir)))
+
+
+@registered(query(KEYED, """
+SELECT count(*) AS files_seen,
+  count(*) FILTER (NOT (depth >= 3 AND readable AND modality <> '')) AS unreadable FROM labelled"""))
+def counts_in_deliveries(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return incremental.counts(spark, *_kept_up(spark, sf_dir))
+
+
 @registered(query(SERIES, """
 SELECT center, subject_id, substr(sha256(study_key), 1, 16) AS study_uid_hash,
   substr(sha256(series_key), 1, 16) AS series_uid_hash, relpath AS source_relpath
