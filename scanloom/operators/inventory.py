@@ -85,9 +85,25 @@ def subject_dirs(instances: DataFrame) -> DataFrame:
     )
 
 
+def series_sizes(instances: DataFrame) -> DataFrame:
+    """Image planes of every series by folder: one pass that tells subject folders and large series alike.
+
+    Columns: center, subject_folder, subject_id, study_key, series_key, planes (of usable files).
+    """
+    needed = ["relpath", "readable", "modality", "study_uid", "series_uid", "frame_iops", "frame_ipps"]
+    inside = path_parts(instances.select(*needed)).filter(F.col("depth") >= 3)
+    keyed = _with_keys(inside.withColumn("subject_id", tx.subject_label(F.col("subject_folder"))))
+    planes = F.sum(F.when(_is_usable(), _planes()).otherwise(0)).alias("planes")
+    return keyed.groupBy("center", "subject_folder", "subject_id", "study_key", "series_key").agg(planes)
+
+
 def invalid_subject_folders(instances: DataFrame) -> DataFrame:
     """Folders whose name leaves no usable label."""
-    dirs = subject_dirs(instances).filter(F.col("subject_id").isNull())
+    return _invalid(subject_dirs(instances))
+
+
+def _invalid(dirs: DataFrame) -> DataFrame:
+    dirs = dirs.filter(F.col("subject_id").isNull())
     message = F.concat(
         F.lit("subject folder does not produce a valid BIDS label: '"),
         F.col("subject_folder"),
@@ -111,17 +127,18 @@ def center_collisions(dirs: DataFrame) -> DataFrame:
     )
 
 
-def subject_problems(instances: DataFrame) -> DataFrame:
+def subject_problems(instances: DataFrame, sizes: DataFrame | None = None) -> DataFrame:
     """Everything that makes subjects unusable: (subject_id, problem), null where no label is left.
 
-    Such subjects must not be curated: two centers with one label would become one person.
+    Such subjects must not be curated: two centers with one label would become one person. With ``sizes``
+    (``series_sizes``) the instances are not read again.
     """
-    dirs = subject_dirs(instances)
+    dirs = subject_dirs(instances) if sizes is None else sizes.select("center", "subject_folder", "subject_id").distinct()
     doubled = center_collisions(dirs).select(
         "subject_id",
         F.concat(F.lit("subject label in several centers: sub-"), "subject_id", F.lit(": "), "centers").alias("problem"),
     )
-    unusable = invalid_subject_folders(instances).select(
+    unusable = _invalid(dirs).select(
         F.lit(None).cast("string").alias("subject_id"),
         F.concat("problem", F.lit(" in "), "center").alias("problem"),
     )
@@ -170,6 +187,10 @@ def _keyed(instances: DataFrame) -> DataFrame:
     """Usable instances with their group keys."""
     usable = path_parts(instances).filter(_is_usable())
     labelled = usable.withColumn("subject_id", tx.subject_label(F.col("subject_folder")))
+    return _with_keys(labelled).withColumn("sop_key", F.coalesce(F.nullif("sop_uid", F.lit("")), F.col("relpath")))
+
+
+def _with_keys(labelled: DataFrame) -> DataFrame:
     return labelled.withColumns(
         {
             "study_key": F.coalesce(
@@ -180,7 +201,6 @@ def _keyed(instances: DataFrame) -> DataFrame:
                 F.nullif("series_uid", F.lit("")),
                 F.concat(F.lit("missing-series:"), tx.parent_dir(F.col("relpath"))),
             ),
-            "sop_key": F.coalesce(F.nullif("sop_uid", F.lit("")), F.col("relpath")),
         }
     )
 
@@ -390,18 +410,22 @@ def series_rollup(
     instances: DataFrame,
     params: SelectionParams = SelectionParams(),
     hot_rows: int | None = HOT_ROWS,
+    sizes: DataFrame | None = None,
 ) -> DataFrame:
     """One row per (center, subject, study, series) with first-file attributes and geometry.
 
     Series of at least ``hot_rows`` image planes go through a plan that never gathers them in one
-    task. Looking for them is a job of its own over a few columns; ``None`` skips it. Both plans keep
+    task. Looking for them is a job of its own over a few columns, or over ``sizes`` (``series_sizes``); ``None`` skips it. Both plans keep
     the same copy of a doubled instance (walk order, then a hash of the row) and let null labels meet,
     so the choice never shows in the result.
     """
     keyed = _keyed(instances)
     if hot_rows is None:
         return _finish(_rollup_together(_frames(keyed)), params)
-    hot = stage(hot_keys(keyed, GROUP_KEYS, hot_rows, rows=_planes()), "hot-series")
+    found = hot_keys(keyed, GROUP_KEYS, hot_rows, rows=_planes()) if sizes is None else hot_keys(
+        sizes, GROUP_KEYS, hot_rows, rows=F.col("planes")
+    )
+    hot = stage(found, "hot-series")
     if hot.isEmpty():
         return _finish(_rollup_together(_frames(keyed)), params)
     usual = keyed.join(F.broadcast(hot), null_safe(keyed, hot, GROUP_KEYS), "left_anti")
@@ -441,9 +465,10 @@ def inventory(
     instances: DataFrame,
     params: SelectionParams = SelectionParams(),
     hot_rows: int | None = HOT_ROWS,
+    sizes: DataFrame | None = None,
 ) -> DataFrame:
     """Instances to classified series."""
-    return classify(series_rollup(instances, params, hot_rows))
+    return classify(series_rollup(instances, params, hot_rows, sizes))
 
 
 def series_order() -> list[Column]:

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from scanloom.functions.scoring import manual_basename
 from scanloom.functions.text import blank, fixed_decimals, strip
+from scanloom.operators.staging import stage
 from scanloom.schemas import MANUAL_REVIEW, SELECTION, SERIES_KEYS, columns
 
 # The decisions a reviewer may write.
@@ -61,16 +62,23 @@ def decision_violations(
     selection: DataFrame, sheet: DataFrame, position: str = "position"
 ) -> DataFrame:
     """Everything that makes a decision sheet unusable, one row per problem."""
+    return _violations(sheet, _met(selection, manual_decisions(sheet, position)))
+
+
+def _met(selection: DataFrame, decided: DataFrame) -> DataFrame:
+    """The decided series of a selection with what decides whether the decision fits."""
+    return selection.select(*KEYS, "candidate_type", "source_kind").join(decided, KEYS)
+
+
+def _violations(sheet: DataFrame, met: DataFrame) -> DataFrame:
     raw = sheet.select(*[strip(blank(F.col(c))).alias(c) for c in [*KEYS, "decision"]])
     unknown = raw.filter(~F.col("decision").isin(*ALLOWED_DECISIONS)).select(
         *KEYS,
         F.concat(F.lit("invalid manual decision: '"), "decision", F.lit("'")).alias("problem"),
     )
-    met = selection.join(manual_decisions(sheet, position).drop("reviewer"), KEYS).filter(
-        F.col("decision").isin(*ALLOWED_DECISIONS)
-    )
-    misplaced = met.withColumn("problem", _problem()).filter(F.col("problem").isNotNull())
-    accepted = met.filter(F.col("decision") != "exclude")
+    known = met.filter(F.col("decision").isin(*ALLOWED_DECISIONS))
+    misplaced = known.withColumn("problem", _problem()).filter(F.col("problem").isNotNull())
+    accepted = known.filter(F.col("decision") != "exclude")
     doubled = (
         accepted.groupBy("subject_id", "candidate_type")
         .agg(F.count(F.lit(1)).alias("n"), F.min("study_uid_hash").alias("study_uid_hash"),
@@ -96,9 +104,8 @@ def assert_no_violations(violations: DataFrame, shown: int = 20) -> None:
         raise ValueError("; ".join(r.problem for r in found) + tail)
 
 
-def _usable(selection: DataFrame, decided: DataFrame) -> DataFrame:
-    """Decisions that may be applied: known, fit for their series, and the only acceptance."""
-    met = selection.select(*KEYS, "candidate_type", "source_kind").join(decided, KEYS)
+def _usable(met: DataFrame) -> DataFrame:
+    """Decided series whose decision may be applied: known, fit for the series, and the only acceptance."""
     fit = met.filter(F.col("decision").isin(*ALLOWED_DECISIONS) & _problem().isNull())
     accepted = F.count_if(F.col("decision") != "exclude")
     rivals = (
@@ -106,7 +113,7 @@ def _usable(selection: DataFrame, decided: DataFrame) -> DataFrame:
         .select("subject_id", "candidate_type", F.lit(True).alias("_rivals"))
     )
     judged = fit.join(rivals, ["subject_id", "candidate_type"], "left")
-    return judged.filter((F.col("decision") == "exclude") | F.col("_rivals").isNull()).select(*decided.columns)
+    return judged.filter((F.col("decision") == "exclude") | F.col("_rivals").isNull()).drop("_rivals")
 
 
 def apply_manual_decisions(
@@ -118,16 +125,18 @@ def apply_manual_decisions(
     as they are (``decision_violations`` lists them). Start from the automatic selection: decisions
     are not meant to be applied to their own result.
     """
-    decided = manual_decisions(sheet, position).withColumnRenamed("reviewer", "_reviewer")
+    # What the checks, the winners and the rows need is stored once: one row per decided series.
+    met = stage(_met(selection, manual_decisions(sheet, position)), "decided-series")
     if on_problem == "raise":
-        assert_no_violations(decision_violations(selection, sheet, position))
+        assert_no_violations(_violations(sheet, met))
     elif on_problem == "leave":
-        decided = _usable(selection, decided)
+        met = _usable(met)
     else:
         raise ValueError(on_problem)
+    decided = met.select(*KEYS, "decision", F.col("reviewer").alias("_reviewer")).distinct()
     rows = selection.join(decided, KEYS, "left")
     accepted = (
-        selection.join(decided.filter(F.col("decision") != "exclude"), KEYS)
+        met.filter(F.col("decision") != "exclude")
         .groupBy("subject_id", "candidate_type")
         .agg(F.min("series_uid_hash").alias("_winner"))
     )
@@ -168,23 +177,30 @@ def missing_series(rows: DataFrame, series: DataFrame) -> DataFrame:
 
 
 def assert_all_found(rows: DataFrame, series: DataFrame, shown: int = 20) -> None:
+    """Fail when any row's series is not in the inventory; names the first ones and how many more there are."""
     lost = missing_series(rows, series).select("subject_id", "series_uid_hash")
     found = lost.orderBy("subject_id", "series_uid_hash").limit(shown).collect()
     if found:
-        raise ValueError("series not in the inventory: " + ", ".join(f"sub-{r[0]} {r[1]}" for r in found))
+        more = lost.count() - len(found)
+        tail = f"; and {more} more" if more else ""
+        raise ValueError("series not in the inventory: " + ", ".join(f"sub-{r[0]} {r[1]}" for r in found) + tail)
 
 
 def review_sheet(
     selection: DataFrame, series: DataFrame, prior: DataFrame | None = None,
-    position: str = "position",
+    position: str = "position", on_missing: str = "raise",
 ) -> DataFrame:
     """Rows in review or already decided, keeping what people wrote on the prior sheet.
 
-    Rows whose series is missing have no facts; ``assert_all_found`` refuses them.
+    A row whose series is not in the inventory stops the run; with ``on_missing="leave"`` it has no facts.
     """
     open_rows = selection.filter(
         (F.col("decision_status") == "review") | (F.col("manual_decision") != "")
     )
+    if on_missing == "raise":
+        assert_all_found(open_rows, series)
+    elif on_missing != "leave":
+        raise ValueError(on_missing)
     facts = ["series_description", "protocol_name", "plane_angle_deg"]
     sheet = series_lookup(open_rows, series, facts, "left").withColumns(
         {

@@ -37,6 +37,24 @@ def scratch_path(spark: SparkSession, label: str) -> str:
     return path
 
 
+_tables: dict[str, str] = {}
+
+
+def stage_bucketed(df: DataFrame, label: str, keys: list[str], buckets: int | None = None) -> DataFrame:
+    """As ``stage``, dealt into buckets by ``keys``: joins and groups on them, or on more, need no exchange of it.
+
+    The catalog knows the table by a name of its own for as long as the application; ``release`` drops it.
+    Rows of one key share a bucket, so this is for keys that none holds a large share of.
+    """
+    spark = df.sparkSession
+    n = buckets or int(spark.conf.get("spark.sql.shuffle.partitions"))
+    path = scratch_path(spark, label)
+    name = f"staged_{uuid.uuid4().hex}"
+    df.repartition(n, *keys).write.bucketBy(n, *keys).sortBy(*keys).option("path", path).saveAsTable(name)
+    _tables[path] = name
+    return spark.table(name)
+
+
 def release(spark: SparkSession, label: str = "") -> int:
     """Delete what this application has staged under names that start with ``label``; how many places.
 
@@ -46,6 +64,8 @@ def release(spark: SparkSession, label: str = "") -> int:
     paths = [p for p in made if p.rpartition("/")[2].startswith(label)]
     for path in paths:
         made.remove(path)
+        if name := _tables.pop(path, None):
+            spark.sql(f"DROP TABLE IF EXISTS {name}")
         place = spark._jvm.org.apache.hadoop.fs.Path(path)
         place.getFileSystem(spark._jsc.hadoopConfiguration()).delete(place, True)
     return len(paths)

@@ -4,9 +4,15 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame
 
-from scanloom.operators.inventory import inventory, raise_problems, subject_problems, without_subjects
+from scanloom.operators.inventory import (
+    inventory,
+    raise_problems,
+    series_sizes,
+    subject_problems,
+    without_subjects,
+)
 from scanloom.operators.selection import select_series
-from scanloom.operators.staging import stage
+from scanloom.operators.staging import stage, stage_bucketed
 from scanloom.params import SelectionParams
 
 
@@ -19,9 +25,10 @@ def curate(
     ``on_problem="report"`` those subjects are left out and listed in a third table.
 
     The series table is the natural cut: it is hundreds of times smaller than the headers and
-    every later step reads it more than once.
+    every later step reads it more than once, most of them by subject. So it is stored in buckets by subject.
     """
-    problems = subject_problems(instances)
+    sizes = stage(series_sizes(instances), "series-sizes")
+    problems = subject_problems(instances, sizes)
     if on_problem == "report":
         problems = stage(problems, "subject-problems")
         instances = without_subjects(instances, problems)
@@ -29,6 +36,6 @@ def curate(
         raise_problems(problems)
     else:
         raise ValueError(on_problem)
-    series = stage(inventory(instances, params), "series")
+    series = stage_bucketed(inventory(instances, params, sizes=sizes), "series", ["subject_id"])
     selection = select_series(series, params)
     return (series, selection) if on_problem == "raise" else (series, selection, problems)

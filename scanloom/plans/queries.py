@@ -11,7 +11,7 @@ from scanloom.functions import text as tx
 from scanloom.functions.scoring import slice_gap
 from scanloom.functions.geometry import voxel_volume
 from scanloom.operators import catalog, incremental, inventory, pilot, review, selection
-from scanloom.operators.staging import scratch_path, stage
+from scanloom.operators.staging import scratch_path, stage, stage_bucketed
 from scanloom.params import PilotParams
 from scanloom.plans.cohort import cohort_instances, stored_instances, table
 from scanloom.plans.oracle_base import COHORT, KEYED, SCORES, SELECTION, SERIES, SHEET, query
@@ -42,7 +42,7 @@ def curated(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
     key = (spark.sparkContext.applicationId, sf_dir)
     if key not in _curated:
         series, chosen = curate(stored_instances(spark, sf_dir))
-        _curated[key] = (series, stage(chosen, "selection"))
+        _curated[key] = (series, stage_bucketed(chosen, "selection", ["subject_id"]))
     return _curated[key]
 
 

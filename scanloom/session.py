@@ -14,4 +14,6 @@ def configure(spark: SparkSession) -> SparkSession:
     spark.conf.set("spark.sql.codegen.hugeMethodLimit", HUGE_METHOD_LIMIT)
     spark.conf.set("spark.sql.adaptive.enabled", "true")
     spark.conf.set("spark.sql.adaptive.skewJoin.enabled", "true")
+    # Tables that are bucketed by a part of a join's keys need no exchange for it.
+    spark.conf.set("spark.sql.requireAllClusterKeysForCoPartition", "false")
     return spark
