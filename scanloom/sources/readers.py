@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from scanloom.functions.text import blank, strip, subject_label
 from scanloom.operators.review import last_per_key
 from scanloom.schemas import INSTANCES, SELECTION, SERIES, columns
+from scanloom.sources import splitting
 
 
 def file_listing(spark: SparkSession, root: str) -> DataFrame:
@@ -32,24 +33,31 @@ def read_instances(spark: SparkSession, path: str, format: str = "parquet") -> D
     return spark.read.format(format).schema(INSTANCES).load(path)
 
 
+_TSV = {
+    "sep": "\t", "escape": '"', "ignoreLeadingWhiteSpace": "false", "ignoreTrailingWhiteSpace": "false",
+}
+
+
 def read_tsv(
-    spark: SparkSession, path: str, position: str | None = None, multi_line: bool = True
+    spark: SparkSession, path: str, position: str | None = None, multi_line: bool = True, split: bool | None = None
 ) -> DataFrame:
     """A headed TSV as text columns, blanks as empty strings, doubled quotes understood.
 
-    ``position`` names a column that orders rows by file name, then line. Quoted cells may hold line
-    breaks, which makes every file one task; ``multi_line=False`` splits large files that have none.
+    ``position`` names a column that orders rows by file name, then line. Quoted cells may hold line breaks; a
+    file larger than one task's share is then cut between its records (``splitting``), which ``split`` asks for or
+    forbids whatever the size. ``multi_line=False`` reads line by line, for tables without such cells.
     """
-    raw = (
-        spark.read.option("header", True)
-        .option("sep", "\t")
-        .option("escape", '"')
-        .option("multiLine", multi_line)
-        .option("ignoreLeadingWhiteSpace", False)
-        .option("ignoreTrailingWhiteSpace", False)
-        .csv(path)
-    )
+    raw = spark.read.options(**_TSV, header=True, multiLine=multi_line).csv(path)
     cells = [blank(F.col(f"`{c}`")).alias(c) for c in raw.columns]
+    if multi_line and (splitting.worth_splitting(spark, path) if split is None else split):
+        records = splitting.tsv_records(spark, path)
+        # The parser gets plain names; a name of the header may not be one of a schema.
+        names = [f"_c{i}" for i in range(len(raw.columns))]
+        parsed = F.from_csv("value", ", ".join(f"{n} STRING" for n in names), _TSV)
+        rows = records.withColumn("_cells", parsed)
+        cells = [blank(F.col("_cells")[n]).alias(c) for n, c in zip(names, raw.columns)]
+        place = F.struct(F.col("_file").alias("file"), F.struct("_block", "_at").alias("line"))
+        return rows.select(*cells, *([place.alias(position)] if position else []))
     if not position:
         return raw.select(*cells)
     # Ids grow along the partitions of a scan, which keeps the order of lines within one file.
@@ -70,11 +78,17 @@ def read_selection(spark: SparkSession, path: str) -> DataFrame:
     return cells.select(*[cell(c) for c in columns(SELECTION)])
 
 
-def read_series_json(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
-    """A JSON array of series as (series, source files). Use Parquet for anything large: one
-    such array is one task."""
+def read_series_json(spark: SparkSession, path: str, split: bool | None = None) -> tuple[DataFrame, DataFrame]:
+    """JSON arrays of series as (series, source files).
+
+    A file larger than one task's share is cut between its objects (``splitting``), which ``split`` asks for or
+    forbids whatever the size.
+    """
     schema = f"{SERIES}, source_relpaths ARRAY<STRING>"
-    rows = spark.read.schema(schema).option("multiLine", True).json(path)
+    if splitting.worth_splitting(spark, path) if split is None else split:
+        rows = splitting.json_elements(spark, path).select(F.from_json("value", schema).alias("_row")).select("_row.*")
+    else:
+        rows = spark.read.schema(schema).option("multiLine", True).json(path)
     keys = ["center", "subject_id", "study_uid_hash", "series_uid_hash"]
     sources = rows.select(*keys, F.explode("source_relpaths").alias("source_relpath"))
     return rows.drop("source_relpaths"), sources
