@@ -13,6 +13,7 @@ element holds the main element, the article or most of what the upper cluster ha
 from __future__ import annotations
 
 import re
+from collections import Counter
 from collections.abc import Iterator
 from html.parser import HTMLParser
 
@@ -28,6 +29,8 @@ RADIUS = 2
 SHARE = 0.9
 #: Share from which an article or main element is the content.
 ARTICLE_SHARE = 0.5
+#: Share of a line's characters in links from which it is a menu, where it stands at an edge of the content.
+LINK_SHARE = 0.5
 #: Share of the upper cluster, other marked text apart, from which a layout mark counts for nothing; others need SHARE.
 LAYOUT_SHARE = 0.5
 
@@ -66,27 +69,30 @@ CUT_TAG = re.compile(r"<[A-Za-z/!?][^<>]*\Z")
 
 
 class Lines(HTMLParser):
-    """Lines of a page: pieces of text with the marks they stand under, tags since the line before, elements around."""
+    """Lines of a page: pieces of text (the mark they stand under, whether in a link), tags since the line before, and
+    the element around. Elements and marks know the one around them, so depth costs nothing."""
 
     def __init__(self):
         super().__init__(convert_charrefs=True)
-        self.lines: list[tuple[list[tuple[str, tuple[int, ...]]], int, tuple[int, ...]]] = []
-        self.kinds = {0: "page"}
-        #: Marks by number: by a part of the layout or not, by the tag or not.
+        self.lines: list[tuple[list[tuple[str, int, bool]], int, int]] = []
+        self.kinds = ["page"]
+        self.parents = [-1]
+        #: Marks by number: by a part of the layout or not, by the tag or not; and the mark around, -1 for none.
         self.marks: list[tuple[bool, bool]] = []
-        #: Marks around each article and main element.
-        self.around: dict[int, tuple[int, ...]] = {}
-        self.open: list[tuple[str, bool, int, bool]] = []
+        self.mark_parents: list[int] = []
+        #: The mark around each article and main element.
+        self.around: dict[int, int] = {}
+        self.open: list[tuple[str, bool, bool, bool]] = []
+        self.names: Counter[str] = Counter()
         self.hidden = 0
-        self.path: tuple[int, ...] = (0,)
-        self.under: tuple[int, ...] = ()
-        self._pieces: list[tuple[str, tuple[int, ...]]] = []
+        self.element, self.under = 0, -1
+        self._pieces: list[tuple[str, int, bool]] = []
         self._tags = 0
 
     def _flush(self) -> None:
         pieces, self._pieces = self._pieces, []
-        if any(text.strip(WHITE) for text, _ in pieces):
-            self.lines.append((pieces, self._tags, self.path))
+        if any(text.strip(WHITE) for text, _, _ in pieces):
+            self.lines.append((pieces, self._tags, self.element))
             self._tags = 0
 
     def _mark(self, tag: str, attrs) -> tuple[bool, bool] | None:
@@ -94,7 +100,7 @@ class Lines(HTMLParser):
             return False, True
         if tag == "form":
             return True, False
-        inside = any(x[0] in ("article", "main") for x in self.open)
+        inside = self.names["article"] + self.names["main"] > 0
         if tag == "header":
             return None if inside else (True, False)
         if tag in ("html", "body", "article", "main"):
@@ -112,12 +118,13 @@ class Lines(HTMLParser):
         return None
 
     def _pop(self, to: int) -> None:
-        for _, never, element, marked in self.open[to:]:
+        for name, never, is_element, marked in reversed(self.open[to:]):
+            self.names[name] -= 1
             self.hidden -= never
-            if element:
-                self.path = self.path[:-1]
+            if is_element:
+                self.element = self.parents[self.element]
             if marked:
-                self.under = self.under[:-1]
+                self.under = self.mark_parents[self.under]
         del self.open[to:]
 
     def handle_starttag(self, tag: str, attrs) -> None:
@@ -136,23 +143,25 @@ class Lines(HTMLParser):
                 self._close_sibling(tag)
         self._tags += 1
         if tag == "br":
-            self._pieces.append((" ", self.under))
+            self._pieces.append((" ", self.under, False))
         if tag in VOID:
             return
         mark = self._mark(tag, attrs)
         if mark:
-            self.under += (len(self.marks),)
+            self.mark_parents.append(self.under)
+            self.under = len(self.marks)
             self.marks.append(mark)
         never = tag in NEVER
-        element = 0
-        if tag in BLOCK and tag != "p":
-            element = len(self.kinds)
-            self.kinds[element] = tag
-            self.path += (element,)
+        is_element = tag in BLOCK and tag != "p"
+        if is_element:
+            self.parents.append(self.element)
+            self.element = len(self.kinds)
+            self.kinds.append(tag)
             if tag in ("article", "main"):
-                self.around[element] = self.under
+                self.around[self.element] = self.under
         self.hidden += never
-        self.open.append((tag, never, element, mark is not None))
+        self.names[tag] += 1
+        self.open.append((tag, never, is_element, mark is not None))
 
     def _close_sibling(self, tag: str) -> None:
         for at in range(len(self.open) - 1, -1, -1):
@@ -172,6 +181,8 @@ class Lines(HTMLParser):
         self._tags += 1
         if tag in BLOCK:
             self._flush()
+        if not self.names[tag]:
+            return
         for at in range(len(self.open) - 1, -1, -1):
             if self.open[at][0] == tag:
                 self._pop(at)
@@ -182,7 +193,7 @@ class Lines(HTMLParser):
 
     def handle_data(self, data: str) -> None:
         if not self.hidden:
-            self._pieces.append((data, self.under))
+            self._pieces.append((data, self.under, self.names["a"] > 0))
 
     def close(self) -> None:
         super().close()
@@ -204,101 +215,141 @@ def content_lines(ratios: np.ndarray) -> np.ndarray:
     return smooth >= (low + high) / 2
 
 
-def without(lines: list, marks: set[int]) -> list[tuple[str, int, tuple[int, ...]]]:
-    """Text, tags and path of the lines that have text outside ``marks``; tags of the others go to the next one."""
+def summed_up(own: list[float], parents: list[int]) -> list[float]:
+    """Sums over everything inside; what is around has a smaller number."""
+    out = list(own)
+    for at in range(len(out) - 1, 0, -1):
+        if parents[at] >= 0:
+            out[parents[at]] += out[at]
+    return out
+
+
+def inside_of(chosen: set[int], parents: list[int]) -> list[bool]:
+    """Which numbers are chosen or inside a chosen one."""
+    out: list[bool] = []
+    for at, parent in enumerate(parents):
+        out.append(at in chosen or (parent >= 0 and out[parent]))
+    return out
+
+
+Line = tuple[str, int, int, float]
+
+
+def without(page: Lines, marks: set[int]) -> list[Line]:
+    """Text, tags, element and share in links of the lines that have text outside ``marks``; tags of the others go
+    to the next one."""
+    dropped = [*inside_of(marks, page.mark_parents), False]  # the last one is for no mark, -1
     left, tags = [], 0
-    for pieces, n, path in lines:
+    for pieces, n, element in page.lines:
         tags += n
-        text = SPACE.sub(" ", "".join(t for t, under in pieces if marks.isdisjoint(under))).strip(WHITE)
+        kept = [(text, linked) for text, under, linked in pieces if not dropped[under]]
+        text = SPACE.sub(" ", "".join(t for t, _ in kept)).strip(WHITE)
         if text:
-            left.append((text, tags, path))
+            links = sum(len("".join(t.split())) for t, linked in kept if linked)
+            left.append((text, tags, element, links / max(1, len("".join(text.split())))))
             tags = 0
     return left
 
 
-def upper_lines(lines: list[tuple[str, int, tuple[int, ...]]]) -> np.ndarray:
-    sizes = np.array([len(text) for text, _, _ in lines], float)
-    return content_lines(sizes / np.array([max(1, tags) for _, tags, _ in lines], float))
+def upper_lines(lines: list[Line]) -> np.ndarray:
+    sizes = np.array([len(text) for text, *_ in lines], float)
+    return content_lines(sizes / np.array([max(1, tags) for _, tags, *_ in lines], float))
 
 
 def honoured(page: Lines) -> set[int]:
-    """Marks of elements that do not hold the content. Large elements come first; text of other marked ones is
-    left out of the comparison, unless their marks count for nothing too."""
+    """Marks of elements that do not hold the content. Large elements come first, so one before those inside it; text
+    of other marked ones is left out of the comparison, unless their marks count for nothing too."""
     marks = set(range(len(page.marks)))
     if not marks:
         return marks
-    every = without(page.lines, set())
+    every = without(page, set())
     upper = upper_lines(every)
-    held = dict.fromkeys(marks, 0)
-    sizes: dict[tuple[int, ...], int] = {}
-    elements = dict.fromkeys(page.around, 0)
-    for (texts, _, path), (text, _, _), up in zip(page.lines, every, upper):
+    own, own_marked = [0] * len(page.kinds), [0] * len(page.marks)
+    for (pieces, _, element), (text, *_), up in zip(page.lines, every, upper):
         if not up:
             continue
-        for element in path:
-            if element in elements:
-                elements[element] += len(text)
-        for piece, under in texts:
-            if under and (size := len(SPACE.sub(" ", piece).strip(WHITE))):
-                sizes[under] = sizes.get(under, 0) + size
-    for under, size in sizes.items():
-        for mark in under:
-            held[mark] += size
-    pieces = [(size, set(under)) for under, size in sizes.items()]
-    total = sum(len(text) for (text, _, _), up in zip(every, upper) if up)
+        own[element] += len(text)
+        for piece, under, _ in pieces:
+            if under >= 0:
+                own_marked[under] += len(SPACE.sub(" ", piece).strip(WHITE))
+    sizes, held = summed_up(own, page.parents), summed_up(own_marked, page.mark_parents)
+    elements = {e: sizes[e] for e in page.around}
     article = max((e for e in elements if page.kinds[e] == "article"), key=elements.get, default=None)
-    around_main, around_article = set(), set()
+    around_main: set[int] = set()
+    around_article: set[int] = set()
+
+    def add_all(mark: int, to: set[int]) -> None:
+        while mark >= 0 and mark not in to:
+            to.add(mark)
+            mark = page.mark_parents[mark]
+
     for element, size in elements.items():
-        if size and (page.kinds[element] == "main" or size >= ARTICLE_SHARE * total):
-            around_main.update(page.around[element])
+        if size and (page.kinds[element] == "main" or size >= ARTICLE_SHARE * sizes[0]):
+            add_all(page.around[element], around_main)
         elif size and element == article:
-            around_article.update(page.around[element])
-    clean = without(page.lines, marks)
-    outside = sum(len(text) for (text, _, _), up in zip(clean, upper_lines(clean)) if up) if clean else 0
+            add_all(page.around[element], around_article)
+    clean = without(page, marks)
+    outside = sum(len(text) for (text, *_), up in zip(clean, upper_lines(clean)) if up) if clean else 0
     two = not upper.all()
+    free = [False] * len(page.marks)
     for mark in sorted(marks, key=lambda m: (-held[m], m)):
         layout, by_tag = page.marks[mark]
         most = held[mark] and held[mark] >= (LAYOUT_SHARE if layout else SHARE) * (held[mark] + outside)
         if mark in around_main or layout and mark in around_article or most and (two or not by_tag):
             marks.discard(mark)
-            rest = []
-            for size, under in pieces:
-                under.discard(mark)
-                if under:
-                    rest.append((size, under))
-                else:
-                    outside += size
-            pieces = rest
+            parent = page.mark_parents[mark]
+            free[mark] = parent < 0 or free[parent]
+            if free[mark]:
+                outside += own_marked[mark]
     return marks
 
 
+def without_menus(lines: list[Line], upper: list[bool]) -> list[Line]:
+    """Less the lines of the lower cluster at the beginning and the end that are mostly links."""
+    def is_menu(at: int) -> bool:
+        return not upper[at] and lines[at][3] >= LINK_SHARE
+
+    start, end = 0, len(lines)
+    while start < end and is_menu(start):
+        start += 1
+    while start < end and is_menu(end - 1):
+        end -= 1
+    return lines[start:end]
+
+
 def main_text(html: str | None) -> str:
     """Text of the content of one page, a line per block; empty for a null, empty or textless page.
 
     Character references are decoded, white space in a block is one space, and a page that ends inside a tag
-    loses only that tag. Nothing else is dropped or cut.
+    loses only that tag. Nothing else is dropped or cut. Time grows with the length of the page, however deep its
+    elements are.
     """
     page = Lines()
     page.feed(CUT_TAG.sub("", html or ""))
     page.close()
-    lines = without(page.lines, honoured(page))
+    lines = without(page, honoured(page))
     if not lines:
         return ""
-    votes: dict[int, float] = {}
-    for text, _, path in (x for x, u in zip(lines, upper_lines(lines)) if u):
-        for element in path:
-            votes[element] = votes.get(element, 0.0) + len(text)
+    upper = upper_lines(lines)
+    own = [0.0] * len(page.kinds)
+    for (text, _, element, _), up in zip(lines, upper):
+        if up:
+            own[element] += len(text)
+    votes = summed_up(own, page.parents)
     total = votes[0]
-    articles = [e for e, v in votes.items() if page.kinds[e] in ("article", "main") and v >= ARTICLE_SHARE * total]
+    articles = [e for e, v in enumerate(votes) if v and page.kinds[e] in ("article", "main") and v >= ARTICLE_SHARE * total]
     # Elements are numbered in page order, so a parent has a smaller number than what it holds.
-    chosen = min(articles) if articles else max(e for e, v in votes.items() if v >= SHARE * total)
-    return "\n".join(text for text, _, path in lines if chosen in path)
+    chosen = min(articles) if articles else max(e for e, v in enumerate(votes) if v and v >= SHARE * total)
+    there = inside_of({chosen}, page.parents)
+    kept = [(line, bool(up)) for line, up in zip(lines, upper) if there[line[2]]]
+    return "\n".join(text for text, *_ in without_menus([line for line, _ in kept], [up for _, up in kept]))
 
 
 def extract(pages: DataFrame) -> DataFrame:
     """One row per row of ``pages``: page_id, url, text, n_chars (code points of the text).
 
-    Repeated rows stay repeated, nulls in page_id and url are passed on, other columns are ignored.
+    Repeated rows stay repeated, nulls in page_id and url are passed on, other columns are ignored, an empty table
+    gives no rows. Pages of any length are read whole.
     """
 
     def work(slices: Iterator[dict]) -> Iterator[dict]:

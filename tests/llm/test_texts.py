@@ -1,9 +1,13 @@
 """Identifiers, page texts, tokens, packing and language against brute force, round trips and held-out texts."""
 
 import hashlib
+import math
 import random
 import re
+import time
+import unicodedata
 import zlib
+from collections import Counter
 
 import numpy as np
 import pytest
@@ -379,3 +383,129 @@ def test_a_rest_of_noise_is_rejected():
     rng = random.Random(4)
     assert classify("".join(rng.choice("qwertuioasdf") for _ in range(3000)))[2]
     assert not classify("hm")[2]
+
+
+@pytest.mark.parametrize("text", ["½ ②", "①② ٣ 12", "_ - !", "\u0301\u0302", "Ⅷ ²"])
+def test_texts_without_letters_are_undetermined(text):
+    classify = language_id.classifier({"a": b"xyzzy " * 50, "b": b"plugh " * 50})
+    assert not any(c.isalpha() for c in text)
+    assert classify(text) == (language_id.UNKNOWN, 0.0, True)
+
+
+def test_marks_stay_inside_words():
+    assert language_id.prepared("हिन्दी भाषा, cafe\u0301!") == "हिन्दी भाषा cafe\u0301".encode()
+
+
+def test_many_languages_share_the_sample(spark, monkeypatch):
+    monkeypatch.setattr(language_id, "ALL_SAMPLE_DOCS", 30)
+    rows = [(i, f"word{i} of label {i % 60}", f"x{i % 60:02}") for i in range(600)]
+    learned = language_id.learn(table(spark, rows))
+    assert len(learned) == 60 and all(len(v.split()) <= 4 for v in learned.values())
+
+
+def plain_classifier(content):
+    """Every chunk against every dictionary, written out."""
+    import zstandard
+
+    def classify(text):
+        kept = "".join(c if unicodedata.category(c)[0] in "LM" else " " for c in (text or "").lower())
+        if not any(c.isalpha() for c in kept):
+            return "und", 0.0, True
+        data = " ".join(kept.split(" ")).encode()
+        data = re.sub(rb" +", b" ", data).strip()
+        totals = {}
+        for lang in sorted(content):
+            made = zstandard.ZstdCompressionDict(content[lang], dict_type=zstandard.DICT_TYPE_RAWCONTENT)
+            one = zstandard.ZstdCompressor(level=6, dict_data=made, write_content_size=False, write_dict_id=False)
+            totals[lang] = sum(len(one.compress(data[i : i + 1024])) for i in range(0, len(data), 1024))
+        best, second = sorted((n, lang) for lang, n in totals.items())[:2]
+        return best[1], (second[0] - best[0]) / second[0], second[0] - best[0] < math.floor(0.002 * second[0])
+
+    return classify
+
+
+def test_predictions_are_those_of_plain_compression(spark):
+    rows = [*labelled(120), (1000, None, "en"), (1001, "½", "en"), (1002, "the und des " * 900, None), (1003, "q" * 40_000, None), (1004, "", None)]
+    docs = table(spark, rows)
+    content = language_id.learn(docs)
+    plain = plain_classifier(content)
+    for row in language_id.predict(docs, content).collect():
+        lang, score, rejected = plain(row["text"])
+        assert (row["lang_pred"], row["rejected"]) == (lang, rejected) and row["score"] == pytest.approx(score)
+
+
+# Page texts by their definition
+
+
+def plain_choice(page):
+    """Ratios, smoothing, threshold and vote over the lines of a parsed page without marks, one by one."""
+    lines = html_text.without(page, set())
+    ratios = [len(text) / max(1, tags) for text, tags, _, _ in lines]
+    weights = {d: math.exp(-0.5 * d * d) for d in range(-2, 3)}
+    smooth = [
+        sum(w * ratios[min(max(i + d, 0), len(ratios) - 1)] for d, w in weights.items()) / sum(weights.values())
+        for i in range(len(ratios))
+    ]
+    low, high = min(smooth), max(smooth)
+    while high - low > 1e-9:
+        below = [x for x in smooth if x < (low + high) / 2]
+        above = [x for x in smooth if x >= (low + high) / 2]
+        if (sum(below) / len(below), sum(above) / len(above)) == (low, high):
+            break
+        low, high = sum(below) / len(below), sum(above) / len(above)
+    upper = [x >= (low + high) / 2 for x in smooth]
+
+    def around(element):
+        out = [element]
+        while page.parents[out[-1]] >= 0:
+            out.append(page.parents[out[-1]])
+        return out
+
+    votes = Counter()
+    for (text, _, element, _), up in zip(lines, upper):
+        if up:
+            votes.update(dict.fromkeys(around(element), len(text)))
+    articles = [e for e in votes if page.kinds[e] in ("article", "main") and votes[e] >= 0.5 * votes[0]]
+    chosen = min(articles) if articles else max(e for e in votes if votes[e] >= 0.9 * votes[0])
+    kept = [(line, up) for line, up in zip(lines, upper) if chosen in around(line[2])]
+    while kept and not kept[0][1] and kept[0][0][3] >= 0.5:
+        kept.pop(0)
+    while kept and not kept[-1][1] and kept[-1][0][3] >= 0.5:
+        kept.pop()
+    return "\n".join(line[0] for line, _ in kept)
+
+
+BLOCKS = st.recursive(
+    st.tuples(st.sampled_from(["p", "li", "h2", "td", "a", "b"]), st.sampled_from(["word", "some more words ", "Long text of a paragraph. " * 9, "x", "é & y"])),
+    lambda inner: st.tuples(st.sampled_from(["div", "article", "section", "main", "ul", "table", "p"]), st.lists(inner, max_size=5)), max_leaves=14,
+)
+
+
+def written(node):
+    tag, inside = node
+    return f"<{tag}>{inside if isinstance(inside, str) else ''.join(map(written, inside))}</{tag}>"
+
+
+@settings(max_examples=300, deadline=None)
+@given(st.lists(BLOCKS, min_size=1, max_size=6))
+def test_page_choice_by_its_definition(nodes):
+    html = "".join(map(written, nodes))
+    page = html_text.Lines()
+    page.feed(html)
+    page.close()
+    assert html_text.main_text(html) == (plain_choice(page) if page.lines else "")
+
+
+def test_hard_pages():
+    long = "<p>" + "Long words of a paragraph here. " * 12 + "</p>"
+    menu = '<p><a href="/">Home</a> <a href="/a">About</a> <a href="/b">Blog</a></p>'
+    page = html_text.main_text(menu + long + "<p>short</p>" + long * 4 + "<p><a>Imprint</a> | <a>Privacy</a></p>")
+    assert page.split("\n")[0].startswith("Long") and page.split("\n")[-1].startswith("Long") and "\nshort\n" in page
+    assert html_text.main_text("<article>" + menu + long * 3 + "</article>").startswith("Long")
+    assert html_text.main_text("<table><tr><td>" + menu + "</td><td>" + long * 3 + "</td></tr></table>").startswith("Long")
+    assert html_text.main_text(long * 3 + "<script>var a = '<p>no") == html_text.main_text(long * 3)
+    for deep in ("<div>", "<nav>", "<b>", "<i><div>", "<li><span>"):
+        started = time.process_time()
+        assert html_text.main_text(deep * 60_000 + long).startswith("Long") or deep == "<nav>"
+        html_text.main_text(deep * 30_000 + "</section></em>" * 30_000 + "x")
+        assert time.process_time() - started < 30
