@@ -13,7 +13,9 @@ UNREADABLE = "validator_result_missing_or_unreadable"
 def error_fingerprints(reports: DataFrame, root: str | Column, json_column: str = "json") -> DataFrame:
     """Distinct errors of reports in canonical form, the dataset's own path taken out.
 
-    Keys are sorted by the variant parser. A report that cannot be parsed yields one marker.
+    Keys are sorted by the variant parser. An issue that is text stays as it is; null, true and false are written
+    as ``None``, ``True`` and ``False``, other issues that are no objects as JSON. A report that cannot be parsed or
+    is null yields one marker.
     """
     path = root if isinstance(root, Column) else F.lit(root)
     escaped = (
@@ -29,9 +31,16 @@ def error_fingerprints(reports: DataFrame, root: str | Column, json_column: str
         F.col("_report").isNull().alias("_unreadable"),
         F.explode_outer(errors).alias("_issue"),
     )
-    text = F.replace(
-        F.replace(F.to_json(F.col("_issue")), escaped, F.lit("<dataset>")), path,
-        F.lit("<dataset>"),
+    issue, kind = F.col("_issue"), F.schema_of_variant(F.col("_issue"))
+    canonical = F.replace(
+        F.replace(F.to_json(issue), escaped, F.lit("<dataset>")), path, F.lit("<dataset>"),
+    )
+    text = (
+        F.when(kind == "STRING", F.try_variant_get(issue, "$", "string"))
+        .when(kind == "BOOLEAN", F.initcap(F.try_variant_get(issue, "$", "string")))
+        .when(kind == "VOID", "None")
+        .when(F.startswith(kind, F.lit("OBJECT")), canonical)
+        .otherwise(F.to_json(issue))
     )
     return (
         issues.withColumn("fingerprint", F.when(F.col("_unreadable"), UNREADABLE).otherwise(text))

@@ -4,15 +4,17 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from scanloom.functions import text as tx
 from scanloom.operators import catalog, inventory, pilot, release, validation, workplan
+from scanloom.operators.ordering import range_chunks, running_totals
 from scanloom.operators.staging import scratch_path
 from scanloom.params import PilotParams, ReleasePolicy
 from scanloom.plans import queries, queries_work
 from scanloom.plans.cohort import stored_instances, table
+from scanloom.plans.oracle_base import SELECTION, query
 from scanloom.plans.queries import ORACLES, curated, registered
 from scanloom.sources import readers, writers
 
@@ -141,14 +143,22 @@ def state_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @registered("""
-SELECT DISTINCT CASE WHEN s_suppkey % 10 = 0 THEN 'validator_result_missing_or_unreadable'
-  ELSE '{"code":"' || s_nationkey || '","location":"<dataset>/f"}' END AS fingerprint FROM supplier""")
+SELECT DISTINCT CASE s_suppkey % 10 WHEN 0 THEN 'validator_result_missing_or_unreadable'
+  WHEN 1 THEN 'plain "/set/' || s_nationkey || '"' WHEN 2 THEN 'None' WHEN 3 THEN s_nationkey::VARCHAR WHEN 4 THEN 'True'
+  ELSE '{"code":"' || s_nationkey || '","location":"<dataset>/f"}' END AS fingerprint FROM supplier WHERE s_suppkey % 10 <> 5
+UNION SELECT 'validator_result_missing_or_unreadable'""")
 def report_files(spark: SparkSession, sf_dir: str) -> DataFrame:
-    report = F.concat(
-        F.lit('{"issues":{"errors":[{"location":"/set/f",\n"code":"'), "s_nationkey", F.lit('"}]}}')
+    """Reports whose issues are objects, text, null, a number or true; broken ones, empty ones, and one that is not there."""
+    kind, code = F.col("s_suppkey") % 10, F.col("s_nationkey").cast("string")
+    issue = (
+        F.when(kind == 1, F.concat(F.lit('"plain \\"/set/'), code, F.lit('\\""')))
+        .when(kind == 2, "null").when(kind == 3, code).when(kind == 4, "true")
+        .otherwise(F.concat(F.lit('{"location":"/set/f",\n"code":"'), code, F.lit('"}')))
     )
-    path = _files(spark, sf_dir, "reports", F.when(F.col("s_suppkey") % 10 == 0, "{broken").otherwise(report))
-    return validation.error_fingerprints(readers.read_reports(spark, path), "/set")
+    report = F.concat(F.lit('{"issues":{"errors":['), F.when(kind == 5, "").otherwise(issue), F.lit("]}}"))
+    path = _files(spark, sf_dir, "reports", F.when(kind == 0, "{broken").otherwise(report))
+    reports = readers.read_reports(spark, path).unionByName(readers.read_reports(spark, f"{path}-absent/report.json"))
+    return validation.error_fingerprints(reports, "/set")
 
 
 @registered("""
@@ -175,20 +185,164 @@ def subject_list(spark: SparkSession, sf_dir: str) -> DataFrame:
     return readers.read_subject_list(spark, path)
 
 
-@registered(f"SELECT subject_id, study_uid_hash, series_uid_hash, candidate_type, instance_count FROM ({ORACLES['json_roundtrip']})")
-def series_json_files(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """One array per two digits of the series hash; each array is one file and one task."""
+#: Series in one array.
+_ARRAY_SERIES = 2_000
+_JSON_OUT = f"SELECT subject_id, study_uid_hash, series_uid_hash, candidate_type, instance_count FROM ({ORACLES['json_roundtrip']})"
+
+
+def _series_arrays(spark: SparkSession, sf_dir: str) -> str:
+    """Arrays of a bounded number of series each; how many there are follows the table."""
     series = curated(spark, sf_dir)[0]
     path = scratch_path(spark, "series-arrays")
     whole = F.struct(*[F.col(f"`{c}`") for c in series.columns], F.array(F.lit("x")).alias("source_relpaths"))
-    arrays = series.groupBy(F.left("series_uid_hash", F.lit(2)).alias("part")).agg(
-        F.to_json(F.collect_list(whole)).alias("value")
-    )
-    arrays.repartition("part").write.partitionBy("part").text(path)
-    facts, _ = readers.read_series_json(spark, path)
+    arrays = -(-series.count() // _ARRAY_SERIES) or 1
+    parts = series.withColumn("part", F.pmod(F.xxhash64("subject_id", "study_uid_hash", "series_uid_hash"), F.lit(arrays)))
+    texts = parts.groupBy("part").agg(F.to_json(F.collect_list(whole)).alias("value"))
+    texts.repartition("part").write.partitionBy("part").text(path)
+    return path
+
+
+@registered(_JSON_OUT)
+def series_json_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    facts, _ = readers.read_series_json(spark, f"{_series_arrays(spark, sf_dir)}/*")
+    return facts.select("subject_id", "study_uid_hash", "series_uid_hash", "candidate_type", "instance_count")
+
+
+@registered(_JSON_OUT)
+def series_json_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same arrays, cut between their objects wherever a task's share ends."""
+    facts, _ = readers.read_series_json(spark, f"{_series_arrays(spark, sf_dir)}/*", split=True)
     return facts.select("subject_id", "study_uid_hash", "series_uid_hash", "candidate_type", "instance_count")
 
 
+@registered("""
+SELECT o_orderkey::VARCHAR AS o_orderkey, o_orderpriority || chr(10) || '"' || o_orderstatus || chr(9) || o_custkey || chr(10) AS note, o_orderstatus
+FROM orders""")
+def tsv_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Cells with line breaks, tabs and quotes in files that are cut between their records."""
+    note = F.concat("o_orderpriority", F.lit('\n"'), "o_orderstatus", F.lit("\t"), "o_custkey", F.lit("\n"))
+    rows = table(spark, sf_dir, "orders").select("o_orderkey", note.alias("note"), "o_orderstatus")
+    path = scratch_path(spark, "tsv-pieces")
+    writers.write_tsv(rows, path, rows.columns)
+    return readers.read_tsv(spark, path, split=True)
+
+
+@registered("""
+SELECT s_suppkey, 's_suppkey=' || s_suppkey AS folder, strlen(s_name) + 1 AS length FROM supplier""")
+def walked_listing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = readers.walked_listing(spark, _files(spark, sf_dir, "walk", F.col("s_name")))
+    folder = tx.parent_dir(F.col("relpath"))
+    data = found.filter(F.col("relpath").endswith(".txt"))
+    return data.select(F.regexp_extract(folder, r"(\d+)$", 1).cast("bigint").alias("s_suppkey"), folder.alias("folder"), "length")
+
+
+@registered("SELECT s_suppkey, strlen(s_name) + 1 AS length, sha256(s_name || chr(10)) AS sha256 FROM supplier")
+def fixity_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every file digested block by block, as large ones are."""
+    return readers.fixity(spark, _files(spark, sf_dir, "fixity", F.col("s_name")), whole_file=0).select(_key(), "length", "sha256")
+
+
+@registered("""
+SELECT value AS disk_write_bytes_per_second, NULL::DOUBLE AS network_sent_bytes_per_second,
+  user_id::DOUBLE AS nfs_write_bytes_per_second FROM events ORDER BY ts DESC, event_id DESC LIMIT 1""")
+def resource_log(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The last row of a log that was written in the order of time; a cell that is no number is null."""
+    names = readers.RATE_NAMES
+    log = table(spark, sf_dir, "events").select(
+        "ts", "event_id", F.col("value").alias(names[0]), F.lit("n/a").alias(names[1]), F.col("user_id").alias(names[2])
+    )
+    path = scratch_path(spark, "resource-log")
+    writers.write_tsv(log, path, log.columns, order=[F.col("ts"), F.col("event_id")])
+    return readers.read_latest_rates(spark, path)
+
+
+# The lines of sorted files, numbered as they lie there.
+
+
+def _lines(spark: SparkSession, path: str, keys: list[str]) -> DataFrame:
+    rows = readers.read_tsv(spark, path, "_position").select(*keys, "_position.*")
+    order = ["file", "line"]
+    chunked = range_chunks(rows, order, "lines")
+    return running_totals(chunked, order, {"n": F.lit(1)}).select(*keys, "n")
+
+
+def _numbered(sql: str, keys: str, order: str) -> str:
+    return f"SELECT {keys}, row_number() OVER (ORDER BY {order}) AS n FROM ({sql})"
+
+
+_SERIES_KEYS = ["center", "subject_id", "study_uid_hash", "series_uid_hash"]
+
+
+@registered(_numbered(
+    ORACLES["series_rollup"], ", ".join(_SERIES_KEYS),
+    "center, subject_id, study_uid_hash, coalesce(series_number, 1000000000), series_uid_hash"))
+def series_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = scratch_path(spark, "series-lines")
+    writers.write_public_inventory(curated(spark, sf_dir)[0], path, ordered=True)
+    return _lines(spark, path, _SERIES_KEYS)
+
+
+@registered(query(SELECTION, """
+SELECT subject_id, study_uid_hash, series_uid_hash, row_number() OVER (
+  ORDER BY center, subject_id, study_uid_hash, candidate_type, score DESC, series_uid_hash) AS n FROM selection"""))
+def selection_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = scratch_path(spark, "selection-lines")
+    writers.write_selection(curated(spark, sf_dir)[1], path, ordered=True)
+    return _lines(spark, path, ["subject_id", "study_uid_hash", "series_uid_hash"])
+
+
+@registered(_numbered(ORACLES["pilot_subjects"], "center, subject_id, reason, stratum", "center, subject_id, reason, stratum"))
+def pilot_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    series, chosen = curated(spark, sf_dir)
+    path = scratch_path(spark, "pilot-lines")
+    writers.write_pilot(pilot.select_pilot(chosen, series, PilotParams(per_stratum=2)), path, ordered=True)
+    return _lines(spark, path, ["center", "subject_id", "reason", "stratum"])
+
+
+@registered(_numbered(
+    ORACLES["resume_decisions"], "subject_id, candidate_type, series_uid_hash", "subject_id, candidate_type, series_uid_hash"))
+def result_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = scratch_path(spark, "result-lines")
+    writers.write_results(queries_work.resume_decisions(spark, sf_dir), path, ordered=True)
+    return _lines(spark, path, ["subject_id", "candidate_type", "series_uid_hash"])
+
+
+@registered(_numbered(ORACLES["protocol_catalog"], "protocol_id", "protocol_id"))
+def catalog_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = scratch_path(spark, "catalog-lines")
+    writers.write_catalog(catalog.protocol_catalog(curated(spark, sf_dir)[0]), path, ordered=True)
+    return _lines(spark, path, ["protocol_id"])
+
+
+@registered(f"""
+SELECT source_relpath, row_number() OVER (ORDER BY
+  list_transform(range(1, len(p) + 1), lambda i: CASE WHEN i = len(p) THEN '0' ELSE '1' END || p[i])) AS n
+FROM (SELECT source_relpath, string_split(source_relpath, '/') AS p FROM ({ORACLES['unreadable_instances']}))""")
+def unreadable_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = scratch_path(spark, "unreadable-lines")
+    writers.write_unreadable(inventory.unreadable(stored_instances(spark, sf_dir)), path, ordered=True)
+    return _lines(spark, path, ["source_relpath"])
+
+
+@registered("""
+SELECT o_orderkey, count(*) OVER (PARTITION BY o_custkey) AS n_of_subject,
+  row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderpriority, o_orderkey::VARCHAR) AS n FROM orders""")
+def job_order(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Place of each piece of work among its subject's as it comes out of the execution order."""
+    work = table(spark, sf_dir, "orders").select(
+        "o_orderkey", F.col("o_custkey").cast("string").alias("subject_id"), F.col("o_orderpriority").alias("candidate_type"),
+        F.col("o_orderkey").cast("string").alias("series_uid_hash"),
+    )
+    # What was written task by task: a subject is in one task, and its rows follow each other.
+    path = scratch_path(spark, "jobs")
+    placed = workplan.execution_order(work).withColumn("at", F.monotonically_increasing_id())
+    placed.write.parquet(path)
+    subject = Window.partitionBy("subject_id")
+    return spark.read.parquet(path).select(
+        "o_orderkey", F.count(F.lit(1)).over(subject).alias("n_of_subject"), F.row_number().over(subject.orderBy("at")).alias("n")
+    )
+
+
 @registered("SELECT * REPLACE (instance_count + 2 * duplicate_instance_count AS duplicate_instance_count) FROM ("
             + ORACLES["series_rollup"] + ")")
 def series_rollup_doubled(spark: SparkSession, sf_dir: str) -> DataFrame:

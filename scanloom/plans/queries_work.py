@@ -12,7 +12,7 @@ from scanloom.operators.staging import scratch_path
 from scanloom.params import ReleasePolicy, ResourceMinimums
 from scanloom.plans.cohort import stored_instances, table
 from scanloom.plans.oracle_base import SELECTION, SERIES, STAGES, query
-from scanloom.plans.queries import curated, r6, registered
+from scanloom.plans.queries import ORACLES, curated, r6, registered
 from scanloom.schemas import SERIES as SERIES_SCHEMA
 from scanloom.sources import readers, writers
 from scanloom.streaming import lifecycle as streams
@@ -243,9 +243,11 @@ def resource_rate_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.timestamp_diff("SECOND", F.min("ts").cast("timestamp"), F.max("ts").cast("timestamp"))
     ).first()[0]
     lateness = f"{(span or 0) + 1} seconds"
-    rates = streams.rates_to_table(
-        _event_files(spark, sf_dir, False, close_after=lateness), ["value"], "series_uid_hash", _ORDER,
-        scratch_path(spark, "rates"), scratch_path(spark, "rates-log"), lateness,
+    samples = _event_files(spark, sf_dir, False, close_after=lateness)
+    # What the stream has given out; only the closing event still waits.
+    rates = streams.drain_append(
+        streams.rates_stream(samples, ["value"], "series_uid_hash", _ORDER, lateness),
+        scratch_path(spark, "rates"), scratch_path(spark, "rates-log"),
     )
     return rates.select("series_uid_hash", "event_id", r6("value_per_second"))
 
@@ -575,6 +577,21 @@ def qc_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
     return qc.qc_summary(named, _headers(where).select(*facts), "/out")
 
 
+@registered(f"""
+SELECT * FROM ({ORACLES['qc_summary']}) WHERE subject_id IN (
+  SELECT 'p' || lpad(o_orderkey::VARCHAR, 10, '0') FROM orders WHERE o_orderpriority LIKE '1%')""")
+def qc_of_subjects(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The summary for a list of subjects; every selected series must be in the inventory."""
+    series, chosen = curated(spark, sf_dir)
+    named = _with_ties(chosen).withColumn("output_basename", F.col("series_uid_hash"))
+    where = series.withColumn("output_basename", F.col("series_uid_hash")).withColumn("nifti", qc.selected_path("/out"))
+    facts = ["nifti", "exists", "read_error", "dims", "affine", "zooms", "qform_code", "sform_code"]
+    listed = table(spark, sf_dir, "orders").filter(F.col("o_orderpriority").startswith("1")).select(
+        F.concat(F.lit("sub-P"), F.lpad(F.col("o_orderkey").cast("string"), 10, "0")).alias("subject_id")
+    )
+    return qc.qc_summary(named, _headers(where).select(*facts), "/out", subjects=listed, series=series)
+
+
 def _voxels(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Vectors of one label as one volume, a voxel per number."""
     return table(spark, sf_dir, "embeddings").select(

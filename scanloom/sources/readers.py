@@ -2,11 +2,16 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+from functools import reduce
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from scanloom.functions.text import blank, strip, subject_label
 from scanloom.operators.review import last_per_key
+from scanloom.operators.staging import stage
 from scanloom.schemas import INSTANCES, SELECTION, SERIES, columns
 from scanloom.sources import splitting
 
@@ -23,10 +28,98 @@ def file_listing(spark: SparkSession, root: str) -> DataFrame:
     )
 
 
-def fixity(spark: SparkSession, root: str) -> DataFrame:
-    """SHA-256 of every file below ``root`` (a file must fit Spark's 2 GB limit of one value)."""
+#: Files up to this size are digested as one value, larger ones in blocks.
+WHOLE_FILE = 256 << 20
+DIGEST_BLOCK = 8 << 20
+
+
+def fixity(spark: SparkSession, root: str, whole_file: int = WHOLE_FILE) -> DataFrame:
+    """path, length and SHA-256 of every file below ``root``, of any size.
+
+    Files of more than ``whole_file`` bytes are read block by block in a task each, so no value holds a file.
+    """
     files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(root)
-    return files.select("path", "length", F.sha2("content", 256).alias("sha256"))
+    small = files.filter(F.col("length") <= whole_file).select("path", "length", F.sha2("content", 256).alias("sha256"))
+    large = files.filter(F.col("length") > whole_file).select("path", "length")
+    block = DIGEST_BLOCK
+
+    def digest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        import hashlib
+
+        from pyarrow import fs
+
+        for batch in batches:
+            sums = []
+            for path in batch.column("path").to_pylist():
+                store, place = fs.FileSystem.from_uri(path.replace("s3a://", "s3://", 1))
+                total = hashlib.sha256()
+                with store.open_input_stream(place) as source:
+                    while data := source.read(block):
+                        total.update(data)
+                sums.append(total.hexdigest())
+            yield batch.append_column("sha256", pa.array(sums, pa.string()))
+
+    # Dealt by path, so that a few large files are not one task's.
+    dealt = large.repartition(int(spark.conf.get("spark.sql.shuffle.partitions")), "path")
+    return small.unionByName(dealt.mapInArrow(digest, "path string, length long, sha256 string"))
+
+
+def walked_listing(spark: SparkSession, root: str) -> DataFrame:
+    """As ``file_listing``, with the tree expanded level by level in tasks instead of on the driver.
+
+    A table of folders is listed by tasks into files and the folders of the next level, until there are none. The
+    driver only learns whether there are more, so the number of files does not matter to it. Links to folders are
+    not followed; a folder that cannot be read stops the walk. ``root`` is a local path or a URI that pyarrow opens.
+    """
+    made = "path string, folder boolean, length long, mtime timestamp"
+
+    def listed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        import datetime
+        import os
+
+        from pyarrow import fs
+
+        kinds = pa.schema([
+            ("path", pa.string()), ("folder", pa.bool_()), ("length", pa.int64()), ("mtime", pa.timestamp("us", "UTC")),
+        ])
+
+        def entries(place: str) -> Iterator[tuple]:
+            if place.startswith("file:") or "://" not in place:
+                with os.scandir(place.removeprefix("file://").removeprefix("file:")) as found:
+                    for entry in found:
+                        if entry.is_dir(follow_symlinks=False) or entry.is_file():
+                            fact = entry.stat()
+                            yield entry.path, entry.is_dir(follow_symlinks=False), fact.st_size, fact.st_mtime_ns // 1000
+                return
+            store, path = fs.FileSystem.from_uri(place.replace("s3a://", "s3://", 1))
+            start = place.replace("s3a://", "s3://", 1).removesuffix(path)
+            for fact in store.get_file_info(fs.FileSelector(path)):
+                yield start + fact.path, fact.type == fs.FileType.Directory, fact.size or 0, (fact.mtime_ns or 0) // 1000
+
+        for batch in batches:
+            for place in batch.column("path").to_pylist():
+                rows: list[tuple] = []
+                for path, folder, length, micros in entries(place):
+                    when = datetime.datetime.fromtimestamp(0, datetime.timezone.utc) + datetime.timedelta(microseconds=micros)
+                    rows.append((path, folder, 0 if folder else length, when))
+                    if len(rows) == 10_000:
+                        yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows), kinds)], schema=kinds)
+                        rows = []
+                if rows:
+                    yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows), kinds)], schema=kinds)
+
+    n = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    base = root.rstrip("/")
+    frontier = spark.createDataFrame([(base,)], "path string")
+    levels: list[DataFrame] = []
+    while not levels or not frontier.isEmpty():
+        level = stage(frontier.repartition(n, "path").mapInArrow(listed, made), "listing")
+        levels.append(level.filter(~F.col("folder")))
+        frontier = level.filter("folder").select("path")
+    local = base.removeprefix("file://").removeprefix("file:")
+    start = F.length(F.lit(base if "://" in base and not base.startswith("file:") else local)) + 2
+    files = reduce(DataFrame.unionByName, levels)
+    return files.select(F.substring("path", start, F.length("path")).alias("relpath"), "length", "mtime")
 
 
 def read_instances(spark: SparkSession, path: str, format: str = "parquet") -> DataFrame:
@@ -106,10 +199,28 @@ def read_state_documents(spark: SparkSession, path: str, schema: str) -> DataFra
 
 
 def read_reports(spark: SparkSession, path: str) -> DataFrame:
-    """Validator reports, one whole file per row under ``json``."""
+    """Validator reports, one whole file per row under ``json``; one null where there is no such file or folder."""
+    place = spark._jvm.org.apache.hadoop.fs.Path(path)
+    found = place.getFileSystem(spark._jsc.hadoopConfiguration()).globStatus(place)
+    if not found:
+        return spark.createDataFrame([(None,)], "json string")
     return spark.read.text(path, wholetext=True).select(F.col("value").alias("json"))
 
 
+RATE_NAMES = [f"{c}_per_second" for c in ("disk_write_bytes", "network_sent_bytes", "nfs_write_bytes")]
+
+
+def read_latest_rates(spark: SparkSession, path: str, names: list[str] = RATE_NAMES) -> DataFrame:
+    """The named cells of a resource log's last row as numbers; null where a cell is absent or none.
+
+    One row, or none if the log has no rows. Of several files the last by name counts.
+    """
+    log = read_tsv(spark, path, "_position")
+    last = log.orderBy(F.desc("_position")).limit(1)
+    cells = [F.col(f"`{n}`") if n in log.columns else F.lit(None).cast("string") for n in names]
+    return last.select(*[c.try_cast("double").alias(n) for c, n in zip(cells, names)])
+
+
 def read_subject_list(spark: SparkSession, path: str) -> DataFrame:
     """First tab-separated field of every line; blanks, comments and the header are skipped."""
     first = strip(F.substring_index(F.replace("value", F.lit("﻿"), F.lit("")), "\t", 1))

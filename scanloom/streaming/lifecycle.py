@@ -251,7 +251,7 @@ def rates_stream(
         waiting = pd.DataFrame(dict(zip(kept, columns)))
         timed_out = state.hasTimedOut
         if not timed_out:
-            fresh = pd.concat([batch[kept] for batch in batches])
+            fresh = pd.concat([batch[kept] for batch in batches], ignore_index=True)
             untimed = fresh[fresh["_at"].isna()]
             if len(untimed):
                 yield shaped(group[0], untimed.assign(**{r: 0.0 for r in rates}))
