@@ -146,17 +146,16 @@ def gathered(
             coded = pc.dictionary_encode(all_pairs.column("pair").combine_chunks())
             place = coded.indices.to_numpy()
             documents = {c: pa.concat_arrays([f[c] for f in facts]) for c in facts[0]}
+            keys = all_pairs.column("row").to_numpy() << 32 | place
+            order = np.argsort(keys)
             yield documents | {"block": [block] * rows} | blocks.stepped(
-                all_pairs.column("row").to_numpy(), place, all_pairs.column("count_all").to_numpy(), rows
+                keys[order], all_pairs.column("count_all").to_numpy()[order], rows
             )
             partial = pa.table({"place": coded.indices}).group_by("place", use_threads=False).aggregate([([], "count_all")])
-            n = len(partial)
-            if n:
-                places = partial.column("place").combine_chunks()
-                yield {
-                    "block": [block] * n, "key": pc.take(coded.dictionary, places), "place": places,
-                    "n": partial.column("count_all").combine_chunks(),
-                }
+            places = partial.column("place").combine_chunks()
+            yield from blocks.dictionary_rows(
+                block, pc.take(coded.dictionary, places), places.to_numpy(), partial.column("count_all").to_numpy()
+            )
 
         for piece in blocks.slices(batches):
             texts = piece.column("text").to_pylist()

@@ -22,6 +22,8 @@ from pyspark.sql.types import StructType
 #: Bytes of text in a block, and in the slices in which a block is worked on.
 BLOCK_BYTES = 16 << 20
 SLICE_BYTES = 1 << 20
+#: Rows of a dictionary that are handed over at once.
+LISTED_ROWS = 1 << 15
 #: Room in the numbers of blocks for those of one partition.
 PARTITION_STRIDE = 1 << 32
 
@@ -65,10 +67,9 @@ def slices(batches: Iterator[pa.RecordBatch], column: str = "text", size: int =
             yield batch.slice(start)
 
 
-def stepped(rows: np.ndarray, places: np.ndarray, times: np.ndarray, n_rows: int) -> dict[str, pa.Array]:
-    """Binary columns ``steps`` and ``times`` of ``n_rows`` documents from (row, place, times) in any order."""
-    order = np.lexsort((places, rows))
-    rows, places, times = rows[order], places[order].astype(np.int64), times[order].astype(np.uint32)
+def stepped(keys: np.ndarray, times: np.ndarray, n_rows: int) -> dict[str, pa.Array]:
+    """Binary columns ``steps`` and ``times`` of ``n_rows`` documents, from rising keys ``row << 32 | place`` and times."""
+    rows, places = keys >> 32, keys & 0xFFFFFFFF
     ends = np.searchsorted(rows, np.arange(n_rows), "right")
     steps = np.diff(places, prepend=0)
     first = np.flatnonzero(np.diff(rows, prepend=-1))
@@ -82,6 +83,13 @@ def stepped(rows: np.ndarray, places: np.ndarray, times: np.ndarray, n_rows: int
     return {"steps": packed(steps), "times": packed(times)}
 
 
+def dictionary_rows(block: int, keys: pa.Array, places: np.ndarray, n: np.ndarray) -> Iterator[dict]:
+    """The rows of a block's dictionary, some thousands at a time."""
+    for at in range(0, len(keys), LISTED_ROWS):
+        part = keys[at : at + LISTED_ROWS]
+        yield {"block": [block] * len(part), "key": part, "place": places[at : at + len(part)], "n": n[at : at + len(part)]}
+
+
 def places_of(steps: bytes) -> np.ndarray:
     return np.frombuffer(steps, "<u4").cumsum(dtype=np.int64)
 

@@ -13,7 +13,7 @@ import base64
 import os
 import re
 import struct
-from functools import lru_cache
+from functools import cached_property, lru_cache
 
 import numpy as np
 
@@ -149,17 +149,22 @@ class RankEncoder:
     def __init__(self, path: str):
         import public_tokenizers
         import tiktoken
-        from tokenizers import Tokenizer
 
-        os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        self.other = Tokenizer.from_file(vocabulary_path())
-        self.other.encode_special_tokens = True
         with open(path, "rb") as file:
             self.ranks = {base64.b64decode(token): int(rank) for token, rank in map(bytes.split, file)}
         self.library = tiktoken.Encoding(
             "ranks", pat_str=public_tokenizers.PATTERN, mergeable_ranks=self.ranks, special_tokens={}
         )
 
+    @cached_property
+    def other(self):
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"
+        from tokenizers import Tokenizer
+
+        library = Tokenizer.from_file(vocabulary_path())
+        library.encode_special_tokens = True
+        return library
+
     def encode(self, texts: list[str]) -> list[list[int]]:
         return [
             self.other.encode(t, add_special_tokens=False).ids if LONG_SPACE.search(t) else self.library.encode_ordinary(t)
