@@ -177,11 +177,18 @@ def _arrivals(spark: SparkSession, sf_dir: str) -> list[DataFrame]:
     return [headers.filter(part == i) for i in range(3)]
 
 
+_stores: dict[tuple[str, str], str] = {}
+
+
 def _kept_up(spark: SparkSession, sf_dir: str) -> tuple[str, int]:
-    path, parts = scratch_path(spark, "series-store"), _arrivals(spark, sf_dir)
-    for generation, part in enumerate(parts):
-        incremental.update(spark, path, part, generation)
-    return path, len(parts) - 1
+    """The store after three deliveries, made once per application."""
+    key, parts = (spark.sparkContext.applicationId, sf_dir), _arrivals(spark, sf_dir)
+    if key not in _stores:
+        path = scratch_path(spark, "series-store")
+        for generation, part in enumerate(parts):
+            incremental.update(spark, path, part, generation)
+        _stores[key] = path
+    return _stores[key], len(parts) - 1
 
 
 @registered(query(SERIES, _SERIES_OUT))

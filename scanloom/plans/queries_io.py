@@ -16,7 +16,7 @@ from scanloom.plans import queries, queries_work
 from scanloom.plans.cohort import stored_instances, table
 from scanloom.plans.oracle_base import SELECTION, query
 from scanloom.plans.queries import ORACLES, curated, registered
-from scanloom.sources import readers, writers
+from scanloom.sources import merging, readers, writers
 
 
 def _returned(spark: SparkSession, label: str, df: DataFrame, write: Callable[[str], None]) -> DataFrame:
@@ -104,6 +104,27 @@ def diff_log_sink(spark: SparkSession, sf_dir: str) -> DataFrame:
     return readers.read_tsv(spark, merged)
 
 
+@registered(f"SELECT DISTINCT * FROM ({ORACLES['asset_diff']})")
+def diff_log_in_place(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A stored log to which all differences are added where it lies, half of which it has."""
+    rows = queries_work.asset_diff(spark, sf_dir)
+    path = scratch_path(spark, "diff-log")
+    merging.add_to_diff_log(spark, path, rows.filter(F.col("action") == "added"))
+    merging.add_to_diff_log(spark, path, rows)
+    return merging.current(spark, path)
+
+
+@registered(ORACLES["state_upsert"])
+def states_in_place(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Stored states that take the earlier and then the later half of the log's time."""
+    updates = queries_work.state_updates(spark, sf_dir)
+    middle = updates.agg(F.timestamp_micros(F.avg(F.unix_micros("ts")).cast("bigint"))).first()[0]
+    path = scratch_path(spark, "states")
+    for part in (F.col("ts") < F.lit(middle), F.col("ts") >= F.lit(middle)):
+        merging.update_states(spark, path, updates.filter(part), "series_uid_hash", ["ts", "event_id"])
+    return merging.current(spark, path).select("series_uid_hash", "stage", "value", "started_at", "event_id")
+
+
 # One file per supplier, so that the number of files follows the data.
 
 

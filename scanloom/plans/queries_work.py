@@ -55,19 +55,23 @@ def lifecycle_latest(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _latest(spark, sf_dir).drop("ts")
 
 
+def state_updates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The log as partial updates: some events tell no value, and the first ones no start."""
+    return _log(spark, sf_dir).withColumns(
+        {
+            "value": F.when(F.col("stage").isin("dcm2niix", "converted"), F.col("value")),
+            "started_at": F.when(F.col("stage") != "queued", F.col("event_id")),
+        }
+    )
+
+
 @registered(query(STAGES, """
 SELECT series_uid_hash, arg_max(stage, (ts, event_id)) AS stage,
   arg_max(value, (ts, event_id)) FILTER (stage IN ('dcm2niix', 'converted')) AS value,
   arg_min(event_id, (ts, event_id)) FILTER (stage <> 'queued') AS started_at, max(event_id) AS event_id
 FROM lifecycle GROUP BY 1"""))
 def state_upsert(spark: SparkSession, sf_dir: str) -> DataFrame:
-    updates = _log(spark, sf_dir).withColumns(
-        {
-            "value": F.when(F.col("stage").isin("dcm2niix", "converted"), F.col("value")),
-            "started_at": F.when(F.col("stage") != "queued", F.col("event_id")),
-        }
-    )
-    return lifecycle.merged_state(updates, "series_uid_hash", _ORDER).select(
+    return lifecycle.merged_state(state_updates(spark, sf_dir), "series_uid_hash", _ORDER).select(
         "series_uid_hash", "stage", "value", "started_at", "event_id"
     )
 
