@@ -53,7 +53,8 @@ class ResourceMinimums:
             raise ValueError("resource minimums must not be negative")
 
 
-# What a release is checked against unless the caller gives more: site words and private paths are theirs.
+# What a release is checked against unless the caller gives more, which reports must match. Site words and
+# private paths are the caller's.
 PROHIBITED_SUFFIXES = (
     ".nii.gz", ".dcm", ".ima", ".nii", ".bval", ".bvec", ".p12", ".pfx", ".pem", ".key",
 )

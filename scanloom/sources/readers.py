@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from scanloom.functions.text import blank, strip, subject_label
+from scanloom.functions.text import blank, relative_to, strip, subject_label
 from scanloom.operators.review import last_per_key
 from scanloom.operators.staging import stage
 from scanloom.schemas import INSTANCES, SELECTION, SERIES, columns
@@ -117,9 +117,9 @@ def walked_listing(spark: SparkSession, root: str) -> DataFrame:
         levels.append(level.filter(~F.col("folder")))
         frontier = level.filter("folder").select("path")
     local = base.removeprefix("file://").removeprefix("file:")
-    start = F.length(F.lit(base if "://" in base and not base.startswith("file:") else local)) + 2
+    top = base.replace("s3a://", "s3://", 1) if "://" in base and not base.startswith("file:") else local
     files = reduce(DataFrame.unionByName, levels)
-    return files.select(F.substring("path", start, F.length("path")).alias("relpath"), "length", "mtime")
+    return files.select(relative_to(F.col("path"), top).alias("relpath"), "length", "mtime")
 
 
 def read_instances(spark: SparkSession, path: str, format: str = "parquet") -> DataFrame:

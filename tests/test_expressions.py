@@ -15,7 +15,7 @@ def one(spark, column):
 
 @pytest.mark.parametrize(
     "raw, label",
-    [("sub-TMS001", "tms001"), ("Patient_01", "patient01"), ("sub", "sub"), ("__", None)],
+    [("Sub 7/B.x", "7bx"), ("SUBSUB9", "sub9"), ("sub", "sub"), ("__", None)],
 )
 def test_subject_label(spark, raw, label):
     assert one(spark, tx.subject_label(F.lit(raw))) == label
@@ -126,10 +126,10 @@ def test_determinant_and_volume(spark):
     "fields, kind, confidence",
     [
         (dict(series_description="SAG T1W"), "t1", "high"),
-        (dict(series_description="3D DARK FLUID", protocol_name=""), "flair", "high"),
-        (dict(series_description="IR", protocol_name="", repetition_time_ms=5000.0,
-              echo_time_ms=120.0, inversion_time_ms=1800.0), "flair", "medium"),
-        (dict(series_description="T1 localizer"), "other", "high"),
+        (dict(series_description="cor dark-fluid spc", protocol_name=""), "flair", "high"),
+        (dict(series_description="IR", protocol_name="", repetition_time_ms=4700.0,
+              echo_time_ms=95.0, inversion_time_ms=1650.0), "flair", "medium"),
+        (dict(series_description="scout_T1_3pl"), "other", "high"),
         (dict(series_description="t1 flair", protocol_name=""), "other", "low"),
         (dict(series_description="t1flair", protocol_name="", repetition_time_ms=5000.0,
               echo_time_ms=120.0, inversion_time_ms=1800.0), "flair", "medium"),

@@ -185,7 +185,7 @@ def test_review_sheet_keeps_human_columns(spark, selection, series):
 
 def test_pilot(series, selection):
     facts, chosen = [], []
-    for n, protocol in (("000", "flair-common"), ("002", "flair-common"), ("003", "flair-common"), ("004", "flair-rare")):
+    for n, protocol in (("000", "usual"), ("002", "usual"), ("003", "usual"), ("004", "odd")):
         facts += [dict(subject_id=n, series_uid_hash=f"t{n}"),
                   dict(FLAIR, subject_id=n, series_uid_hash=f"f{n}", protocol_id=protocol, manufacturer="M")]
         chosen += [dict(subject_id=n, series_uid_hash=f"t{n}"),
@@ -196,7 +196,7 @@ def test_pilot(series, selection):
     assert {(r.subject_id, r.reason, r.stratum_available, r.shortfall) for r in got} == {
         ("000", "flair_protocol_stratum", 3, 0), ("002", "flair_protocol_stratum", 3, 0),
         ("004", "flair_protocol_stratum", 1, 1), ("005", "review_or_low_confidence", 1, 1)}
-    assert {r.stratum for r in got if r.subject_id == "004"} == {"site07|M|Alpha|flair-rare"}
+    assert {r.stratum for r in got if r.subject_id == "004"} == {"site07|M|Alpha|odd"}
     totals = pilot_totals(select_pilot(selection(*chosen), series(*facts))).first()
     assert tuple(totals) == (4, 2, 1)
     assert {r.subject_id for r in both_modalities(selection(*chosen)).collect()} == {"000", "002", "003", "004"}

@@ -88,3 +88,42 @@ def test_no_group_of_pieces_grows_with_the_file(spark, tmp_path):
     (tmp_path / "s.json").write_text(json.dumps([{"center": "a", "image_type": ["x"]}] * 50))
     numbered = splitting.json_elements(spark, str(tmp_path / "s.json"))
     assert numbered.count() == 50
+
+
+def test_folders_are_walked_level_by_level(spark, tmp_path):
+    for name in ("a/b/c/1.txt", "a/2.txt", "3.txt", "a/b/é 4"):
+        place = tmp_path / "root" / name
+        place.parent.mkdir(parents=True, exist_ok=True)
+        place.write_text(name)
+    (tmp_path / "root" / "link").symlink_to(tmp_path / "root" / "a", target_is_directory=True)
+    (tmp_path / "root" / "empty").mkdir()
+    got = {(r.relpath, r.length) for r in readers.walked_listing(spark, str(tmp_path / "root")).collect()}
+    assert got == {(n, len(n.encode())) for n in ("a/b/c/1.txt", "a/2.txt", "3.txt", "a/b/é 4")}
+    same = {(r.relpath, r.length, r.mtime) for r in readers.file_listing(spark, str(tmp_path / "root" / "a")).collect()}
+    walked = {(r.relpath, r.length, r.mtime.replace(microsecond=r.mtime.microsecond // 1000 * 1000)) for r in readers.walked_listing(spark, f"file://{tmp_path}/root/a").collect()}
+    assert {s[:2] for s in same} == {w[:2] for w in walked} and {s[2] for s in same} == {w[2] for w in walked}
+
+
+def test_large_files_are_digested_in_blocks(spark, tmp_path):
+    import hashlib
+
+    with open(tmp_path / "large", "wb") as file:
+        file.truncate((1 << 31) + 12_345)  # sparse, and more than one value can hold
+    (tmp_path / "small").write_bytes(b"abc")
+    total = hashlib.sha256()
+    left = (1 << 31) + 12_345
+    while left:
+        n = min(left, 1 << 24)
+        total.update(bytes(n))
+        left -= n
+    got = {r.path.rsplit("/", 1)[1]: r.sha256 for r in readers.fixity(spark, str(tmp_path)).collect()}
+    assert got == {"large": total.hexdigest(), "small": hashlib.sha256(b"abc").hexdigest()}
+
+
+def test_a_log_and_a_report_that_are_not_there(spark, tmp_path):
+    assert [r.json for r in readers.read_reports(spark, str(tmp_path / "none.json")).collect()] == [None]
+    (tmp_path / "log.tsv").write_text("ts\tdisk_write_bytes_per_second\n1\t5\n2\tx\n3\t7.5\n")
+    row = readers.read_latest_rates(spark, str(tmp_path / "log.tsv")).first()
+    assert tuple(row) == (7.5, None, None)
+    (tmp_path / "head.tsv").write_text("ts\tdisk_write_bytes_per_second\n")
+    assert readers.read_latest_rates(spark, str(tmp_path / "head.tsv")).count() == 0
