@@ -217,3 +217,37 @@ def test_params_are_checked():
             SelectionParams(**bad)
     with pytest.raises(ValueError):
         PilotParams(0)
+
+
+def test_a_series_missing_from_the_inventory_is_refused(spark, series, selection):
+    from scanloom.operators import qc
+
+    rows = selection(dict(decision_status="review"), dict(series_uid_hash="gone", decision_status="review", subject_id="009"))
+    with pytest.raises(ValueError, match="sub-009 gone"):
+        rv.review_sheet(rows, series({}))
+    left = {r.series_uid_hash: r.series_description for r in rv.review_sheet(rows, series({}), on_missing="leave").collect()}
+    assert left["gone"] is None and left["run"] is not None
+    chosen = selection(dict(series_uid_hash="gone", decision_status="selected"))
+    headers = spark.createDataFrame([], "nifti STRING, exists BOOLEAN, read_error STRING, dims ARRAY<INT>, affine ARRAY<ARRAY<DOUBLE>>, zooms ARRAY<DOUBLE>, qform_code INT, sform_code INT")
+    with pytest.raises(ValueError, match="gone"):
+        qc.qc_summary(chosen, headers, "/out", series=series({}))
+    only = spark.createDataFrame([("sub-000",)], "subject_id STRING")
+    both = selection(dict(decision_status="review"), dict(decision_status="review", subject_id="x1"))
+    assert [r.subject_id for r in qc.qc_summary(both, headers, "/out", subjects=only).collect()] == ["000"]
+
+
+def test_curated_tables_are_joined_without_an_exchange_of_them(spark, series, selection):
+    from scanloom.operators.staging import stage_bucketed
+
+    facts = stage_bucketed(series({}, dict(subject_id="2")), "test-series", ["subject_id"], 4)
+    rows = stage_bucketed(selection(dict(decision_status="review"), dict(subject_id="2", decision_status="review")), "test-rows", ["subject_id"], 4)
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    try:
+        for joined in (rv.series_lookup(rows, facts, ["plane"], "left"), rv.missing_series(rows, facts)):
+            assert "Exchange" not in joined._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+        spark.conf.set("spark.sql.adaptive.enabled", "true")
+    assert rv.series_lookup(rows, facts, ["plane"], "left").count() == 2
