@@ -70,6 +70,8 @@ def op10_compression_language(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op11_attention_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    # Rows are long here, and what a task holds of them at once is outside Spark's own bounds.
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "1000")
     return attention_lm.score(table(spark, sf_dir, "documents"))
 
 
