@@ -5,7 +5,11 @@ from pathlib import Path
 from pyspark.sql import functions as F
 from test_inventory import SMALL
 
-from scanloom.plans import queries_io
+from scanloom.operators import inventory as iv
+from scanloom.operators.selection import select_series
+from scanloom.operators.staging import stage, stage_bucketed
+from scanloom.plans import pipeline, queries_io
+from scanloom.plans.cohort import cohort_instances
 
 
 def test_many_small_files_are_written_by_several_tasks(spark):
@@ -13,3 +17,41 @@ def test_many_small_files_are_written_by_several_tasks(spark):
     found = [p.name for p in Path(path).rglob("part-*.txt")]
     assert len(found) == spark.read.parquet(f"{SMALL}/supplier.parquet").count()
     assert len({name.split("-")[1] for name in found}) > 1
+
+
+def plan_of(df):
+    return df._jdf.queryExecution().executedPlan().toString()
+
+
+def all_of(df):
+    return sorted(map(str, df.collect()))
+
+
+def test_headers_move_once_and_the_selection_stays_in_its_buckets(spark):
+    headers = stage(cohort_instances(spark, SMALL), "test-headers")
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    try:
+        rows = iv.inventory(headers, hot_rows=None, buckets=4)
+        assert plan_of(rows).count("Exchange hashpartitioning") == 1
+        series = stage_bucketed(rows, "test-series", ["subject_id"], 4, dealt=True)
+        chosen = select_series(series, small_subjects=True)
+        assert "Exchange" not in plan_of(chosen)
+        assert all_of(series) == all_of(iv.inventory(headers, hot_rows=None))
+        assert all_of(chosen) == all_of(select_series(series))
+    finally:
+        spark.conf.set("spark.sql.adaptive.enabled", "true")
+
+
+def test_subjects_without_a_label_meet_in_either_selection(series):
+    rows = series({}, dict(series_uid_hash="r2"), dict(subject_id=None), dict(subject_id=None, study_uid_hash="other"))
+    assert all_of(select_series(rows, small_subjects=True)) == all_of(select_series(rows))
+
+
+def test_crowded_subjects_are_curated_alike(spark, monkeypatch):
+    headers = stage(cohort_instances(spark, SMALL), "test-headers")
+    usual = [all_of(df) for df in pipeline.curate_stored(headers)]
+    sizes = iv.subject_sizes(headers)
+    assert iv.crowded_subjects(sizes).isEmpty() and not iv.crowded_subjects(sizes, 9).isEmpty()
+    for rows in (2, 9):  # with and without series that are large by themselves
+        monkeypatch.setattr(pipeline, "HOT_ROWS", rows)
+        assert [all_of(df) for df in pipeline.curate_stored(headers)] == usual
