@@ -8,7 +8,7 @@ from test_inventory import SMALL
 from scanloom.operators import inventory as iv
 from scanloom.operators.selection import select_series
 from scanloom.operators.staging import stage, stage_bucketed
-from scanloom.plans import pipeline, queries_io
+from scanloom.plans import pipeline, queries_io, queries_work
 from scanloom.plans.cohort import cohort_instances
 
 
@@ -55,3 +55,14 @@ def test_crowded_subjects_are_curated_alike(spark, monkeypatch):
     for rows in (2, 9):  # with and without series that are large by themselves
         monkeypatch.setattr(pipeline, "HOT_ROWS", rows)
         assert [all_of(df) for df in pipeline.curate_stored(headers)] == usual
+
+
+def test_series_as_json_take_a_small_part_of_their_room(spark):
+    path = queries_io._series_arrays(spark, SMALL, "gzip")
+    plain = queries_io._series_arrays(spark, SMALL)
+    rows = [sorted(map(str, queries_io.readers.read_series_json(spark, f"{p}/*")[0].collect())) for p in (path, plain)]
+    assert rows[0] == rows[1] and rows[0]
+    packed, whole = (sum(f.stat().st_size for f in Path(p).rglob("part-*")) for p in (path, plain))
+    assert packed < whole / 5
+    made = queries_work.json_roundtrip(spark, SMALL)
+    assert made.count() == len(rows[0]) and all(f.endswith(".json.gz") for f in made.inputFiles())
