@@ -3,8 +3,9 @@
 from pathlib import Path
 
 from pyspark.sql import functions as F
-from test_inventory import SMALL
+from test_inventory import SMALL, slices
 
+from scanloom.operators import incremental, staging
 from scanloom.operators import inventory as iv
 from scanloom.operators.selection import select_series
 from scanloom.operators.staging import stage, stage_bucketed
@@ -66,3 +67,11 @@ def test_series_as_json_take_a_small_part_of_their_room(spark):
     assert packed < whole / 5
     made = queries_work.json_roundtrip(spark, SMALL)
     assert made.count() == len(rows[0]) and all(f.endswith(".json.gz") for f in made.inputFiles())
+
+
+def test_a_delivery_leaves_nothing_but_the_store(spark, instances, tmp_path):
+    before = set(staging._made.get(spark.sparkContext.applicationId, []))
+    for at in (0, 1):
+        incremental.update(spark, str(tmp_path), instances(*slices(f"P00{at}"), *slices("P009")), at)
+    assert set(staging._made.get(spark.sparkContext.applicationId, [])) <= before
+    assert incremental.series(spark, str(tmp_path), 1).count() == 3
