@@ -3,8 +3,8 @@
 Texts are encoded once. All training documents give the counts of ids, of what stands beside them, and of words;
 from these come the vectors, classes and shares of ``attention.Model``, whose few thousand weights are then learned
 in rounds: every task takes Adam steps over a share of the windows of its training documents, starting from the
-same weights, and the results are averaged by the number of tokens. That share is the same at every size, so what is
-learned from grows with the corpus. Scoring reads every document in overlapping windows of which each token is
+same weights, and the results are averaged by the number of tokens. The rounds' shares are all windows, each once.
+Scoring reads every document in overlapping windows of which each token is
 scored once. Word counts are summed over the corpus and go back to blocks of documents (``blocks``).
 """
 
@@ -32,8 +32,9 @@ from scanloom.operators.staging import stage
 IDS, END = 50_257, 50_256
 #: Sides of a token are counted in so many buckets of ids; the first half are the most frequent ids, one each.
 SIDES = 32
-#: Rounds of learning, in each of which one window in ``SHARE`` is learned from.
-ROUNDS, SHARE = 2, 128
+#: Rounds of learning, in each of which one window in ``SHARE`` is learned from, another one each time: as many
+#: rounds as that learn from every window once.
+ROUNDS, SHARE = 2, 2
 #: Bytes of text in a block; its distinct words are held by the task.
 BLOCK_BYTES = 16 << 20
 #: Weights in one row of a task's result.
