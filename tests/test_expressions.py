@@ -167,3 +167,12 @@ def test_protocol_id_keeps_slots_and_trims(series):
     assert row.protocol_id == "t1-" + hashlib.sha256(text.encode()).hexdigest()[:10]
     half = series(dict(slice_thickness_mm=2.00005))
     assert classify(half).first().protocol_id != classify(half, True).first().protocol_id
+
+
+def test_fixed_decimals_are_those_of_the_formatter(spark):
+    values = [0.0, -0.0, 1e-9, -1e-5, 0.00005, 0.00015, 1.00005, -2.00005, 2.5, 8000.5, 999999999.99995, 1e9, 1e300,
+              float("nan"), float("inf"), None]
+    df = spark.createDataFrame([(v,) for v in values], "x double")
+    for digits in (3, 4, 6):
+        rows = df.select(tx.fixed_decimals(F.col("x"), digits).alias("a"), F.format_string(f"%.{digits}f", "x").alias("b")).collect()
+        assert [r.a for r in rows] == [r.b for r in rows]

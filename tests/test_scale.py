@@ -75,3 +75,47 @@ def test_a_delivery_leaves_nothing_but_the_store(spark, instances, tmp_path):
         incremental.update(spark, str(tmp_path), instances(*slices(f"P00{at}"), *slices("P009")), at)
     assert set(staging._made.get(spark.sparkContext.applicationId, [])) <= before
     assert incremental.series(spark, str(tmp_path), 1).count() == 3
+
+
+def test_headers_stored_by_subject_do_not_move(spark):
+    n = 5
+    rows = cohort_instances(spark, SMALL, n)
+    headers = stage_bucketed(rows, "test-dealt", ["subject_id"], n, dealt=True)
+    assert all_of(headers.drop("subject_id")) == all_of(cohort_instances(spark, SMALL))
+    inside = iv.path_parts(headers).filter("depth >= 3")
+    assert inside.filter(F.col("subject_id") != iv.tx.subject_label(F.col("subject_folder"))).isEmpty()
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    try:
+        assert "Exchange" not in plan_of(iv.inventory(headers, hot_rows=None, buckets=n, dealt=True))
+        assert "Exchange" not in plan_of(iv.subject_sizes(headers, dealt=True))
+    finally:
+        spark.conf.set("spark.sql.adaptive.enabled", "true")
+    moved = [all_of(df) for df in pipeline.curate_stored(headers.drop("subject_id"))]
+    assert [all_of(df) for df in pipeline.curate_stored(headers, dealt=n)] == moved
+
+
+def test_buckets_grow_in_number_with_the_headers(spark, monkeypatch):
+    headers = stage(cohort_instances(spark, SMALL), "test-headers")
+    usual = [all_of(df) for df in pipeline.curate_stored(headers)]
+    monkeypatch.setattr(staging, "BUCKET_ROWS", 500)
+    tables = pipeline.curate_stored(headers)
+    for df in tables:
+        name = staging._tables[next(p for p in staging._tables if p.rsplit("/", 1)[1] in df.inputFiles()[0])]
+        described = {r.col_name: r.data_type for r in spark.sql(f"DESCRIBE EXTENDED {name}").collect()}
+        assert int(described["Num Buckets"]) > 10
+    assert [all_of(df) for df in tables] == usual
+
+
+def test_a_bucketed_write_does_not_sort_what_lies_in_buckets(spark):
+    before = spark.conf.get("spark.sql.maxConcurrentOutputFileWriters", None)
+    written = stage_bucketed(spark.range(1000).repartition(4, "id"), "test-dealt", ["id"], 4, dealt=True)
+    assert written.count() == 1000 and len(written.inputFiles()) == 4
+    assert spark.conf.get("spark.sql.maxConcurrentOutputFileWriters", None) == before
+
+
+def test_marked_subjects_are_the_crowded_and_the_unusable(spark, instances):
+    df = instances(*slices(), *slices(center="siteB"), *slices("P002"), dict(relpath="siteA/__/s/1.dcm"))
+    found = {r.subject_id: (r.crowded, r.unusable) for r in iv.marked_subjects(iv.subject_sizes(df), 1 << 20).collect()}
+    assert found == {"p001": (False, True), None: (False, True)}
+    rows = iv.marked_subjects(iv.subject_sizes(df), 2).collect()
+    assert {r.subject_id for r in rows if r.crowded} == {r.subject_id for r in iv.crowded_subjects(iv.subject_sizes(df), 2).collect()}
