@@ -15,7 +15,7 @@ from scanloom.operators.staging import scratch_path, stage
 from scanloom.params import PilotParams
 from scanloom.plans.cohort import cohort_instances, dealt_instances, stored_instances, table
 from scanloom.plans.oracle_base import COHORT, KEYED, SCORES, SELECTION, SERIES, SHEET, query
-from scanloom.plans.pipeline import curate, curate_stored
+from scanloom.plans.pipeline import curate, curate_series
 from scanloom.schemas import SERIES_KEYS
 from scanloom.session import configure
 
@@ -34,18 +34,28 @@ def registered(sql: str | None = None) -> Callable[[Query], Query]:
     return add
 
 
-_curated: dict[tuple[str, str], tuple[DataFrame, DataFrame]] = {}
+_curated: dict[tuple[str, str], tuple[DataFrame, Callable[[], DataFrame]]] = {}
 
 
-def curated(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
-    """The stored series and selection tables, made once per application like the headers."""
+def _made(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, Callable[[], DataFrame]]:
     key = (spark.sparkContext.applicationId, sf_dir)
     if key not in _curated:
         headers, buckets = dealt_instances(spark, sf_dir)
-        _curated[key] = curate_stored(headers, dealt=buckets)
+        _curated[key] = curate_series(headers, dealt=buckets)
     return _curated[key]
 
 
+def curated_series(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The stored series table, made once per application like the headers."""
+    return _made(spark, sf_dir)[0]
+
+
+def curated(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    """The stored series and selection tables; the selection is made for the first query that reads it."""
+    series, selection = _made(spark, sf_dir)
+    return series, selection()
+
+
 def r6(name: str) -> Column:
     return F.round(F.col(name), 6).alias(name)
 
@@ -224,7 +234,7 @@ def series_classified(spark: SparkSession, sf_dir: str) -> DataFrame:
 @registered(query(SERIES, """
 SELECT protocol_id, count(*) AS n, min(series_uid_hash) AS first_series FROM series GROUP BY protocol_id"""))
 def protocol_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
-    series, _ = curated(spark, sf_dir)
+    series = curated_series(spark, sf_dir)
     return series.groupBy("protocol_id").agg(
         F.count(F.lit(1)).alias("n"), F.min("series_uid_hash").alias("first_series")
     )
@@ -239,7 +249,7 @@ FROM (SELECT protocol_id, first(series ORDER BY center, subject_id, study_uid_ha
         string_agg(DISTINCT center, ';' ORDER BY center) AS centers
       FROM series GROUP BY protocol_id)"""))
 def protocol_catalog(spark: SparkSession, sf_dir: str) -> DataFrame:
-    series, _ = curated(spark, sf_dir)
+    series = curated_series(spark, sf_dir)
     return catalog.protocol_catalog(series)
 
 
@@ -247,7 +257,7 @@ def protocol_catalog(spark: SparkSession, sf_dir: str) -> DataFrame:
 SELECT center, subject_id, study_uid_hash, series_uid_hash, round(volume, 6) AS volume, round(gap, 6) AS gap,
   round(score, 6) AS score FROM scores"""))
 def series_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
-    series, _ = curated(spark, sf_dir)
+    series = curated_series(spark, sf_dir)
     volume = voxel_volume(F.col("pixel_spacing_mm"), F.col("slice_thickness_mm"))
     return selection.scored(series).select(
         *SERIES_KEYS, F.round(volume, 6).alias("volume"), F.round(slice_gap(), 6).alias("gap"),

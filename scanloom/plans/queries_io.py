@@ -15,7 +15,7 @@ from scanloom.params import PilotParams, ReleasePolicy
 from scanloom.plans import queries, queries_work
 from scanloom.plans.cohort import stored_instances, table
 from scanloom.plans.oracle_base import SELECTION, query
-from scanloom.plans.queries import ORACLES, curated, registered
+from scanloom.plans.queries import ORACLES, curated, curated_series, registered
 from scanloom.sources import merging, readers, writers
 
 
@@ -49,7 +49,7 @@ def unreadable_sink(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @registered(_blank_text(ORACLES["protocol_catalog"], "manufacturer", "model_name", "software_versions", "acquisition_type", "pixel_spacing_mm"))
 def catalog_sink(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = catalog.protocol_catalog(curated(spark, sf_dir)[0])
+    rows = catalog.protocol_catalog(curated_series(spark, sf_dir))
     return _returned(spark, "catalog", rows, lambda path: writers.write_catalog(rows, path))
 
 
@@ -215,7 +215,7 @@ _JSON_OUT = f"SELECT subject_id, study_uid_hash, series_uid_hash, candidate_type
 
 def _series_arrays(spark: SparkSession, sf_dir: str, compression: str = "none") -> str:
     """Arrays of a bounded number of series each; how many there are follows the table."""
-    series = curated(spark, sf_dir)[0]
+    series = curated_series(spark, sf_dir)
     path = scratch_path(spark, "series-arrays")
     whole = F.struct(*[F.col(f"`{c}`") for c in series.columns], F.array(F.lit("x")).alias("source_relpaths"))
     arrays = -(-series.count() // _ARRAY_SERIES) or 1
@@ -302,7 +302,7 @@ _SERIES_KEYS = ["center", "subject_id", "study_uid_hash", "series_uid_hash"]
     "center, subject_id, study_uid_hash, coalesce(series_number, 1000000000), series_uid_hash"))
 def series_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = scratch_path(spark, "series-lines")
-    writers.write_public_inventory(curated(spark, sf_dir)[0], path, ordered=True)
+    writers.write_public_inventory(curated_series(spark, sf_dir), path, ordered=True)
     return _lines(spark, path, _SERIES_KEYS)
 
 
@@ -334,7 +334,7 @@ def result_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
 @registered(_numbered(ORACLES["protocol_catalog"], "protocol_id", "protocol_id"))
 def catalog_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = scratch_path(spark, "catalog-lines")
-    writers.write_catalog(catalog.protocol_catalog(curated(spark, sf_dir)[0]), path, ordered=True)
+    writers.write_catalog(catalog.protocol_catalog(curated_series(spark, sf_dir)), path, ordered=True)
     return _lines(spark, path, ["protocol_id"])
 
 

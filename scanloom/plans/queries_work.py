@@ -12,7 +12,7 @@ from scanloom.operators.staging import scratch_path
 from scanloom.params import ReleasePolicy, ResourceMinimums
 from scanloom.plans.cohort import stored_instances, table
 from scanloom.plans.oracle_base import SELECTION, SERIES, STAGES, query
-from scanloom.plans.queries import ORACLES, curated, r6, registered
+from scanloom.plans.queries import ORACLES, curated, curated_series, r6, registered
 from scanloom.schemas import SERIES as SERIES_SCHEMA
 from scanloom.sources import readers, writers
 from scanloom.streaming import lifecycle as streams
@@ -304,7 +304,7 @@ def work_plan(spark: SparkSession, sf_dir: str) -> DataFrame:
 SELECT subject_id, series_uid_hash, candidate_type, 'failed' AS status, 'inventory' AS mode,
   'series missing from private inventory' AS message FROM work WHERE plane = 'oblique'"""))
 def missing_series(spark: SparkSession, sf_dir: str) -> DataFrame:
-    series, _ = curated(spark, sf_dir)
+    series = curated_series(spark, sf_dir)
     return workplan.missing_from_inventory(
         _work(spark, sf_dir), series.filter(F.col("plane") != "oblique")
     )
@@ -495,7 +495,7 @@ SELECT center, subject_id, study_uid_hash, series_uid_hash, {_HEADER_CASE} AS de
   CASE WHEN d IN ('2', '4', '6', '7') OR (d = '0' AND instance_count < 8) THEN 'fail' ELSE 'pass' END AS status
 FROM headed"""))
 def header_qc(spark: SparkSession, sf_dir: str) -> DataFrame:
-    series, _ = curated(spark, sf_dir)
+    series = curated_series(spark, sf_dir)
     return _headers(series).withColumn("_qc", qc.header_qc()).select(
         "center", "subject_id", "study_uid_hash", "series_uid_hash", "_qc.*"
     )
@@ -510,7 +510,7 @@ SELECT center, subject_id, study_uid_hash, series_uid_hash,
     WHEN iop IS NOT NULL AND nearest_plane <> 'axial' THEN 'DICOM/NIfTI affine plane mismatch: ' || nearest_plane || ' vs axial' END AS problem
 FROM headed"""))
 def conversion_check(spark: SparkSession, sf_dir: str) -> DataFrame:
-    series, _ = curated(spark, sf_dir)
+    series = curated_series(spark, sf_dir)
     coronal = F.array(*[F.lit(v) for v in (1.0, 0.0, 0.0, 0.0, 0.0, -1.0)])
     volumes = _headers(series).withColumns(
         {
@@ -702,7 +702,7 @@ def participants_upsert(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.concat(F.lit("sub-p"), F.lpad((F.col("c_custkey") * 7).cast("string"), 10, "0")).alias("participant_id"),
         F.when(F.col("c_mktsegment") == "BUILDING", "").otherwise(F.col("c_mktsegment")).alias("segment"),
     )
-    return participants.participants_upsert(existing, curated(spark, sf_dir)[0])
+    return participants.participants_upsert(existing, curated_series(spark, sf_dir))
 
 
 @registered(query(SELECTION + """,
@@ -876,7 +876,7 @@ SELECT center, subject_id, study_uid_hash, series_uid_hash, series_description,
 FROM series"""))
 def public_inventory(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = scratch_path(spark, "inventory-tsv")
-    writers.write_public_inventory(curated(spark, sf_dir)[0], path)
+    writers.write_public_inventory(curated_series(spark, sf_dir), path)
     return readers.read_tsv(spark, path).select(
         "center", "subject_id", "study_uid_hash", "series_uid_hash", "series_description",
         "image_type", "pixel_spacing_mm", "image_orientation_patient", "series_number",
@@ -887,7 +887,7 @@ def public_inventory(spark: SparkSession, sf_dir: str) -> DataFrame:
 SELECT center, subject_id, study_uid_hash, series_uid_hash, plane, protocol_id, len(image_type) AS n_types,
   round(coverage_mm, 6) AS coverage_mm FROM series"""))
 def private_inventory(spark: SparkSession, sf_dir: str) -> DataFrame:
-    series, _ = curated(spark, sf_dir)
+    series = curated_series(spark, sf_dir)
     path = scratch_path(spark, "inventory")
     writers.write_private_inventory(series, series_sources(stored_instances(spark, sf_dir)), path)
     return spark.read.parquet(f"{path}/series").select(
@@ -901,7 +901,7 @@ SELECT subject_id, study_uid_hash, series_uid_hash, series_description, candidat
 def json_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = scratch_path(spark, "series-json")
     # Names and values repeat in every line, so lines take a small part of their room when compressed.
-    curated(spark, sf_dir)[0].write.json(path, compression="gzip")
+    curated_series(spark, sf_dir).write.json(path, compression="gzip")
     return spark.read.schema(SERIES_SCHEMA).json(path).select(
         "subject_id", "study_uid_hash", "series_uid_hash", "series_description", "candidate_type",
         "instance_count",

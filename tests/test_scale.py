@@ -1,5 +1,6 @@
 """How work is dealt to tasks, and how often rows move: what decides at size and does not show in results."""
 
+import re
 from pathlib import Path
 
 from pyspark.sql import functions as F
@@ -9,7 +10,7 @@ from scanloom.operators import incremental, staging
 from scanloom.operators import inventory as iv
 from scanloom.operators.selection import select_series
 from scanloom.operators.staging import stage, stage_bucketed
-from scanloom.plans import pipeline, queries_io, queries_work
+from scanloom.plans import pipeline, queries, queries_io, queries_work
 from scanloom.plans.cohort import cohort_instances
 
 
@@ -119,3 +120,37 @@ def test_marked_subjects_are_the_crowded_and_the_unusable(spark, instances):
     assert found == {"p001": (False, True), None: (False, True)}
     rows = iv.marked_subjects(iv.subject_sizes(df), 2).collect()
     assert {r.subject_id for r in rows if r.crowded} == {r.subject_id for r in iv.crowded_subjects(iv.subject_sizes(df), 2).collect()}
+
+
+def test_a_roll_up_of_dealt_headers_sorts_once(spark):
+    headers = stage_bucketed(cohort_instances(spark, SMALL, 5), "test-dealt", ["subject_id"], 5, dealt=True)
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    try:
+        plan = plan_of(iv.inventory(headers, hot_rows=None, buckets=5, dealt=True))
+    finally:
+        spark.conf.set("spark.sql.adaptive.enabled", "true")
+    assert len(re.findall(r"\bSort \[", plan)) == 1
+
+
+def test_copies_that_are_equal_in_all_count_once(spark, instances):
+    frames = dict(frame_iops=[[1.0, 0.0, 0.0, 0.0, 1.0, 0.0]] * 2, frame_ipps=[[0.0, 0.0, 1.0], [0.0, 0.0, 9.0]])
+    df = instances(*slices(**frames))
+    rows = [
+        {(r.series_uid_hash, r.instance_count, r.duplicate_instance_count, r.coverage_mm) for r in found.collect()}
+        for found in (iv.series_rollup(df, hot_rows=None), iv.series_rollup(df.union(df), hot_rows=None), iv.series_rollup(df.union(df), hot_rows=1))
+    ]
+    n = df.count()
+    assert {(r[1], r[2]) for r in rows[0]} == {(n, 0)} and {(r[1], r[2]) for r in rows[1]} == {(n, n)}
+    assert rows[1] == rows[2] and {r[3] for r in rows[0]} == {r[3] for r in rows[1]}
+
+
+def test_a_query_of_series_makes_no_selection(spark):
+    staging.release(spark, "selection")
+    queries._curated.clear()
+    queries.QUERIES["series_scores"](spark, SMALL).count()
+    made = [p.rsplit("/", 1)[1] for p in staging._made[spark.sparkContext.applicationId]]
+    assert not [p for p in made if p.startswith("selection-")]
+    queries.QUERIES["both_modalities"](spark, SMALL).count()
+    queries.QUERIES["decision_counts"](spark, SMALL).count()
+    made = [p.rsplit("/", 1)[1] for p in staging._made[spark.sparkContext.applicationId]]
+    assert len([p for p in made if p.startswith("selection-")]) == 1
