@@ -78,6 +78,26 @@ def test_a_delivery_leaves_nothing_but_the_store(spark, instances, tmp_path):
     assert incremental.series(spark, str(tmp_path), 1).count() == 3
 
 
+def test_deliveries_dealt_by_subject_meet_their_store_without_an_exchange(spark, tmp_path):
+    n = 4
+    headers = stage_bucketed(cohort_instances(spark, SMALL, n), "test-arrivals", ["subject_id"], n, dealt=True)
+    order = F.crc32(F.col("relpath").cast("binary")) % 2
+    for at in (0, 1):
+        incremental.update(spark, str(tmp_path), headers.filter(order == at), at, n)
+    assert all_of(incremental.series(spark, str(tmp_path), 1)) == all_of(iv.series_rollup(headers.drop("subject_id")))
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        with incremental._opened(spark, str(tmp_path), n) as store:
+            known = store.rows("copies", 0, 1).groupBy(*incremental.COPY_KEYS).agg(F.min("walk"))
+            again = incremental.rolled_up(incremental._copies(incremental._keyed(store.rows("headers", 0, 1))))
+            for plan in (known, again, known.join(store.rows("states", 1, 1), iv.GROUP_KEYS)):
+                assert "Exchange" not in plan_of(plan)
+    finally:
+        spark.conf.set("spark.sql.adaptive.enabled", "true")
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+
+
 def test_headers_stored_by_subject_do_not_move(spark):
     n = 5
     rows = cohort_instances(spark, SMALL, n)
