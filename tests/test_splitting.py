@@ -2,10 +2,13 @@
 
 import json
 import random
+import re
 
 import pytest
 from pyspark.sql import functions as F
+from test_inventory import SMALL
 
+from scanloom.plans import queries_io
 from scanloom.sources import readers, splitting, writers
 
 
@@ -78,6 +81,23 @@ def test_an_array_of_series(spark, small_blocks, tmp_path, indent):
     assert splitting.text_pieces(spark, str(tmp_path / "s.json"), "}").select(F.spark_partition_id()).distinct().count() > 5
 
 
+def test_texts_move_once_to_tasks_of_a_bounded_size(spark, tmp_path, monkeypatch):
+    for at in range(40):
+        (tmp_path / f"{at}.json").write_text(json.dumps([{"center": f"{at}}}", "subject_id": '\\"'}] * 50))
+    monkeypatch.setattr(splitting, "SORT_BYTES", 1000)
+    found = splitting.json_elements(spark, f"{tmp_path}/*.json")
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    tasks = {int(n) for n in re.findall(r"hashpartitioning\(_file#\d+, _block#\d+L, (\d+)\), REPARTITION", plan)}
+    assert min(tasks) > 50  # about 1,700 bytes in each of 40 files
+    assert found.count() == 2000
+
+
+def test_arrays_of_series_are_written_small(spark):
+    made = queries_io.series_json_pieces(spark, SMALL)
+    written = [f for f in made.inputFiles() if "/series-arrays-" in f]
+    assert made.count() > 0 and written and all(f.endswith(".gz") for f in written)
+
+
 def test_arrays_without_objects(spark, tmp_path):
     for i, text in enumerate(("[]", " [ ]\n", "")):
         (tmp_path / f"{i}.json").write_text(text)
