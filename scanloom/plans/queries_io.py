@@ -83,7 +83,7 @@ def pilot_summary_sink(spark: SparkSession, sf_dir: str) -> DataFrame:
 @registered(_blank_text(ORACLES["resume_decisions"], "message", "output_path"))
 def results_sink(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = queries_work.resume_decisions(spark, sf_dir)
-    return _returned(spark, "results", rows, lambda path: writers.write_results(rows, path))
+    return _returned(spark, "results", rows, lambda path: writers.write_results(rows, path, compression="gzip"))
 
 
 @registered(f"SELECT subject_id, series_uid_hash, status, detail FROM ({ORACLES['header_qc']})")
@@ -302,7 +302,7 @@ _SERIES_KEYS = ["center", "subject_id", "study_uid_hash", "series_uid_hash"]
     "center, subject_id, study_uid_hash, coalesce(series_number, 1000000000), series_uid_hash"))
 def series_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = scratch_path(spark, "series-lines")
-    writers.write_public_inventory(curated_series(spark, sf_dir), path, ordered=True)
+    writers.write_public_inventory(curated_series(spark, sf_dir), path, ordered=True, compression="gzip")
     return _lines(spark, path, _SERIES_KEYS)
 
 
@@ -311,7 +311,7 @@ SELECT subject_id, study_uid_hash, series_uid_hash, row_number() OVER (
   ORDER BY center, subject_id, study_uid_hash, candidate_type, score DESC, series_uid_hash) AS n FROM selection"""))
 def selection_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = scratch_path(spark, "selection-lines")
-    writers.write_selection(curated(spark, sf_dir)[1], path, ordered=True)
+    writers.write_selection(curated(spark, sf_dir)[1], path, ordered=True, compression="gzip")
     return _lines(spark, path, ["subject_id", "study_uid_hash", "series_uid_hash"])
 
 
@@ -327,7 +327,7 @@ def pilot_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     ORACLES["resume_decisions"], "subject_id, candidate_type, series_uid_hash", "subject_id, candidate_type, series_uid_hash"))
 def result_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = scratch_path(spark, "result-lines")
-    writers.write_results(queries_work.resume_decisions(spark, sf_dir), path, ordered=True)
+    writers.write_results(queries_work.resume_decisions(spark, sf_dir), path, ordered=True, compression="gzip")
     return _lines(spark, path, ["subject_id", "candidate_type", "series_uid_hash"])
 
 

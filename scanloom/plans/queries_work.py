@@ -861,7 +861,7 @@ SELECT center, subject_id, study_uid_hash, series_uid_hash, candidate_type, deci
   round(score, 6) AS score, reason, output_basename, '' AS reviewer FROM selection"""))
 def tsv_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = scratch_path(spark, "selection-tsv")
-    writers.write_selection(curated(spark, sf_dir)[1], path)
+    writers.write_selection(curated(spark, sf_dir)[1], path, compression="gzip")
     return readers.read_selection(spark, path).select(
         "center", "subject_id", "study_uid_hash", "series_uid_hash", "candidate_type",
         "decision_status", r6("score"), "reason", "output_basename", "reviewer",
@@ -876,7 +876,7 @@ SELECT center, subject_id, study_uid_hash, series_uid_hash, series_description,
 FROM series"""))
 def public_inventory(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = scratch_path(spark, "inventory-tsv")
-    writers.write_public_inventory(curated_series(spark, sf_dir), path)
+    writers.write_public_inventory(curated_series(spark, sf_dir), path, compression="gzip")
     return readers.read_tsv(spark, path).select(
         "center", "subject_id", "study_uid_hash", "series_uid_hash", "series_description",
         "image_type", "pixel_spacing_mm", "image_orientation_patient", "series_number",

@@ -1,8 +1,10 @@
 """How work is dealt to tasks, and how often rows move: what decides at size and does not show in results."""
 
 import re
+from itertools import takewhile
 from pathlib import Path
 
+import pytest
 from pyspark.sql import functions as F
 from test_inventory import SMALL, slices
 
@@ -10,7 +12,7 @@ from scanloom.operators import incremental, staging
 from scanloom.operators import inventory as iv
 from scanloom.operators.selection import select_series
 from scanloom.operators.staging import stage, stage_bucketed
-from scanloom.plans import pipeline, queries, queries_io, queries_work
+from scanloom.plans import cohort, pipeline, queries, queries_io, queries_work
 from scanloom.plans.cohort import cohort_instances, dealt_instances
 
 
@@ -70,6 +72,22 @@ def test_series_as_json_take_a_small_part_of_their_room(spark):
     assert made.count() == len(rows[0]) and all(f.endswith(".json.gz") for f in made.inputFiles())
 
 
+def test_lines_move_without_what_follows_from_their_order(spark):
+    lines = cohort._labelled_lines(spark, SMALL, 5)
+    plan = lines._jdf.queryExecution().optimizedPlan().toString().splitlines()
+    at = next(i for i, line in enumerate(plan) if "RepartitionByExpression" in line)
+    depth = plan[at].index("RepartitionByExpression")
+    moved = "".join(takewhile(lambda line: not line[:depth].strip(" :"), plan[at + 1 :]))
+    assert "p_type" in moved and "subject_id" not in moved and "r_name" not in moved
+    assert lines.filter(F.col("subject_id") != iv.tx.subject_label(cohort._subject_folder())).isEmpty()
+
+
+@pytest.mark.parametrize("query", [queries_work.public_inventory, queries_io.results_sink])
+def test_tables_of_series_as_tsv_take_a_small_part_of_their_room(spark, query):
+    made = query(spark, SMALL)
+    assert made.count() > 0 and all(f.endswith(".csv.gz") for f in made.inputFiles())
+
+
 def test_a_delivery_leaves_nothing_but_the_store(spark, instances, tmp_path):
     before = set(staging._made.get(spark.sparkContext.applicationId, []))
     for at in (0, 1):
