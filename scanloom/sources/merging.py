@@ -7,6 +7,7 @@ a job that fails before its commit leaves the table as it was.
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable, Sequence
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -14,8 +15,7 @@ from pyspark.sql import functions as F
 
 from scanloom.operators.lifecycle import merged_state
 from scanloom.operators.participants import participants_upsert
-from scanloom.operators.staging import stage
-from scanloom.operators.workplan import diff_log_merge
+from scanloom.operators.staging import COMPRESSION, buckets_for, release, stage
 from scanloom.schemas import ASSET_DIFF, columns
 
 BUCKET = "_bucket"
@@ -55,23 +55,45 @@ def current(spark: SparkSession, path: str) -> DataFrame | None:
 
 def upsert(
     spark: SparkSession, path: str, rows: DataFrame, keys: Sequence[str], row_keys: Sequence[Column],
-    merge: Callable[[DataFrame | None, DataFrame], DataFrame], buckets: int = BUCKETS,
+    merge: Callable[[DataFrame | None, DataFrame], DataFrame], buckets: int = BUCKETS, whole_rows: bool = False,
 ) -> list[int]:
     """Merge ``rows`` into the table and return the partitions that were written.
 
     ``row_keys`` give a row the key that the table has in its columns ``keys``; ``merge`` gets the table's rows of the
-    touched partitions (None for an empty table) and the new rows, and must not change the key of a row.
+    touched partitions (None for an empty table) and the new rows, and must not change the key of a row. With
+    ``whole_rows`` it only drops rows, and gets all in one, gathered by partition: none moves after that.
     """
+    # Tables under this name last as long as the call: the table has all that is kept.
+    work = f"merge-{uuid.uuid4().hex}"
+    try:
+        return _upsert(spark, path, rows, keys, row_keys, merge, buckets, whole_rows, work)
+    finally:
+        release(spark, work)
+
+
+def _upsert(
+    spark: SparkSession, path: str, rows: DataFrame, keys: Sequence[str], row_keys: Sequence[Column],
+    merge: Callable[[DataFrame | None, DataFrame], DataFrame], buckets: int, whole_rows: bool, work: str,
+) -> list[int]:
     inner, n = _layout(spark, path, buckets)
-    new = stage(rows.withColumn(BUCKET, bucket_of(row_keys, n)), "merge-rows")
+    new = stage(rows.withColumn(BUCKET, bucket_of(row_keys, n)), f"{work}-rows")
     touched = sorted(r[0] for r in new.select(BUCKET).distinct().collect())  # at most as many as there are partitions
     if not touched:
         return []
     table = read_table(spark, inner)
-    old = None if table is None else table.filter(F.col(BUCKET).isin(touched)).drop(BUCKET)
-    merged = merge(old, new.drop(BUCKET))
-    result = stage(merged.withColumn(BUCKET, bucket_of([F.col(k) for k in keys], n)), "merged")
-    result.repartition(BUCKET).write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(BUCKET).parquet(inner)
+    old = None if table is None else table.filter(F.col(BUCKET).isin(touched))
+    # As many tasks as the rows ask for, so that none has to put more on disk than it was given.
+    tasks = min(n, buckets_for(spark, new.count() + (0 if old is None else old.count())))
+    if whole_rows:
+        both = new if old is None else old.select(*new.columns).unionByName(new)
+        merged = merge(None, both.repartition(tasks, BUCKET))
+    else:
+        merged = merge(None if old is None else old.drop(BUCKET), new.drop(BUCKET))
+        merged = merged.withColumn(BUCKET, bucket_of([F.col(k) for k in keys], n)).repartition(tasks, BUCKET)
+    # Stored first, as a table cannot replace what it is read from; a partition's rows lie together there.
+    result = stage(merged, f"{work}-merged")
+    writer = result.write.mode("overwrite").options(partitionOverwriteMode="dynamic", compression=COMPRESSION)
+    writer.partitionBy(BUCKET).parquet(inner)
     # Partitions that have no row any more are not replaced by that.
     left = {r[0] for r in result.select(BUCKET).distinct().collect()}
     for bucket in set(touched) - left:
@@ -85,10 +107,8 @@ def add_to_diff_log(spark: SparkSession, path: str, new: DataFrame, buckets: int
     rows = new.select(*columns(ASSET_DIFF))
     keys = ["subject_id", "modality"]
 
-    def merge(old: DataFrame | None, fresh: DataFrame) -> DataFrame:
-        return fresh.dropDuplicates() if old is None else diff_log_merge(old.select(*fresh.columns), fresh)
-
-    return upsert(spark, path, rows, keys, [F.col(k) for k in keys], merge, buckets)
+    # Equal rows are in one partition.
+    return upsert(spark, path, rows, keys, [F.col(k) for k in keys], lambda _, both: both.dropDuplicates(), buckets, True)
 
 
 def update_states(

@@ -7,6 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from scanloom.operators import lifecycle as lc
+from scanloom.operators import staging
 from scanloom.schemas import ASSET_DIFF, columns
 from scanloom.sources import merging
 
@@ -40,6 +41,22 @@ def test_the_diff_log_keeps_rows_once_and_other_partitions_untouched(spark, tmp_
     assert merging.add_to_diff_log(spark, path, new.limit(0)) == []
 
 
+def test_an_update_leaves_nothing_but_the_table_and_deals_rows_by_their_number(spark, tmp_path, monkeypatch):
+    path = str(tmp_path / "log")
+    rows = diff(spark, *[(f"s{i}", "T1w", "a") for i in range(400)])
+    monkeypatch.setattr(staging, "BUCKET_ROWS", 10)
+    moved = []
+    deal = merging.stage
+    monkeypatch.setattr(merging, "stage", lambda df, label: moved.append(df) or deal(df, label))
+    before = set(staging._made.get(spark.sparkContext.applicationId, []))
+    for part in (rows.limit(200), rows):
+        merging.add_to_diff_log(spark, path, part, buckets=64)
+    assert set(staging._made.get(spark.sparkContext.applicationId, [])) <= before
+    assert rows_of(merging.current(spark, path)) == rows_of(rows)
+    plan = moved[-1]._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange") == 1 and "_bucket" in plan and ", 60)" in plan  # 600 rows, stored and new
+
+
 STATE = "k STRING, ts BIGINT, stage STRING, message STRING, started_at STRING, cleared ARRAY<STRING>"
 
 
