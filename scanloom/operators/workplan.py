@@ -60,34 +60,56 @@ def missing_from_inventory(work: DataFrame, series: DataFrame) -> DataFrame:
     )
 
 
+def _packed(sha256: Column) -> Column:
+    """A digest in half its room; any other text as it is, marked so that the two never meet."""
+    text = F.concat(F.lit(b"\x00"), sha256.cast("binary"))
+    return F.when(sha256.rlike(r"\A[0-9a-f]{64}\z"), F.concat(F.lit(b"\x01"), F.unhex(sha256))).otherwise(text)
+
+
+def _recorded(kind: str) -> Column:
+    return F.struct(F.col(f"{kind}_path").alias("path"), _packed(F.col(f"{kind}_sha256")).alias("sha256"))
+
+
+def _found_unchanged(state: DataFrame, keys: list[str], digests: DataFrame, tasks: int | None) -> DataFrame:
+    """Per series of finished states, the paths and digests they record whose files are found with these digests.
+
+    Only what is looked for goes to the files, path by path, and only what is found comes back.
+    """
+    recorded = F.array(*[F.when(F.col(f"{k}_sha256") != "", _recorded(k)) for k in ("output", "sidecar")])
+    finished = state.filter(F.col("stage").isin(*DONE_STAGES)).select(*keys, F.explode(recorded).alias("_wanted"))
+    wanted = finished.select(*keys, "_wanted.*")
+    found = digests.select(F.col("path").alias("_path"), _packed(F.col("sha256")).alias("_now"))
+    if tasks:
+        found = found.repartition(tasks, "_path")
+    same = wanted.join(found, (F.col("path") == F.col("_path")) & (F.col("sha256") == F.col("_now")), "left_semi")
+    if tasks:
+        same = same.repartition(tasks, *keys)
+    return same.groupBy(*keys).agg(F.collect_set(F.struct("path", "sha256")).alias("_found"))
+
+
 def resume_decisions(
-    work: DataFrame, state: DataFrame, digests: DataFrame, params: WorkParams = WorkParams()
+    work: DataFrame, state: DataFrame, digests: DataFrame, params: WorkParams = WorkParams(), tasks: int | None = None
 ) -> DataFrame:
     """What to do with each piece of work, given its last state and the files found now.
 
     ``state`` has one row per series (stage, output_path, output_sha256, sidecar_path,
     sidecar_sha256, message, owner_alive and what else a result records); ``digests`` one per file
-    (path, sha256). State is joined on as much of the series key as it has.
+    (path, sha256). State is joined on as much of the series key as it has. ``tasks`` says in how many tasks work and
+    files meet the states; without it Spark's own number holds, whatever the size.
     """
-    # Digests meet the states first. A state without a path looks for a name that no file has, so that
-    # such states do not all meet in one task.
-    for kind in ("output", "sidecar"):
-        found = digests.select(
-            F.col("path").alias("_wanted"), F.col("sha256").alias(f"{kind}_now")
-        )
-        wanted = F.coalesce(f"{kind}_path", F.concat(F.lit("\n"), "series_uid_hash"))
-        state = state.withColumn("_wanted", wanted).join(found, "_wanted", "left").drop("_wanted")
+    keys = [c for c in SERIES_KEYS if c in state.columns and c in work.columns]
+    found = _found_unchanged(state, keys, digests, tasks)
     known = [c for c in columns(RESULTS) if c in state.columns]
     state = state.withColumns(
         {c: F.lit(None).cast(t) for c, t in _RECORDED.items() if c not in known}
     ).drop(*[c for c in ("candidate_type", "mode", "status") if c in state.columns])
-    keys = [c for c in SERIES_KEYS if c in state.columns and c in work.columns]
-    joined = work.join(state, keys, "left")
+    if tasks:
+        work = work.repartition(tasks, *keys)
+    joined = work.join(state, keys, "left").join(found, keys, "left")
     stage = blank(F.col("stage"))
 
     def unchanged(kind: str) -> Column:
-        recorded = blank(F.col(f"{kind}_sha256"))
-        return (recorded != "") & (recorded == blank(F.col(f"{kind}_now")))
+        return F.coalesce(F.array_contains("_found", _recorded(kind)), F.lit(False))
 
     verified = stage.isin(*DONE_STAGES) & unchanged("output") & unchanged("sidecar")
     preserved = (stage == "failed") & F.lit(not params.retry_failed)

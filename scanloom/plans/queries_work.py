@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from scanloom.functions import text as tx
 from scanloom.operators import lifecycle, participants, qc, release, review, validation, workplan
 from scanloom.operators.inventory import series_sources
-from scanloom.operators.staging import scratch_path
+from scanloom.operators.staging import buckets_for, scratch_path
 from scanloom.params import ReleasePolicy, ResourceMinimums
 from scanloom.plans.cohort import stored_instances, table
 from scanloom.plans.oracle_base import SELECTION, SERIES, STAGES, query
@@ -357,7 +357,8 @@ def resume_decisions(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.when((F.col("e") == "a") & (F.col("kind") == "out/"), "changed")
         .otherwise(F.sha2("h", 256)).alias("sha256"),
     )
-    return workplan.resume_decisions(work, state, digests)
+    # Files are twice the work; what meets there is sorted, and a task keeps its part in memory.
+    return workplan.resume_decisions(work, state, digests, tasks=buckets_for(spark, 2 * work.count()))
 
 
 @registered(query(SELECTION, """

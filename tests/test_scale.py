@@ -82,6 +82,14 @@ def test_lines_move_without_what_follows_from_their_order(spark):
     assert lines.filter(F.col("subject_id") != iv.tx.subject_label(cohort._subject_folder())).isEmpty()
 
 
+def test_files_meet_only_the_states_that_look_for_them(spark, monkeypatch):
+    monkeypatch.setattr(staging, "BUCKET_ROWS", 100)
+    plan = plan_of(queries_work.resume_decisions(spark, SMALL))
+    assert plan.count("explode([out/,side/])") == 1  # files move once, not once for every kind
+    tasks = [int(n) for n in re.findall(r"hashpartitioning\(.*?, (\d+)\), (?:REPARTITION|ENSURE)", plan)]
+    assert tasks and min(tasks) > 10
+
+
 @pytest.mark.parametrize("query", [queries_work.public_inventory, queries_io.results_sink])
 def test_tables_of_series_as_tsv_take_a_small_part_of_their_room(spark, query):
     made = query(spark, SMALL)

@@ -110,6 +110,24 @@ def test_resume(spark, selection):
     assert _resume(spark, selection, "linking") == ("run", "selected")
 
 
+def test_states_are_told_apart_by_path_and_digest(spark, selection):
+    work = workplan.convertible(selection(*[dict(series_uid_hash=h) for h in "abcdefgh"]))
+    ddl = "series_uid_hash STRING, stage STRING, output_path STRING, output_sha256 STRING, sidecar_path STRING, sidecar_sha256 STRING, message STRING, owner_alive BOOLEAN"
+    state = spark.createDataFrame([
+        ("a", "converted", "1", "x", "2", "y", None, None), ("b", "converted", "2", "x", "1", "y", None, None),
+        ("c", "review_ready", None, "x", "2", "y", None, None), ("d", "converted", "3", "", "2", "y", None, None),
+        ("e", "converted", "1", "x", "1", "x", None, None), ("f", "converted", "4", "0a" * 32, "2", "y", None, None),
+        ("g", "converted", "4", "0b" * 32, "2", "y", None, None), ("h", "converted", "5", "0A" * 32, "2", "y", None, None),
+    ], ddl)
+    files = [("1", "x"), ("2", "y"), ("2", "y"), ("3", None), (None, "x"), ("4", "0a" * 32), ("5", "0a" * 32)]
+    digests = spark.createDataFrame(files, "path STRING, sha256 STRING")
+    for tasks in (None, 3):
+        got = workplan.resume_decisions(work, state, digests, tasks=tasks).collect()
+        assert sorted((r.series_uid_hash, r.mode) for r in got) == [
+            ("a", "resume"), ("b", "selected"), ("c", "selected"), ("d", "selected"), ("e", "resume"),
+            ("f", "resume"), ("g", "selected"), ("h", "selected")]
+
+
 def test_asset_diff(spark, selection):
     old = [("sub-000/anat/sub-000_T1w.nii.gz", "h1"), ("sub-000/anat/sub-000_T1w.json", "h2"), ("sub-002/anat/x_T1w.nii", "h")]
     assets = spark.createDataFrame(old, "relpath STRING, sha256 STRING")
